@@ -58,11 +58,16 @@ def quoted(name: str):
     return F.col(f"`{name.replace('`', '``')}`")
 
 
+SIMPLE = {"long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType(), "boolean": T.BooleanType(), "binary": T.BinaryType()}
+
+
 def field(name: str, kind: str | T.DataType) -> T.StructField:
-    return T.StructField(name, T._parse_datatype_string(kind) if isinstance(kind, str) else kind)
+    return T.StructField(name, SIMPLE[kind] if isinstance(kind, str) else kind)
 
 
-LONG, DOUBLE, STRING, BOOL, BINARY = T.LongType(), T.DoubleType(), T.StringType(), T.BooleanType(), T.BinaryType()
+def structs(**kinds: str) -> T.ArrayType:
+    """An array of structs with these fields."""
+    return T.ArrayType(T.StructType([field(n, k) for n, k in kinds.items()]))
 
 
 def components(links: DataFrame, left: str = "a", right: str = "b", most_rounds: int = 60) -> DataFrame:
