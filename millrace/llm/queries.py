@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import fertility, langmix, licenses, mixing, mtree, packing, secrets, simhash
+from . import fertility, langmix, licenses, mixing, mtree, packing, secrets, simhash, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -70,3 +70,8 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = C.tables(spark, sf_dir, "embeddings")
     return mtree.top_k(rows, rows.where(F.col("vec_id") % 50 == 0), k=5, scale=256)
+
+
+@query
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(C.tables(spark, sf_dir, "documents"), length=400, with_kept=False)
