@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import fertility, langmix, licenses, mixing, mtree, packing, secrets, simhash, suffixes
+from . import fertility, importance, langmix, licenses, mixing, mtree, packing, secrets, simhash, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -75,3 +75,8 @@ def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(C.tables(spark, sf_dir, "documents"), length=400, with_kept=False)
+
+
+@query
+def op4_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(C.tables(spark, sf_dir, "documents"), C.tables(spark, sf_dir, "labels"), keep=["doc_id"])
