@@ -16,6 +16,8 @@ from . import common as C
 BATCH_BYTES, BUCKET_ROWS = 4 << 20, 2 << 20
 #: Positions hashed at a time.
 CHUNK = 1 << 20
+#: Kinds of replies to a batch: bits of its samples and suffixes; marks of documents that are copies, and of the first of each.
+SAMPLE, SUFFIX, COPY, FIRST = range(4)
 BASE, SPREAD = 6364136223846793005, 0x9E3779B97F4A7C15
 WORD = (1 << 64) - 1
 
@@ -81,6 +83,7 @@ class Batch:
         order = sorted(range(len(marks)), key=lambda i: (marks[i], texts[i]))
         self.ids = table["id"].take(pa.array(order, pa.int64()))
         self.texts = [texts[i] for i in order]
+        self.marks = [marks[i] for i in order]
         sizes = np.fromiter(map(len, self.texts), np.int64, len(order))
         self.ends = np.cumsum(sizes)
         self.starts = self.ends - sizes
@@ -106,6 +109,12 @@ class Batch:
         return self.fitting(np.flatnonzero(np.cumsum(marks[:-1]) > 0), length)
 
 
+    def whole(self, marks: dict[int, object]) -> np.ndarray:
+        """The positions of the documents with these marks."""
+        chosen = np.fromiter((m in marks for m in self.marks), bool, len(self.marks))
+        return np.repeat(chosen, self.ends - self.starts)
+
+
 def packed(values: np.ndarray, size: int) -> bytes:
     return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].tobytes()
 
@@ -181,7 +190,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     bytes have, within v bytes, samples at equal places with equal names. So only suffixes shortly before a sample
     whose name stands twice can tie for `length` bytes, and they alone are dealt to buckets and sorted, a bucket at a
     time. Names are 64-bit hashes, of which a bucket's number and 5 bytes (samples, where a false tie only
-    adds work) or 7 bytes (suffixes) are kept. A batch sends each name once, so copies do not swell a bucket.
+    adds work) or 7 bytes (suffixes) are kept. A batch sends each name once, and of equal documents (by SHA-256) only
+    the first names its suffixes, so copies do not swell a bucket.
     """
     spark = docs.sparkSession
     cover = difference_cover(max(1, length * 4 // 5))
@@ -203,7 +213,9 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
 
     def names_of_suffixes(own: Batch, replies: dict[int, dict[int, bytes]]) -> tuple[np.ndarray, Names]:
         at, names = names_of_samples(own)
-        at = own.candidates(at[names.repeated(replies.get(0, {}))], v, length)
+        at = own.candidates(at[names.repeated(replies.get(SAMPLE, {}))], v, length)
+        if COPY in replies or FIRST in replies:  # a copy's strings are known to repeat, and the first copy names them
+            at = at[~own.whole(replies.get(COPY, {}))[at]]
         return at, Names(hashes_at(own.raw, at, length), suffix_bits, 7)
 
     def in_kinds(table: pa.Table) -> dict[int, dict[int, bytes]]:
@@ -225,12 +237,12 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
 
         own, kinds = Batch(table), in_kinds(replies)
         covered = np.zeros(len(own.raw) + 1, np.int32)
-        if 1 in kinds:
+        if SUFFIX in kinds:
             at, names = names_of_suffixes(own, kinds)
-            at = at[names.repeated(kinds[1])]
+            at = at[names.repeated(kinds[SUFFIX])]
             np.add.at(covered, at, 1)
             np.add.at(covered, at + length, -1)
-        gone = np.cumsum(covered[:-1]) > 0
+        gone = (np.cumsum(covered[:-1]) > 0) | own.whole(kinds.get(COPY, {}) | kinds.get(FIRST, {}))
         n_removed, n_spans, digests, spans, kept = [], [], [], [], []
         for text, a, b in zip(own.texts, own.starts.tolist(), own.ends.tolist(), strict=True):
             part = gone[a:b]
@@ -249,10 +261,14 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
         return pa.table(columns)
 
     kind = "bucket long, batch long, names binary, many binary"
-    live = bucket_replies(dealt.groupBy("batch").applyInArrow(sample, kind), 5, 0)
-    suffixes = dealt.groupBy("batch").cogroup(live.repartition(parts, "batch").groupBy("batch")).applyInArrow(gather, kind)
-    ties = bucket_replies(suffixes, 7, 1)
-    replies = live.unionByName(ties).repartition(parts, "batch")
+    known = docs.where(F.octet_length(C.quoted(text_col)) >= length).select(F.pmod(F.xxhash64(mark), F.lit(batches)).alias("batch"), mark.alias("mark"), F.sha2(C.quoted(text_col), 256).alias("same"))
+    firsts = known.groupBy("same").agg(F.count("*").alias("n"), F.min("mark").alias("first")).where("n > 1").select("same", "first")
+    copies = known.join(firsts, "same").select("batch", F.when(F.col("mark") == F.col("first"), FIRST).otherwise(COPY).alias("kind"), F.col("mark").alias("bucket"), F.lit(None).cast("binary").alias("bits"))
+    live = bucket_replies(dealt.groupBy("batch").applyInArrow(sample, kind), 5, SAMPLE)
+    told = live.unionByName(copies)
+    suffixes = dealt.groupBy("batch").cogroup(told.repartition(parts, "batch").groupBy("batch")).applyInArrow(gather, kind)
+    ties = bucket_replies(suffixes, 7, SUFFIX)
+    replies = told.unionByName(ties).repartition(parts, "batch")
     fields = [C.T.StructField("id", docs.schema[id_col].dataType), *[C.field(n, k) for n, k in (("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept_sha256", "string"))]]
     fields += [C.field("spans", C.structs(start="long", end="long")), C.field("kept", "binary")] if with_kept else []
     return dealt.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(cut, C.T.StructType(fields)).withColumnRenamed("id", id_col)
