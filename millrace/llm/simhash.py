@@ -158,3 +158,102 @@ def simhash_classes(docs: DataFrame, words_each: int = 3, radius: int = 2, id_co
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     classes = named.join(least, "component").select("fp", "component_id")
     return marked.join(classes, "fp", "left").select(*[C.quoted(c) for c in keep], "fp", "component_id")
+
+
+def distinct_words(text: str) -> str:
+    """Each word of a text once, in the order of first use, in ASCII lower case."""
+    return " ".join(dict.fromkeys(w.decode() for w in text.encode().lower().split()))
+
+
+def pair_links(prints: DataFrame, radius: int, within: int) -> DataFrame:
+    """(a, b): links of a forest over the nodes (node, fp, check): fp within `radius` bits, check within `within` bits.
+
+    Pairs meet in a table of covering masks over fp; both distances are then taken, in blocks of a bucket against
+    its rest, and only the links of a bucket's forest are returned.
+    """
+    tables = masks(radius)
+    signed = [m - (1 << 64) if m >> 63 else m for m in tables]
+    keyed = prints.select("node", "fp", "check", F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(signed)])).alias("x"))
+    dealt = keyed.select("x.t", "x.key", "node", "fp", "check").repartition("t", "key").sortWithinPartitions("t", "key", "node")
+
+    def links(rows: np.ndarray) -> list[tuple[int, int]]:
+        nodes, fp, check = rows[:, 2], rows[:, 3].view(np.uint64), rows[:, 4].view(np.uint64)
+        parent = list(range(len(nodes)))
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        for at in range(0, len(nodes) - 1, 512):
+            own = slice(at, at + 512)
+            for to in range(at, len(nodes), 1 << 15):
+                rest = slice(to, to + (1 << 15))
+                close = (np.bitwise_count(fp[own, None] ^ fp[None, rest]) <= radius) & (np.bitwise_count(check[own, None] ^ check[None, rest]) <= within)
+                for i, j in np.argwhere(close).tolist():
+                    a, b = root(at + i), root(to + j)
+                    if a != b:
+                        parent[max(a, b)] = min(a, b)
+        return [(int(nodes[i]), int(nodes[root(i)])) for i in range(len(nodes)) if root(i) != i]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def done(rows: np.ndarray, last: bool) -> tuple[list[tuple[int, int]], np.ndarray]:
+            cuts = np.flatnonzero((rows[1:, :2] != rows[:-1, :2]).any(1)) + 1
+            bounds = np.concatenate([[0], cuts, [len(rows)] if last else []]).astype(int)
+            found = [x for a, b in zip(bounds[:-1], bounds[1:], strict=True) if b - a > 1 for x in links(np.ascontiguousarray(rows[a:b]))]
+            return found, rows[bounds[-1] :]
+
+        def arrow(found: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5)], 1))
+                if (held[0][0, :2] != held[-1][-1, :2]).any():
+                    found, left = done(np.concatenate(held), False)
+                    held = [left]
+                    yield arrow(found)
+        if held:
+            yield arrow(done(np.concatenate(held), True)[0])
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def near_classes(docs: DataFrame, radius: int = 5, words_each: int = 5, within: int = 14, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(mark, component): for each distinct text that is near another one, the class it belongs to.
+
+    mark = XXH64 of the text, by which equal texts are one. Candidates come from covering LSH over the SimHash of
+    a text's distinct words, which changes in few bits between near copies, at `radius`; a link also needs the SimHash
+    of its `words_each`-word shingles within `within` bits. A Jaccard similarity of 0.8 leaves about
+    64 * acos(2 * 0.8 / 1.8) / pi = 10 bits between these, give or take 3; unrelated texts differ in about 32.
+    """
+
+    def make() -> Callable[[str], tuple]:
+        one, many = fingerprinter(1), fingerprinter(words_each)
+        return lambda text: (one(distinct_words(text)), many(text))
+
+    C.with_checkpoints(docs.sparkSession)
+    marked = docs.select(F.xxhash64(F.coalesce(C.quoted(text_col), F.lit(""))).alias("node"), C.quoted(text_col).alias("_text"))
+    nodes = C.map_text(marked, make, [C.field("fp", "long"), C.field("check", "long")], "_text", ["node"]).groupBy("node").agg(F.first("fp").alias("fp"), F.first("check").alias("check")).checkpoint()
+    return C.components(pair_links(nodes, radius, within)).select(F.col("node").alias("mark"), "component")
+
+
+def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs with one row of each group of equal or near-equal texts: the one with the smallest id (null ids last).
+
+    Texts without a word are one group. Rows that tie on the id are told apart by their text and, if that is equal,
+    one of them is kept. Columns and their order stay.
+    """
+    classes = near_classes(docs, id_col=id_col, text_col=text_col, **options)
+    mark = F.xxhash64(F.coalesce(C.quoted(text_col), F.lit("")))
+    keys = docs.select(mark.alias("mark"), C.quoted(id_col).alias("id")).groupBy("mark").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("least"))
+    group = keys.join(classes, "mark", "left").withColumn("group", F.coalesce("component", "mark"))
+    best = group.groupBy("group").agg(F.min(F.struct("least", "mark")).alias("b")).select(F.col("b.mark").alias("__mark"))
+    columns = [F.col(f"r.k{i}").alias(c) for i, c in enumerate(docs.columns)]
+    own = F.struct(*[C.quoted(c).alias(f"k{i}") for i, c in enumerate(docs.columns)])
+    rows = docs.select(own.alias("row"), mark.alias("__mark"), F.struct(C.quoted(id_col).isNull(), C.quoted(id_col)).alias("order"))
+    firsts = rows.groupBy("__mark").agg(F.min_by("row", "order").alias("r"))  # equal texts meet in each task first
+    return firsts.join(best, "__mark", "left_semi").select(*columns)
