@@ -29,7 +29,10 @@ def with_views(sql: str) -> str:
     if not used:
         return sql
     head = ", ".join(f"{n} AS ({v})" for n, v in used.items())
-    return f"WITH {head}, {sql.strip()[5:]}" if sql.strip()[:5].upper() == "WITH " else f"WITH {head} {sql}"
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if sql.strip().startswith(start):
+            return f"{start}{head}, {sql.strip()[len(start) :]}"
+    return f"WITH {head} {sql}"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
