@@ -11,13 +11,13 @@ from millrace.operators import batch as B
 from millrace.operators import retrieval as R
 from millrace.plans import views as V
 
-ROWS = "(SELECT o_orderkey - 1 AS row_id, o_custkey AS cust, o_orderstatus AS status, o_totalprice AS price FROM orders WHERE o_orderkey <= 1001)"
+ROWS = "(SELECT o_orderkey AS row_id, o_custkey AS cust, o_orderstatus AS status, o_totalprice AS price FROM orders WHERE o_orderkey < 1001)"
 
 
 def batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A batch of orders; keys run from 1, so a row's place is its key less 1."""
-    o = table(spark, sf_dir, "orders").where("o_orderkey <= 1001")
-    return o.select((F.col("o_orderkey") - 1).alias("row_id"), F.col("o_custkey").alias("cust"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"))
+    """A batch of orders; keys run from 0, so a row's place is its key."""
+    o = table(spark, sf_dir, "orders").where("o_orderkey < 1001")
+    return o.select(F.col("o_orderkey").alias("row_id"), F.col("o_custkey").alias("cust"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"))
 
 
 @register(f"SELECT row_id, cust, status AS state FROM {ROWS}")
