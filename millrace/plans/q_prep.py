@@ -13,7 +13,6 @@ from millrace.operators import tokens as T
 from millrace.plans import views as V
 from millrace.sources import io
 
-Q, A = F.col("question"), F.col("answer")
 HASH = "replace(regexp_extract_all(answer, '#### (-?[0-9.,]+)', 1)[1], ',', '')"
 
 
@@ -89,7 +88,7 @@ def character_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(f"SELECT id, data_source, concat(question, ' ', 'Let''s think step by step and output the final answer after \"####\".') AS content, 'user' AS role, 'rule' AS style, {HASH} AS ground_truth, 'train' AS split, id AS index FROM prompts")
 def map_word_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = V.prompts(spark, sf_dir)
-    made = rows.select("id", *P.record(F.col("data_source"), F.array(P.message("user", F.concat(Q, F.lit(" "), F.lit(P.STEPS)))), F.lit("math"), X.hash_answer(A), P.extra("train", F.col("id"), A, Q)))
+    made = rows.select("id", *P.record(F.col("data_source"), F.array(P.message("user", F.concat(F.col("question"), F.lit(" "), F.lit(P.STEPS)))), F.lit("math"), X.hash_answer(F.col("answer")), P.extra("train", F.col("id"), F.col("answer"), F.col("question"))))
     return made.select("id", "data_source", F.col("prompt")[0]["content"].alias("content"), F.col("prompt")[0]["role"].alias("role"), "reward_model.style", "reward_model.ground_truth", "extra_info.split", "extra_info.index")
 
 
@@ -99,13 +98,13 @@ FORM = "Think in parallel.\nProblem: {Problem}\nEnd with Final Answer."
 @register(f"SELECT id, replace('Think in parallel.\nProblem: {{Problem}}\nEnd with Final Answer.', '{{Problem}}', question) AS content, {HASH} AS ground_truth FROM prompts WHERE regexp_matches(answer, '#### -?[0-9.,]+') AND len(regexp_extract_all(replace('Think in parallel.\nProblem: {{Problem}}\nEnd with Final Answer.', '{{Problem}}', question), '\\S+')) <= 20")
 def map_templated_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows with an answer whose templated prompt is short enough, templated."""
-    content = io.filled(F.lit(FORM), Q)
-    return V.prompts(spark, sf_dir).where(A.rlike(r"#### -?[0-9.,]+") & (F.size(P.tokens_of(content)) <= 20)).select("id", content.alias("content"), X.hash_answer(A).alias("ground_truth"))
+    content = io.filled(F.lit(FORM), F.col("question"))
+    return V.prompts(spark, sf_dir).where(F.col("answer").rlike(r"#### -?[0-9.,]+") & (F.size(P.tokens_of(content)) <= 20)).select("id", content.alias("content"), X.hash_answer(F.col("answer")).alias("ground_truth"))
 
 
 @register("SELECT id, trim(CASE WHEN len(string_split(t, chr(10) || chr(10))) >= 3 THEN string_split(t, chr(10) || chr(10))[2] ELSE t END) AS problem, 'accuracy_reward' AS reward_method FROM (SELECT id, concat(CASE WHEN id % 2 = 0 THEN 'Solve.' || chr(10) || chr(10) ELSE '' END, question, CASE WHEN id % 3 <> 0 THEN chr(10) || chr(10) || 'Remember.' ELSE '' END) AS t FROM prompts)")
 def map_middle_of_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.concat(F.when(F.col("id") % 2 == 0, "Solve.\n\n").otherwise(""), Q, F.when(F.col("id") % 3 != 0, "\n\nRemember.").otherwise(""))
+    text = F.concat(F.when(F.col("id") % 2 == 0, "Solve.\n\n").otherwise(""), F.col("question"), F.when(F.col("id") % 3 != 0, "\n\nRemember.").otherwise(""))
     return V.prompts(spark, sf_dir).select("id", P.middle_part(text).alias("problem"), F.lit("accuracy_reward").alias("reward_method"))
 
 
@@ -123,19 +122,19 @@ def map_endings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("SELECT id, question AS prompt, CAST(k AS INT) AS place, CASE k WHEN 0 THEN answer ELSE 'I do not know.' END AS response FROM prompts, range(2) r(k)")
 def preferences_to_sft(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = V.prompts(spark, sf_dir).select("id", Q.alias("prompt"), A.alias("chosen"), F.lit("I do not know.").alias("rejected"))
+    rows = V.prompts(spark, sf_dir).select("id", F.col("question").alias("prompt"), F.col("answer").alias("chosen"), F.lit("I do not know.").alias("rejected"))
     return rows.select("id", "prompt", F.posexplode(F.array("chosen", "rejected")).alias("place", "response"))
 
 
 @register("WITH o AS (SELECT id, question AS prompt, answer AS chosen, row_number() OVER (ORDER BY id) - 1 AS k, count(*) OVER () AS n FROM prompts) SELECT id, prompt, chosen, 'No.' AS rejected FROM o WHERE k >= floor(n * 0.75)")
 def preferences_for_reward_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = V.prompts(spark, sf_dir).select("id", Q.alias("prompt"), A.alias("chosen"), F.lit("No.").alias("rejected"))
+    rows = V.prompts(spark, sf_dir).select("id", F.col("question").alias("prompt"), F.col("answer").alias("chosen"), F.lit("No.").alias("rejected"))
     return io.split_slice(rows, 0.75, 1, ["id"])
 
 
 @register("SELECT id, 'model' AS style, 'alignment' AS ability, question AS content FROM prompts")
 def preferences_for_rl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = V.prompts(spark, sf_dir).select("id", *P.record(F.col("data_source"), F.array(P.message("user", Q)), F.lit("alignment"), A, P.extra("train", F.col("id"), A, Q), "model"))
+    made = V.prompts(spark, sf_dir).select("id", *P.record(F.col("data_source"), F.array(P.message("user", F.col("question"))), F.lit("alignment"), F.col("answer"), P.extra("train", F.col("id"), F.col("answer"), F.col("question")), "model"))
     return made.select("id", "reward_model.style", "ability", F.col("prompt")[0]["content"].alias("content"))
 
 
@@ -147,9 +146,9 @@ def map_with_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(f"SELECT id, TRUE AS need_tools, {HASH} AS create_truth, 'tool_agent' AS agent_name, 'word_problem' AS interaction, question AS query FROM prompts")
 def map_tool_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    truth = X.hash_answer(A)
+    truth = X.hash_answer(F.col("answer"))
     kwargs = F.struct(F.struct(F.struct(truth.alias("ground_truth")).alias("create_kwargs")).alias("score_tool")).alias("tools_kwargs")
-    rows = V.prompts(spark, sf_dir).select("id", F.struct(F.lit(True).alias("need_tools_kwargs"), kwargs, F.struct(F.lit("word_problem").alias("name"), Q.alias("query"), truth.alias("ground_truth")).alias("interaction_kwargs")).alias("extra_info"), F.lit("tool_agent").alias("agent_name"))
+    rows = V.prompts(spark, sf_dir).select("id", F.struct(F.lit(True).alias("need_tools_kwargs"), kwargs, F.struct(F.lit("word_problem").alias("name"), F.col("question").alias("query"), truth.alias("ground_truth")).alias("interaction_kwargs")).alias("extra_info"), F.lit("tool_agent").alias("agent_name"))
     return rows.select("id", F.col("extra_info.need_tools_kwargs").alias("need_tools"), F.col("extra_info.tools_kwargs.score_tool.create_kwargs.ground_truth").alias("create_truth"), "agent_name", F.col("extra_info.interaction_kwargs.name").alias("interaction"), F.col("extra_info.interaction_kwargs.query").alias("query"))
 
 
@@ -183,20 +182,20 @@ def transcript_to_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("SELECT id, lower(data_source) AS data_source, concat(question, ' Answer in a box.') AS content, 'tool_agent' AS agent_name FROM prompts")
 def map_with_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.prompts(spark, sf_dir).select("id", F.lower("data_source").alias("data_source"), F.concat(Q, F.lit(" Answer in a box.")).alias("content"), F.lit("tool_agent").alias("agent_name"))
+    return V.prompts(spark, sf_dir).select("id", F.lower("data_source").alias("data_source"), F.concat(F.col("question"), F.lit(" Answer in a box.")).alias("content"), F.lit("tool_agent").alias("agent_name"))
 
 
 @register("SELECT id, question AS inner_question, answer AS inner_answer FROM prompts")
 def key_path_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested cells of one element are opened, and fields reached by their path."""
-    nested = V.prompts(spark, sf_dir).select("id", F.array(F.struct(Q.alias("question"), F.struct(A.alias("text")).alias("answer"))).alias("cell"))
+    nested = V.prompts(spark, sf_dir).select("id", F.array(F.struct(F.col("question").alias("question"), F.struct(F.col("answer").alias("text")).alias("answer"))).alias("cell"))
     opened = nested.select("id", F.when(F.size("cell") == 1, F.col("cell")[0]).alias("cell"))
     return opened.select("id", F.col("cell.question").alias("inner_question"), F.col("cell.answer.text").alias("inner_answer"))
 
 
 @register("SELECT id, len(regexp_extract_all(question, '\\S+')) AS tokens FROM prompts WHERE len(regexp_extract_all(question, '\\S+')) <= 8")
 def overlong_prompt_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.size(P.tokens_of(Q)).cast("long")
+    n = F.size(P.tokens_of(F.col("question"))).cast("long")
     return V.prompts(spark, sf_dir).where(n <= 8).select("id", n.alias("tokens"))
 
 
@@ -230,13 +229,13 @@ def chat_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(r"""WITH w AS (SELECT id, len(regexp_extract_all(question, '\S+')) AS p, len(regexp_extract_all(answer, '\S+')) + 1 AS r FROM prompts)
     SELECT id, CAST(least(p + r, 12) AS BIGINT) AS n, CAST(greatest(least(p + r, 12) - 1 - greatest(p - 1, 0), 0) AS BIGINT) AS loss FROM w""")
 def sft_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids, mask = P.sft_row(Q, A, 12)
+    ids, mask = P.sft_row(F.col("question"), F.col("answer"), 12)
     return V.prompts(spark, sf_dir).select("id", F.size(ids).cast("long").alias("n"), F.aggregate(mask, F.lit(0).cast("long"), lambda a, x: a + x).alias("loss"))
 
 
 @register(r"""WITH w AS (SELECT id, len(regexp_extract_all(concat(question, ' ', answer), '\S+')) AS c, len(regexp_extract_all(concat(question, ' No.'), '\S+')) AS r FROM prompts) SELECT id, CAST(least(c, 10) AS BIGINT) AS chosen, CAST(least(r, 10) AS BIGINT) AS rejected, 10 AS width FROM w""")
 def reward_pair_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, r = (P.tokens_of(F.concat(Q, F.lit(" "), x)) for x in (A, F.lit("No.")))
+    c, r = (P.tokens_of(F.concat(F.col("question"), F.lit(" "), x)) for x in (F.col("answer"), F.lit("No.")))
     padded = [T.pad_or_cut(x, 10, F.lit("<pad>"), False, "right") for x in (c, r)]
     kept = [F.size(F.filter(x, lambda t: t != "<pad>")).cast("long") for x in padded]
     return V.prompts(spark, sf_dir).select("id", kept[0].alias("chosen"), kept[1].alias("rejected"), F.size(padded[0]).alias("width"))

@@ -62,7 +62,7 @@ def minerva_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.answers(spark, sf_dir).select("doc_id", pred.alias("pred"), (pred == X.normalized(F.col("truth"))).alias("correct"))
 
 
-QA = r"trim(regexp_replace(regexp_replace(translate(lower({0}), '!""#$%&''()*+,-./:;<=>?@[\]^_`{{|}}~', ''), '\b(a|an|the)\b', ' ', 'g'), '\s+', ' ', 'g'))".replace('""', '"')
+QA = r"""trim(regexp_replace(regexp_replace(translate(lower({0}), '!""#$%&''()*+,-./:;<=>?@[\]^_`{{|}}~', ''), '\b(a|an|the)\b', ' ', 'g'), '\s+', ' ', 'g'))""".replace('""', '"')
 
 
 @register(f"""WITH g AS (SELECT item_id, {QA.format("text")} AS gold FROM benchmark WHERE item_id < 10), d AS (SELECT doc_id, {QA.format("text")} AS pred FROM documents WHERE lang = 'en')
