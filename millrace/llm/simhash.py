@@ -16,34 +16,57 @@ from . import common as C
 COMPARED = 256
 
 
-def fingerprinter(words_each: int = 3, seed: int = 42) -> Callable[[str], int]:
-    """SimHash of a text: XXH64 of its word shingles, repeats included; a bit is 1 if set in over half of them."""
+def majority_bits(hashes: np.ndarray) -> int:
+    """The 64 bits that are set in over half of the hashes, as a signed number."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 255 * 64):
+        bits = np.unpackbits(hashes[at : at + 255 * 64].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        whole = len(bits) // 255 * 255
+        if whole:
+            ones += bits[:whole].reshape(-1, 255, 64).sum(1, dtype=np.uint8).sum(0, dtype=np.int64)
+        ones += bits[whole:].sum(0, dtype=np.uint8)
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<i8")[0])
+
+
+def shingle_hashes(text: str, words_each: int, seed: int) -> np.ndarray:
+    """XXH64 of a text's word shingles, repeats included, in ASCII lower case; of all its words if there are fewer."""
     from xxhash import xxh64_intdigest as xx
 
+    words = text.encode().lower().split()
+    if not words:
+        return np.empty(0, "<u8")
+    each = min(words_each, len(words))
+    joined = b" ".join(words)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(sizes + 1) - 1
+    starts = (ends - sizes)[: len(words) - each + 1].tolist()
+    ends = ends[each - 1 :].tolist()
+    return np.fromiter((xx(joined[a:b], seed) for a, b in zip(starts, ends, strict=True)), "<u8", len(starts))
+
+
+def fingerprinter(words_each: int = 3, seed: int = 42) -> Callable[[str], int]:
+    """SimHash of a text: a bit is 1 if it is set in over half of its shingles' hashes; 0 for a text without words."""
+
     def fingerprint(text: str) -> int:
-        words = text.encode().lower().split()
-        if not words:
-            return 0
-        each = min(words_each, len(words))
-        joined = b" ".join(words)
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        ends = np.cumsum(sizes + 1) - 1
-        starts = (ends - sizes)[: len(words) - each + 1].tolist()
-        ends = ends[each - 1 :].tolist()
-        hashes = np.fromiter((xx(joined[a:b], seed) for a, b in zip(starts, ends, strict=True)), "<u8", len(starts))
-        ones = np.zeros(64, np.int64)
-        for at in range(0, len(hashes), 255 * 64):
-            part = hashes[at : at + 255 * 64]
-            bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            whole = len(bits) // 255 * 255
-            if whole:
-                ones += bits[:whole].reshape(-1, 255, 64).sum(1, dtype=np.uint8).sum(0, dtype=np.int64)
-            ones += bits[whole:].sum(0, dtype=np.uint8)
-        return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<i8")[0])
+        hashes = shingle_hashes(text, words_each, seed)
+        return majority_bits(hashes) if len(hashes) else 0
 
     return fingerprint
 
 
+def sketcher(words_each: int, parts: int, seed: int = 42) -> Callable[[str], list[int]]:
+    """`parts` SimHashes of the same shingles, each over the hashes mixed anew."""
+
+    def sketch(text: str) -> list[int]:
+        hashes, out = shingle_hashes(text, words_each, seed), []
+        for k in range(parts):
+            mixed = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15 + 2 * k)
+            out.append(majority_bits(mixed ^ (mixed >> np.uint64(29))) if len(hashes) else 0)
+        return out
+
+    return sketch
+
+
 def masks(radius: int, seed: int = 7) -> list[int]:
     """2^(radius+1) - 1 masks of 64 bits such that any `radius` bits are all outside at least one of them.
 
@@ -165,19 +188,23 @@ def distinct_words(text: str) -> str:
     return " ".join(dict.fromkeys(w.decode() for w in text.encode().lower().split()))
 
 
+#: Columns of a node's sketch.
+CHECKS = ("c0", "c1", "c2", "c3")
+
+
 def pair_links(prints: DataFrame, radius: int, within: int) -> DataFrame:
-    """(a, b): links of a forest over the nodes (node, fp, check): fp within `radius` bits, check within `within` bits.
+    """(a, b): links of a forest over the nodes (node, fp, c0 ... c3): fp within `radius` bits, the rest within `within` together.
 
     Pairs meet in a table of covering masks over fp; both distances are then taken, in blocks of a bucket against
     its rest, and only the links of a bucket's forest are returned.
     """
     tables = masks(radius)
     signed = [m - (1 << 64) if m >> 63 else m for m in tables]
-    keyed = prints.select("node", "fp", "check", F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(signed)])).alias("x"))
-    dealt = keyed.select("x.t", "x.key", "node", "fp", "check").repartition("t", "key").sortWithinPartitions("t", "key", "node")
+    keyed = prints.select("node", "fp", *CHECKS, F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(signed)])).alias("x"))
+    dealt = keyed.select("x.t", "x.key", "node", "fp", *CHECKS).repartition("t", "key").sortWithinPartitions("t", "key", "node")
 
     def links(rows: np.ndarray) -> list[tuple[int, int]]:
-        nodes, fp, check = rows[:, 2], rows[:, 3].view(np.uint64), rows[:, 4].view(np.uint64)
+        nodes, prints = rows[:, 2], np.ascontiguousarray(rows[:, 3:].T).view(np.uint64)
         parent = list(range(len(nodes)))
 
         def root(x: int) -> int:
@@ -190,8 +217,9 @@ def pair_links(prints: DataFrame, radius: int, within: int) -> DataFrame:
             own = slice(at, at + 512)
             for to in range(at, len(nodes), 1 << 15):
                 rest = slice(to, to + (1 << 15))
-                close = (np.bitwise_count(fp[own, None] ^ fp[None, rest]) <= radius) & (np.bitwise_count(check[own, None] ^ check[None, rest]) <= within)
-                for i, j in np.argwhere(close).tolist():
+                i, j = np.nonzero(np.bitwise_count(prints[0, own, None] ^ prints[0, None, rest]) <= radius)
+                apart = np.bitwise_count(prints[1:, at + i] ^ prints[1:, to + j]).sum(0, dtype=np.int64)
+                for i, j in np.stack([i, j], 1)[apart <= within].tolist():
                     a, b = root(at + i), root(to + j)
                     if a != b:
                         parent[max(a, b)] = min(a, b)
@@ -211,7 +239,7 @@ def pair_links(prints: DataFrame, radius: int, within: int) -> DataFrame:
 
         for batch in batches:
             if batch.num_rows:
-                held.append(np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5)], 1))
+                held.append(np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4 + len(CHECKS))], 1))
                 if (held[0][0, :2] != held[-1][-1, :2]).any():
                     found, left = done(np.concatenate(held), False)
                     held = [left]
@@ -222,22 +250,23 @@ def pair_links(prints: DataFrame, radius: int, within: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def near_classes(docs: DataFrame, radius: int = 5, words_each: int = 5, within: int = 14, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_classes(docs: DataFrame, radius: int = 5, words_each: int = 5, within: int = 46, text_col: str = "text") -> DataFrame:
     """(mark, component): for each distinct text that is near another one, the class it belongs to.
 
     mark = XXH64 of the text, by which equal texts are one. Candidates come from covering LSH over the SimHash of
-    a text's distinct words, which changes in few bits between near copies, at `radius`; a link also needs the SimHash
-    of its `words_each`-word shingles within `within` bits. A Jaccard similarity of 0.8 leaves about
-    64 * acos(2 * 0.8 / 1.8) / pi = 10 bits between these, give or take 3; unrelated texts differ in about 32.
+    a text's distinct words, which changes in few bits between near copies, at `radius`; a link also needs 256 bits of
+    SimHash of its `words_each`-word shingles to differ in `within` at most. A Jaccard similarity of 0.8 leaves
+    about 256 * acos(2 * 0.8 / 1.8) / pi = 39 bits between these, give or take 6; 0.6 leaves 59, none 128.
     """
 
     def make() -> Callable[[str], tuple]:
-        one, many = fingerprinter(1), fingerprinter(words_each)
-        return lambda text: (one(distinct_words(text)), many(text))
+        one, many = fingerprinter(1), sketcher(words_each, len(CHECKS))
+        return lambda text: (one(distinct_words(text)), *many(text))
 
     C.with_checkpoints(docs.sparkSession)
     marked = docs.select(F.xxhash64(F.coalesce(C.quoted(text_col), F.lit(""))).alias("node"), C.quoted(text_col).alias("_text"))
-    nodes = C.map_text(marked, make, [C.field("fp", "long"), C.field("check", "long")], "_text", ["node"]).groupBy("node").agg(F.first("fp").alias("fp"), F.first("check").alias("check")).checkpoint()
+    prints = C.map_text(marked, make, [C.field(c, "long") for c in ("fp", *CHECKS)], "_text", ["node"])
+    nodes = prints.groupBy("node").agg(*[F.first(c).alias(c) for c in ("fp", *CHECKS)]).checkpoint()
     return C.components(pair_links(nodes, radius, within)).select(F.col("node").alias("mark"), "component")
 
 
@@ -247,7 +276,7 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Texts without a word are one group. Rows that tie on the id are told apart by their text and, if that is equal,
     one of them is kept. Columns and their order stay.
     """
-    classes = near_classes(docs, id_col=id_col, text_col=text_col, **options)
+    classes = near_classes(docs, text_col=text_col, **options)
     mark = F.xxhash64(F.coalesce(C.quoted(text_col), F.lit("")))
     keys = docs.select(mark.alias("mark"), C.quoted(id_col).alias("id")).groupBy("mark").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("least"))
     group = keys.join(classes, "mark", "left").withColumn("group", F.coalesce("component", "mark"))
