@@ -20,6 +20,8 @@ CACHED_WORDS = 250_000
 #: First bytes of a script's UTF-8 sequences, from and to (exclusive); fixed values of Unicode.
 SCRIPTS = (("latin", 0xC3, 0xC9), ("greek", 0xCE, 0xD0), ("cyrillic", 0xD0, 0xD4), ("hebrew", 0xD6, 0xD8), ("arabic", 0xD8, 0xDC), ("indic", 0xE0, 0xE1), ("kana", 0xE3, 0xE4), ("han", 0xE4, 0xEA), ("hangul", 0xEA, 0xEE))
 MEASURES = ("chars_per_token", "byte_share", "token_entropy")
+#: Interquartile ranges from the median to a band's end.
+SPREAD = {"chars_per_token": 4.0, "byte_share": 6.0, "token_entropy": 2.0}
 FIELDS = [C.field(n, k) for n, k in (("n_words", "long"), ("word_chars", "long"), ("n_symbols", "long"), ("n_dup_lines", "long"), ("n_repeat_words", "long"), ("base_failed", "boolean"), ("n_tokens", "long"), ("chars_per_token", "double"), ("byte_share", "double"), ("token_entropy", "double"), ("script", "string"))]
 _COUNTERS: dict[str, Callable] = {}
 
@@ -127,24 +129,24 @@ def measurer(path: str) -> Callable[[str], tuple]:
     return measure
 
 
-def bands(measured: DataFrame, key: str = "band_key", spread: float = 6.0) -> DataFrame:
-    """(key, least_<m>, most_<m>): the median of all the key's documents, and `spread` interquartile ranges about it."""
+def bands(measured: DataFrame, key: str = "band_key", spread: dict[str, float] | None = None) -> DataFrame:
+    """(key, mid_<m>, width_<m>): the median of all the key's documents, and so many interquartile ranges."""
     quantiles = measured.where("n_tokens > 0").groupBy(key).agg(*[F.percentile_approx(m, [0.25, 0.5, 0.75], 10_000).alias(m) for m in MEASURES])
 
     def width(m: str, floor: float) -> Column:
-        return spread * F.greatest(F.col(m)[2] - F.col(m)[0], F.lit(floor))
+        return (spread or SPREAD)[m] * F.greatest(F.col(m)[2] - F.col(m)[0], F.lit(floor))
 
     floors = {"chars_per_token": 0.05, "byte_share": 0.01, "token_entropy": 0.1}
     return quantiles.select(key, *[F.col(m)[1].alias(f"mid_{m}") for m in MEASURES], *[width(m, floors[m]).alias(f"width_{m}") for m in MEASURES])
 
 
-def fertility_rules(docs: DataFrame, vocabulary: str, lang_col: str = "lang", text_col: str = "text", keep: list[str] | None = None, spread: float = 6.0, steady: int = 256) -> DataFrame:
+def fertility_rules(docs: DataFrame, vocabulary: str, lang_col: str = "lang", text_col: str = "text", keep: list[str] | None = None, spread: dict[str, float] | None = None, steady: int = 256) -> DataFrame:
     """Measure each whole text and keep it if the base rules and the bands of its language or script hold.
 
     Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_tokens, chars_per_token,
     byte_share (of tokens that stand for one byte), token_entropy (bits), script, band_key and kept. A document's
     band is that of `lang_col`, or of its script where the language is null: median of all such documents, give or
-    take `spread` interquartile ranges, wider by sqrt(steady / n_tokens) under `steady` tokens, as measures of
+    take `spread` (by measure) interquartile ranges, wider by sqrt(steady / n_tokens) under `steady` tokens, as measures of
     short texts scatter. Of the entropy only the lower end rejects, and of the byte share only the upper.
     A null text has no words: its counts are 0 and it fails the base rules. Columns of `docs` with the new names
     are replaced; repeated rows are judged one by one; an empty table gives an empty one.
