@@ -14,7 +14,7 @@ from . import common as C
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources in the order of their names, repeating.
 WEIGHTS = (3, 1, 2)
-#: Sources that a mix may have: a row of a tree's node holds a count for each.
+#: Up to so many sources their table is broadcast; a larger one is joined by shuffles.
 MOST_SOURCES = 100_000
 #: Multiplies a draw's number to permute a source's draws; a prime above any number of draws.
 PRIME = 2_147_483_647
@@ -93,7 +93,7 @@ def targets(sizes: DataFrame, share: float, cap: float, weights: tuple[int, ...]
 
     Targets share `share` of all words by weight; one above `cap` times its source's words stops there and the
     excess is shared again. In the order of cap per weight, the first source that the rest's rate leaves under
-    its cap fixes the rate. Sources are few (MOST_SOURCES), so the windows over all of them stay small.
+    its cap fixes the rate. The windows run over one narrow row a source, and a node of the tree holds one count a source.
     """
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     ranked = sizes.withColumn("at", F.row_number().over(by_name) - 1)
@@ -133,9 +133,8 @@ def plan(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[i
     aims = targets(sizes, share, cap, weights).withColumn("buckets", F.ceil(F.col("docs") / F.lit(block_docs)))
     aims = aims.withColumns({"turns": F.when(F.col("words") > 0, F.floor(F.col("quota") / F.col("words"))).otherwise(0).cast("bigint")})
     aims = aims.withColumn("rest", F.col("quota") - F.col("turns") * F.col("words")).checkpoint()
-    if aims.count() > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    small = F.broadcast(aims.withColumnRenamed("source", "s"))  # at most MOST_SOURCES narrow rows
+    spread = F.broadcast if aims.count() <= MOST_SOURCES else lambda rows: rows
+    small = spread(aims.withColumnRenamed("source", "s"))
 
     dealt = narrow.join(small, narrow["source"].eqNullSafe(F.col("s"))).drop("s").withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed + 1), "mark"), F.col("buckets")))
     blocks = dealt.groupBy("at", "bucket").agg(F.sum("size").alias("block_words"))
@@ -147,7 +146,7 @@ def plan(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[i
     over_runs = Window.partitionBy("at").orderBy("run")
     runs = runs.select("at", "run", (F.sum("rw").over(over_runs) - F.col("rw")).alias("w1"), (F.sum("rn").over(over_runs) - F.col("rn")).alias("n1"))
     blocks = blocks.join(runs, ["at", "run"]).select("at", "bucket", (F.col("w0") + F.col("w1")).alias("before"), (F.col("n0") + F.col("n1")).alias("number"))
-    blocks = blocks.join(F.broadcast(aims.select("at", "turns", "rest")), "at").checkpoint()
+    blocks = blocks.join(spread(aims.select("at", "turns", "rest")), "at").checkpoint()
 
     counts = blocks.groupBy("at").agg(F.count("*").alias("n"), F.sum(F.when(F.col("before") < F.col("rest"), 1).otherwise(0)).alias("part"), F.first("turns").alias("turns"))
     counts = counts.select("at", "n", (F.col("n") * F.col("turns") + F.col("part")).alias("draws")).checkpoint()
@@ -160,7 +159,7 @@ def plan(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[i
 
     turn = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("turns"))).alias("epoch")
     draws = blocks.select("at", "bucket", "number", "turns", "before", "rest", turn).where("epoch < turns or before < rest")
-    draws = draws.join(F.broadcast(counts), "at").withColumn("turned", F.pmod((F.col("epoch") * F.col("n") + F.col("number")) * F.lit(PRIME) + F.pmod(F.xxhash64(F.lit(seed), "at"), F.col("draws")), F.col("draws")))
+    draws = draws.join(spread(counts), "at").withColumn("turned", F.pmod((F.col("epoch") * F.col("n") + F.col("number")) * F.lit(PRIME) + F.pmod(F.xxhash64(F.lit(seed), "at"), F.col("draws")), F.col("draws")))
     placed = draws.join(shards, ["at", "turned"]).groupBy("at", "bucket").agg(F.array_sort(F.collect_list(F.struct("epoch", "shard"))).alias("own"))  # two or three a block
     placed = blocks.select("at", "bucket", "before").join(placed, ["at", "bucket"], "left")
 
