@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 #: Rows of a tree, entries of a page, and queries of a block: what a task holds.
-TREE_ROWS, PAGE, BLOCK_ROWS = 8192, 128, 8192
+TREE_ROWS, PAGE, BLOCK_ROWS = 4096, 128, 8192
 #: Added to bounds, in proportion, against the rounding of square roots.
 SLACK = 1e-9
 
@@ -135,6 +135,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, id_
         return pa.table([pa.array([x[i] for x in out], pa.int64()) for i in range(4)], names=["query_id", "same", "vec_id", "score"])
 
     keys = ["tree", "block", "dims"]
-    found = dealt.groupBy(*keys).cogroup(met.groupBy(*keys)).applyInArrow(run, "query_id long, same long, vec_id long, score long")
+    parts = min(100_000, max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), trees * blocks))  # small rows, much work: not to be coalesced
+    found = dealt.repartition(parts, *keys).groupBy(*keys).cogroup(met.repartition(parts, *keys).groupBy(*keys)).applyInArrow(run, "query_id long, same long, vec_id long, score long")
     order = Window.partitionBy("query_id", "same").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
