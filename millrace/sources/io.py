@@ -27,16 +27,22 @@ def read_parquet(spark: SparkSession, paths: list[str], schema: T.StructType | N
     return out
 
 
-def split_slice(df: DataFrame, start: float, stop: float, order: list[str], buckets: int = 64) -> DataFrame:
+def split_slice(df: DataFrame, start: float, stop: float, order: list[str], ranges: int = 64) -> DataFrame:
     """Rows from the share `start` to `stop` of the table in the order of a unique key, like train[:75%].
 
-    The place of a row is its place in a range of the key plus the rows of the ranges before, so that no task sorts all rows.
+    The place of a row is its place in a range of the key plus the rows of the ranges before, so that no task sorts all
+    rows. The ranges' bounds come from a sample of bounded size in hash order: they are values, the same wherever used.
     """
-    ranged = df.repartitionByRange(buckets, *order).withColumn("_range", F.spark_partition_id())
+    keys = df.select(*order)
+    sample = sorted(tuple(r) for r in keys.dropna().orderBy(F.xxhash64(*order)).limit(ranges * 20).collect())
+    cuts = sample[:: max(1, len(sample) // ranges)]
+    own = F.struct(*order)
+    bounds = F.array(*[F.struct(*[F.lit(v).cast(keys.schema[c].dataType).alias(c) for c, v in zip(order, cut, strict=True)]) for cut in cuts]) if cuts else F.array(own)
+    ranged = df.withColumn("_range", F.size(F.filter(bounds, lambda cut: cut <= own)))
     counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
     before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).withColumn("_all", F.sum("_n").over(Window.partitionBy()))
-    place = F.col("_before") + F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
-    placed = ranged.join(F.broadcast(before), "_range").withColumn("_place", place)  # one row for each of a fixed number of ranges
+    placed = ranged.join(F.broadcast(before), "_range")  # one row a range
+    placed = placed.withColumn("_place", F.col("_before") + F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1)
     inside = (F.col("_place") >= F.floor(F.col("_all") * start)) & (F.col("_place") < F.floor(F.col("_all") * stop))
     return placed.where(inside).select(*df.columns)
 
