@@ -110,14 +110,35 @@ def graded(given: str | None, truth: str | None) -> bool | None:
 def repetition(text: str) -> float:
     """Twice the sum of the longest common prefixes of neighbouring suffixes, over n (n + 1): 1 for one letter, 0 for none."""
     n = len(text)
-    order = sorted(range(n), key=lambda i: text[i : i + 512])
-    total = 0
-    for i, j in zip(order, order[1:], strict=False):
-        k = 0
-        while i + k < n and j + k < n and text[i + k] == text[j + k]:
-            k += 1
-        total += k
-    return 2 * total / (n * (n + 1)) if n else 0.0
+    if not n:
+        return 0.0
+    # that sum is all substrings less the distinct ones, which a suffix automaton counts in one pass
+    links, sizes, steps, last, distinct = [-1], [0], [{}], 0, 0
+    for c in text:
+        new = len(sizes)
+        sizes.append(sizes[last] + 1)
+        steps.append({})
+        links.append(0)
+        p = last
+        while p >= 0 and c not in steps[p]:
+            steps[p][c] = new
+            p = links[p]
+        if p >= 0:
+            q = steps[p][c]
+            if sizes[q] == sizes[p] + 1:
+                links[new] = q
+            else:
+                twin = len(sizes)
+                sizes.append(sizes[p] + 1)
+                steps.append(dict(steps[q]))
+                links.append(links[q])
+                while p >= 0 and steps[p].get(c) == q:
+                    steps[p][c] = twin
+                    p = links[p]
+                links[q] = links[new] = twin
+        distinct += sizes[new] - sizes[links[new]]
+        last = new
+    return 1 - 2 * distinct / (n * (n + 1))
 
 
 #: What may stand before an answer in a sentence.

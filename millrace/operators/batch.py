@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.sources.io import placed
+
 
 def select_columns(df: DataFrame, names: list[str], row: str = "row_id") -> DataFrame:
     missing = [n for n in names if n not in df.columns]
@@ -105,7 +107,9 @@ def fold(df: DataFrame, column: str, group: int, row: str = "row_id") -> DataFra
 
 def epochs(df: DataFrame, batch: int, n: int, times: int, seed: int, key: str = "row_id") -> DataFrame:
     """(epoch, batch_id) of each row: each epoch shuffles by a hash of its own; the last short batch is dropped."""
-    out = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
-    order = Window.partitionBy("epoch").orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epoch").cast("string"), F.col(key).cast("string"))), key)
-    out = out.withColumn("batch_id", F.floor((F.row_number().over(order) - 1) / batch))
+    out: DataFrame | None = None
+    for epoch in range(times):
+        mixed = df.withColumn("_mark", F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(epoch)), F.col(key).cast("string"))))
+        one = placed(mixed, ["_mark", key]).select(*df.columns, F.lit(epoch).alias("epoch"), F.floor(F.col("_place") / batch).alias("batch_id"))
+        out = one if out is None else out.unionByName(one)
     return out.where(F.col("batch_id") < n // batch)

@@ -16,11 +16,11 @@ from millrace.plans import views as V
 
 @register()
 def filtered_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Samples drawn by the square of their score, with return, in each source's batch."""
-    rows = V.rollouts(spark, sf_dir).where("uid < 2000").withColumn("row", F.col("uid") * 64 + F.col("idx"))
-    w = Window.partitionBy("data_source")
+    """Samples drawn by the square of their score, with return, in each batch of 256 prompts."""
+    rows = V.rollouts(spark, sf_dir).withColumns({"row": F.col("uid") * 64 + F.col("idx"), "batch": F.floor(F.col("uid") / 256)})
+    w = Window.partitionBy("batch")
     rows = rows.withColumn("w", R.weight(F.col("score") / 100, "pow", F.max("score").over(w), F.min("score").over(w)))
-    return R.draw(rows, "data_source", "row", "w", 3)
+    return R.draw(rows, "batch", "row", "w", 3)
 
 
 @register("SELECT CAST(uid % 4 AS INT) AS worker, count(*) AS n, round(avg(value), 6) + 0.0 AS mean, round(max(value), 6) + 0.0 AS high, round(min(value), 6) + 0.0 AS low, round(stddev_samp(value), 6) + 0.0 AS std, round(sum(value * mask) / sum(mask), 6) + 0.0 AS masked FROM tokens GROUP BY 1")
@@ -75,11 +75,11 @@ def token_sequence_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("conv_id", F.size(parts).cast("long").alias("tokens"), (parts == P.tokens_of(F.array_join("x", " "))).alias("agree"))
 
 
-@register("SELECT uid, array_to_string(list_filter(list(CASE WHEN mask = 0 THEN 0 ELSE t END ORDER BY t), lambda x: x <> 0), ' ') AS kept, CAST(max(count(*)) OVER () AS BIGINT) AS longest FROM tokens WHERE uid < 500 GROUP BY uid")
+@register("SELECT uid, array_to_string(list_filter(list(CASE WHEN mask = 0 THEN 0 ELSE t END ORDER BY t), lambda x: x <> 0), ' ') AS kept, CAST(max(count(*)) OVER (PARTITION BY floor(uid / 256)) AS BIGINT) AS longest FROM tokens GROUP BY uid")
 def ragged_padding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lists padded at the left to the longest of a micro-batch (uid < 500), and stripped of padding again."""
-    rows = V.tokens(spark, sf_dir).where("uid < 500").groupBy("uid").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "mask"))), lambda x: F.when(x["mask"] == 0, 0).otherwise(x["t"])).alias("x"), F.count("*").alias("n"))
-    longest = F.max("n").over(Window.partitionBy())
+    """Lists padded at the left to the longest of their micro-batch (256 uids), and stripped of padding again."""
+    rows = V.tokens(spark, sf_dir).groupBy("uid").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "mask"))), lambda x: F.when(x["mask"] == 0, 0).otherwise(x["t"])).alias("x"), F.count("*").alias("n"))
+    longest = F.max("n").over(Window.partitionBy(F.floor(F.col("uid") / 256)))
     padded = rows.withColumn("longest", longest).withColumn("p", F.concat(F.array_repeat(F.lit(0), (F.col("longest") - F.col("n")).cast("int")), F.col("x")))
     return padded.select("uid", F.array_join(F.filter("p", lambda v: v != 0).cast("array<string>"), " ").alias("kept"), "longest")
 

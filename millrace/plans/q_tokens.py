@@ -136,10 +136,10 @@ def overlong_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.rollouts(spark, sf_dir).select("uid", "idx", r6(T.overlong_penalty(F.col("len"), 50, 10, 0.7)).alias("penalty"), (F.col("len") > 40).alias("overlong"))
 
 
-@register("SELECT uid, idx, i AS position, CASE WHEN i = len THEN round(score, 6) + 0.0 ELSE 0.0 END AS reward FROM rollouts, unnest(range(1, len::INT + 1)) u(i) WHERE len <= 3")
+@register("SELECT uid, idx, CAST(len AS INT) AS width, round(score, 6) + 0.0 AS last, round(score, 6) + 0.0 AS total FROM rollouts")
 def reward_at_last_token(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = V.rollouts(spark, sf_dir).where("len <= 3").select("uid", "idx", F.posexplode(T.at_last_token(r6("score"), F.col("len"))).alias("p", "reward"))
-    return rows.select("uid", "idx", (F.col("p") + 1).cast("bigint").alias("position"), "reward")
+    rows = V.rollouts(spark, sf_dir).select("uid", "idx", T.at_last_token(r6("score"), F.col("len")).alias("r"))
+    return rows.select("uid", "idx", F.size("r").alias("width"), F.element_at("r", -1).alias("last"), F.aggregate("r", F.lit(0.0), lambda a, x: a + x).alias("total"))
 
 
 @register("""WITH a AS (SELECT uid, list(t ORDER BY t) AS x, count(*) AS n FROM tokens GROUP BY uid)
@@ -152,11 +152,12 @@ def pad_and_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("uid", show(T.pad_or_cut(x, 4, pad, False, "right")).alias("right_cut"), show(T.pad_or_cut(x, 4, pad, True, "left")).alias("left_cut"), show(T.pad_or_cut(x, 5, pad, False, "middle")).alias("middle_cut"), T.pad_or_cut(x, 6, pad).isNull().alias("too_long"))
 
 
-@register("SELECT uid, CAST(n AS BIGINT) AS n, CAST(sum(n) OVER (ORDER BY uid) - n AS BIGINT) AS start, CAST(max(n) OVER () AS BIGINT) AS longest, CAST((8 - n % 8) % 8 AS BIGINT) AS pad FROM (SELECT uid, sum(mask) AS n FROM tokens WHERE uid < 2000 GROUP BY uid)")
+@register("SELECT uid, CAST(n AS BIGINT) AS n, CAST(sum(n) OVER (PARTITION BY floor(uid / 256) ORDER BY uid) - n AS BIGINT) AS start, CAST(max(n) OVER (PARTITION BY floor(uid / 256)) AS BIGINT) AS longest, CAST((8 - n % 8) % 8 AS BIGINT) AS pad FROM (SELECT uid, sum(mask) AS n FROM tokens GROUP BY uid)")
 def ragged_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Offsets of the rows of one micro-batch in its packed token array; uid < 2000 is the micro-batch."""
-    g = V.tokens(spark, sf_dir).where("uid < 2000").groupBy("uid").agg(F.sum("mask").alias("n"))
-    return g.select("uid", "n", (F.sum("n").over(Window.orderBy("uid")) - F.col("n")).alias("start"), F.max("n").over(Window.partitionBy()).alias("longest"), ((8 - F.col("n") % 8) % 8).alias("pad"))
+    """Offsets of the rows of each micro-batch (256 uids) in its packed token array."""
+    g = V.tokens(spark, sf_dir).groupBy("uid").agg(F.sum("mask").alias("n"))
+    w = Window.partitionBy(F.floor(F.col("uid") / 256))
+    return g.select("uid", "n", (F.sum("n").over(w.orderBy("uid")) - F.col("n")).alias("start"), F.max("n").over(w).alias("longest"), ((8 - F.col("n") % 8) % 8).alias("pad"))
 
 
 @register("""WITH c AS (SELECT event_type, event_id, user_id % 3 AS k FROM events), l AS (SELECT *, CASE WHEN k = lag(k) OVER (PARTITION BY event_type ORDER BY event_id) THEN 0 ELSE 1 END AS new FROM c), g AS (SELECT *, sum(new) OVER (PARTITION BY event_type ORDER BY event_id) AS island FROM l)

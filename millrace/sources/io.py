@@ -27,8 +27,8 @@ def read_parquet(spark: SparkSession, paths: list[str], schema: T.StructType | N
     return out
 
 
-def split_slice(df: DataFrame, start: float, stop: float, order: list[str], ranges: int = 64) -> DataFrame:
-    """Rows from the share `start` to `stop` of the table in the order of a unique key, like train[:75%].
+def placed(df: DataFrame, order: list[str], ranges: int = 64) -> DataFrame:
+    """df with _place, a row's number from 0 in the order of a unique key, and _all, the number of rows.
 
     The place of a row is its place in a range of the key plus the rows of the ranges before, so that no task sorts all
     rows. The ranges' bounds come from a sample of bounded size in hash order: they are values, the same wherever used.
@@ -41,10 +41,15 @@ def split_slice(df: DataFrame, start: float, stop: float, order: list[str], rang
     ranged = df.withColumn("_range", F.size(F.filter(bounds, lambda cut: cut <= own)))
     counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
     before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).withColumn("_all", F.sum("_n").over(Window.partitionBy()))
-    placed = ranged.join(F.broadcast(before), "_range")  # one row a range
-    placed = placed.withColumn("_place", F.col("_before") + F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1)
+    place = F.col("_before") + F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    return ranged.join(F.broadcast(before), "_range").select(*df.columns, place.alias("_place"), "_all")  # before: one row a range
+
+
+def split_slice(df: DataFrame, start: float, stop: float, order: list[str]) -> DataFrame:
+    """Rows from the share `start` to `stop` of the table in the order of a unique key, like train[:75%]."""
+    rows = placed(df, order)
     inside = (F.col("_place") >= F.floor(F.col("_all") * start)) & (F.col("_place") < F.floor(F.col("_all") * stop))
-    return placed.where(inside).select(*df.columns)
+    return rows.where(inside).select(*df.columns)
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
