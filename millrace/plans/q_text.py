@@ -75,9 +75,9 @@ def qa_exact_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", X.qa_normalized(F.col("text")).alias("pred"))
     words = lambda c: F.split(c, " ")
     long = g.where(F.size(words(F.col("gold"))) >= 6).withColumn("run", F.array_join(F.slice(words(F.col("gold")), 2, 4), " "))
-    w = words(F.col("pred"))
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 3, F.lit(1))), lambda i: F.array_join(F.slice(w, i, 4), " "))
-    near = d.withColumn("run", F.explode(F.array_distinct(runs))).join(long, "run").drop("run")
+    runs = d.select("doc_id", words(F.col("pred")).alias("w")).select("doc_id", F.explode(F.arrays_zip(*[F.slice("w", k, F.greatest(F.size("w") - 3, F.lit(0))).alias(f"w{k}") for k in (1, 2, 3, 4)])).alias("r"))
+    hits = runs.select("doc_id", F.concat_ws(" ", "r.w1", "r.w2", "r.w3", "r.w4").alias("run")).join(long, "run").select("doc_id", "item_id", "gold").distinct()
+    near = d.join(hits, "doc_id")
     short = d.join(g.where(F.size(words(F.col("gold"))) < 6), F.contains("pred", "gold"))
     return near.unionByName(short.select(*near.columns)).where(F.contains("pred", "gold")).select("doc_id", "item_id", (F.col("gold") == F.col("pred")).alias("em"), F.contains("pred", "gold").alias("sub_em"))
 
