@@ -46,7 +46,7 @@ def map_text(
 
         arrow, of = to_arrow_schema(schema), make()
         for batch in batches:
-            values = [of(x or "") for x in batch.column(at).to_pylist()]
+            values = [of(x or "") for x in texts(batch.column(at))]
             columns = zip(*values, strict=True) if values else ([] for _ in fields)
             made = [pa.array(list(v), arrow.field(len(kept) + i).type) for i, v in enumerate(columns)]
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(kept))] + made, schema=arrow)
@@ -54,6 +54,12 @@ def map_text(
     return source.mapInArrow(run, schema)
 
 
+def texts(column: pa.Array, step: int = 512) -> Iterator[str | None]:
+    """The values of an Arrow column, a few at a time: a batch's texts are never all Python strings at once."""
+    for at in range(0, len(column), step):
+        yield from column.slice(at, step).to_pylist()
+
+
 def quoted(name: str):
     return F.col(f"`{name.replace('`', '``')}`")
 

@@ -83,7 +83,7 @@ def fit(docs: DataFrame, sample: DataFrame, id_col: str = "doc_id", text_col: st
         for batch in batches:
             found: list[list[np.ndarray]] = [[], [], [], []]
             held = 0
-            for text, target in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for text, target in zip(C.texts(batch.column(0)), batch.column(1).to_pylist(), strict=True):
                 for k, grams in ((0, word_grams(text or "")), (2, letter_grams(text or ""))):
                     found[k].append(grams)
                     held += len(grams)

@@ -58,7 +58,7 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", smoot
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for lang, text in zip(batch.column(0).to_pylist(), C.texts(batch.column(1)), strict=True):
                 if (found := grams(text or "")) is not None:
                     if lang not in sums:
                         sums[lang] = np.zeros(BUCKETS, np.int64)

@@ -68,7 +68,7 @@ def token_counts(docs: DataFrame, tokens: frozenset[bytes], text_col: str) -> di
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[bytes] = Counter()
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for text in C.texts(batch.column(0)):
                 seen.update(tokens.intersection(words_of(text or "")))
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["token", "n"])
 

@@ -120,7 +120,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, most: int = 4096, id
 
         for batch in batches:
             rows, held = [], 0
-            for at, text in enumerate(batch.column(1).to_pylist()):
+            for at, text in enumerate(C.texts(batch.column(1))):
                 ids = encode(text or "") + end
                 start, n = 0, len(ids) // 4
                 for length in lengths(n, most):
