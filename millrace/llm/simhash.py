@@ -7,13 +7,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
 
 #: Up to so many fingerprints of a bucket are compared with one another; a larger bucket meets at middle points.
 COMPARED = 256
+#: Shingles of a block of texts that are compared exactly; two blocks are held at a time.
+BLOCK = 2_000_000
 
 
 def majority_bits(hashes: np.ndarray) -> int:
@@ -250,13 +252,74 @@ def pair_links(prints: DataFrame, radius: int, within: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def near_classes(docs: DataFrame, radius: int = 5, words_each: int = 5, within: int = 46, text_col: str = "text") -> DataFrame:
+def exact_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """A forest of links that joins sets exactly as all pairs with a Jaccard similarity of `similarity` or more would.
+
+    `sets`: arrays of distinct hashes, in order of size. Each is held against those after it that size allows and
+    that are not yet of its tree. Two empty sets are equal.
+    """
+    sizes = np.array([len(s) for s in sets], np.int64)
+    none = int(np.searchsorted(sizes, 0, "right"))
+    links = [(0, j) for j in range(1, none)]
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    if none == len(sets):
+        return links
+    values, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    held, label = np.zeros(len(values), bool), np.arange(len(sets))
+    for i in range(none, len(sets) - 1):
+        to = int(np.searchsorted(sizes, sizes[i] / similarity + 1e-6, "right"))
+        if to == i + 1 or (label[i + 1 : to] == label[i]).all():
+            continue
+        held[ids[starts[i] : ends[i]]] = True
+        both = np.add.reduceat(held[ids[starts[i + 1] : ends[to - 1]]], starts[i + 1 : to] - starts[i + 1], dtype=np.int64)
+        held[ids[starts[i] : ends[i]]] = False
+        like = i + 1 + np.flatnonzero(both / (sizes[i] + sizes[i + 1 : to] - both) >= similarity)
+        others, at = np.unique(label[like], return_index=True)
+        links += [(i, int(like[k])) for k, other in zip(at.tolist(), others.tolist(), strict=True) if other != label[i]]
+        label[np.isin(label, others)] = label[i]
+    return links
+
+
+def exact_links(texts: DataFrame, groups: DataFrame, words_each: int, similarity: float) -> DataFrame:
+    """(a, b): links of a forest over nodes of one component whose shingles have a Jaccard similarity of `similarity` or more.
+
+    texts (node, _text) may repeat a node; groups (node, component). The shingle sets of a component meet in one
+    group, or, beyond `BLOCK` shingles, in one for each two of its blocks in order of size that can hold such a pair.
+    """
+
+    def make() -> Callable[[str], tuple]:
+        def of(text: str) -> tuple[int, bytes]:
+            found = np.unique(shingle_hashes(text, words_each, 42))
+            return len(found), found.tobytes()
+
+        return of
+
+    once = texts.groupBy("node").agg(F.first("_text").alias("_text")).join(groups, "node")
+    sets = C.map_text(once, make, [C.field("size", "long"), C.field("hashes", "binary")], "_text", ["node", "component"]).checkpoint()
+    order = Window.partitionBy("component").orderBy("size", "node")
+    placed = sets.select("node", "component", "size", F.floor(F.sum("size").over(order) / F.lit(BLOCK)).alias("block"))
+    blocks = placed.groupBy("component", "block").agg(F.min("size").alias("least"), F.max("size").alias("most"))
+    later = blocks.select("component", F.col("block").alias("j"), F.col("least").alias("other"))
+    met = blocks.join(later, "component").where((F.col("block") <= F.col("j")) & (F.col("other") * F.lit(similarity) <= F.col("most") + 1))
+    cells = met.select("component", F.col("block").alias("i"), "j", F.explode(F.array_distinct(F.array("block", "j"))).alias("block"))
+    dealt = sets.select("node", "size", "hashes").join(placed.drop("size").join(cells, ["component", "block"]), "node")
+
+    def link(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("size", "ascending"), ("node", "ascending")])
+        nodes, found = table["node"].to_numpy(), exact_forest([np.frombuffer(x.as_buffer(), "<u8") for x in table["hashes"]], similarity)
+        return pa.table({name: pa.array([int(nodes[x[k]]) for x in found], pa.int64()) for k, name in enumerate("ab")})
+
+    return dealt.groupBy("component", "i", "j").applyInArrow(link, "a long, b long")
+
+
+def near_classes(docs: DataFrame, radius: int = 5, words_each: int = 5, within: int = 46, similarity: float = 0.8, text_col: str = "text") -> DataFrame:
     """(mark, component): for each distinct text that is near another one, the class it belongs to.
 
     mark = XXH64 of the text, by which equal texts are one. Candidates come from covering LSH over the SimHash of
-    a text's distinct words, which changes in few bits between near copies, at `radius`; a link also needs 256 bits of
-    SimHash of its `words_each`-word shingles to differ in `within` at most. A Jaccard similarity of 0.8 leaves
-    about 256 * acos(2 * 0.8 / 1.8) / pi = 39 bits between these, give or take 6; 0.6 leaves 59, none 128.
+    a text's distinct words, which changes in few bits between near copies, at `radius`, if also 256 bits of
+    SimHash of its `words_each`-word shingles differ in `within` at most. Two texts are then linked if and only if the
+    Jaccard similarity of their sets of `words_each`-word shingles is `similarity` or more.
     """
 
     def make() -> Callable[[str], tuple]:
@@ -267,7 +330,8 @@ def near_classes(docs: DataFrame, radius: int = 5, words_each: int = 5, within:
     marked = docs.select(F.xxhash64(F.coalesce(C.quoted(text_col), F.lit(""))).alias("node"), C.quoted(text_col).alias("_text"))
     prints = C.map_text(marked, make, [C.field(c, "long") for c in ("fp", *CHECKS)], "_text", ["node"])
     nodes = prints.groupBy("node").agg(*[F.first(c).alias(c) for c in ("fp", *CHECKS)]).checkpoint()
-    return C.components(pair_links(nodes, radius, within)).select(F.col("node").alias("mark"), "component")
+    groups = C.components(pair_links(nodes, radius, within))
+    return C.components(exact_links(marked, groups, words_each, similarity)).select(F.col("node").alias("mark"), "component")
 
 
 def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -277,6 +277,46 @@ def test_near_copies(spark, none):
     assert simhash.without_near_copies(none).count() == 0
 
 
+def brute_jaccard(a, b):
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in (a.split(), b.split())]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+@pytest.mark.parametrize("block", [800, 10**9])
+def test_near_copies_are_exact(spark, monkeypatch, block):
+    """Texts a little under 0.8 that the sketches take for copies both stay."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng = random.Random(16)
+    base = [[f"w{rng.randrange(90000)}" for _ in range(204)] for _ in range(12)]
+    texts = [" ".join(b) for b in base]
+    for k, b in enumerate(base):  # the words are the same, but a reversed run of n leaves (200 - n - 4) / (200 + n + 4)
+        n = (14, 18, 19, 21)[k % 4]
+        texts.append(" ".join([*b[:90], *b[90 : 90 + n][::-1], *b[90 + n :]]))
+    near = [brute_jaccard(texts[k], texts[12 + k]) >= 0.8 for k in range(12)]
+    assert sum(near) == 6
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS)
+    kept = {r.doc_id for r in simhash.without_near_copies(df).collect()}
+    assert kept >= {*range(12), *(12 + k for k in range(12) if not near[k])} and len(kept) < 24
+
+
+@pytest.mark.parametrize("similarity", [0.5, 0.8])
+def test_exact_forest(similarity):
+    rng = random.Random(17)
+    pools = [rng.sample(range(1000), 20) for _ in range(5)]
+    sets = sorted([set(rng.sample(rng.choice(pools), rng.randrange(12, 21))) for _ in range(80)] + [set(), set()], key=len)
+    links = simhash.exact_forest([np.array(sorted(s), "<u8") for s in sets], similarity)
+    want = [(i, j) for j in range(len(sets)) for i in range(j) if (len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]))]
+
+    def classes(pairs):
+        label = list(range(len(sets)))
+        for a, b in pairs:
+            old, new = max(label[a], label[b]), min(label[a], label[b])
+            label = [new if x == old else x for x in label]
+        return label
+
+    assert classes(links) == classes(want) and len(links) == len(sets) - len(set(classes(want)))
+
+
 def test_packing(docs, none):
     path = queries.vocabulary("word_bpe_49k.json")
     from tokenizers import Tokenizer
