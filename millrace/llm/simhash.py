@@ -1,4 +1,4 @@
-"""SimHash near-duplicates by covering locality-sensitive hashing."""
+"""Near-duplicates: SimHash classes by covering locality-sensitive hashing, and exact shingle similarity of MinHash candidates."""
 
 from __future__ import annotations
 
@@ -9,11 +9,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common as C
 
 #: Up to so many fingerprints of a bucket are compared with one another; a larger bucket meets at middle points.
 COMPARED = 256
+#: MinHashes of a key, and keys of a text.
+ROWS, BANDS = 5, 48
 #: Shingles of a block of texts that are compared exactly; two blocks are held at a time.
 BLOCK = 2_000_000
 
@@ -56,19 +59,6 @@ def fingerprinter(words_each: int = 3, seed: int = 42) -> Callable[[str], int]:
     return fingerprint
 
 
-def sketcher(words_each: int, parts: int, seed: int = 42) -> Callable[[str], list[int]]:
-    """`parts` SimHashes of the same shingles, each over the hashes mixed anew."""
-
-    def sketch(text: str) -> list[int]:
-        hashes, out = shingle_hashes(text, words_each, seed), []
-        for k in range(parts):
-            mixed = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15 + 2 * k)
-            out.append(majority_bits(mixed ^ (mixed >> np.uint64(29))) if len(hashes) else 0)
-        return out
-
-    return sketch
-
-
 def masks(radius: int, seed: int = 7) -> list[int]:
     """2^(radius+1) - 1 masks of 64 bits such that any `radius` bits are all outside at least one of them.
 
@@ -185,71 +175,26 @@ def simhash_classes(docs: DataFrame, words_each: int = 3, radius: int = 2, id_co
     return marked.join(classes, "fp", "left").select(*[C.quoted(c) for c in keep], "fp", "component_id")
 
 
-def distinct_words(text: str) -> str:
-    """Each word of a text once, in the order of first use, in ASCII lower case."""
-    return " ".join(dict.fromkeys(w.decode() for w in text.encode().lower().split()))
-
-
-#: Columns of a node's sketch.
-CHECKS = ("c0", "c1", "c2", "c3")
-
-
-def pair_links(prints: DataFrame, radius: int, within: int) -> DataFrame:
-    """(a, b): links of a forest over the nodes (node, fp, c0 ... c3): fp within `radius` bits, the rest within `within` together.
+def band_keys(words_each: int, bands: int = BANDS, rows: int = ROWS, seed: int = 42) -> Callable[[str], list[int]]:
+    """A key for each band of MinHashes of a text's distinct shingles: `rows` of them, mixed; the same for all texts without a word."""
+    draw = random.Random(seed)
+    flips, odds, mixers = (np.array([draw.getrandbits(64) | 1 for _ in range(bands * rows)], np.uint64) for _ in range(3))
 
-    Pairs meet in a table of covering masks over fp; both distances are then taken, in blocks of a bucket against
-    its rest, and only the links of a bucket's forest are returned.
-    """
-    tables = masks(radius)
-    signed = [m - (1 << 64) if m >> 63 else m for m in tables]
-    keyed = prints.select("node", "fp", *CHECKS, F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(signed)])).alias("x"))
-    dealt = keyed.select("x.t", "x.key", "node", "fp", *CHECKS).repartition("t", "key").sortWithinPartitions("t", "key", "node")
-
-    def links(rows: np.ndarray) -> list[tuple[int, int]]:
-        nodes, prints = rows[:, 2], np.ascontiguousarray(rows[:, 3:].T).view(np.uint64)
-        parent = list(range(len(nodes)))
-
-        def root(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        for at in range(0, len(nodes) - 1, 512):
-            own = slice(at, at + 512)
-            for to in range(at, len(nodes), 1 << 15):
-                rest = slice(to, to + (1 << 15))
-                i, j = np.nonzero(np.bitwise_count(prints[0, own, None] ^ prints[0, None, rest]) <= radius)
-                apart = np.bitwise_count(prints[1:, at + i] ^ prints[1:, to + j]).sum(0, dtype=np.int64)
-                for i, j in np.stack([i, j], 1)[apart <= within].tolist():
-                    a, b = root(at + i), root(to + j)
-                    if a != b:
-                        parent[max(a, b)] = min(a, b)
-        return [(int(nodes[i]), int(nodes[root(i)])) for i in range(len(nodes)) if root(i) != i]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-
-        def done(rows: np.ndarray, last: bool) -> tuple[list[tuple[int, int]], np.ndarray]:
-            cuts = np.flatnonzero((rows[1:, :2] != rows[:-1, :2]).any(1)) + 1
-            bounds = np.concatenate([[0], cuts, [len(rows)] if last else []]).astype(int)
-            found = [x for a, b in zip(bounds[:-1], bounds[1:], strict=True) if b - a > 1 for x in links(np.ascontiguousarray(rows[a:b]))]
-            return found, rows[bounds[-1] :]
+    def keys(text: str) -> list[int]:
+        hashes = np.unique(shingle_hashes(text, words_each, seed))
+        least = np.full(bands * rows, (1 << 64) - 1, np.uint64)
+        for at in range(0, len(hashes), 512):
+            least = np.minimum(least, ((hashes[at : at + 512] ^ flips[:, None]) * odds[:, None]).min(1))
+        mixed = (least * mixers).reshape(bands, rows).sum(1, dtype=np.uint64)
+        return (mixed ^ (mixed >> np.uint64(32)) ^ mixers[:bands]).view(np.int64).tolist()
 
-        def arrow(found: list[tuple[int, int]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+    return keys
 
-        for batch in batches:
-            if batch.num_rows:
-                held.append(np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4 + len(CHECKS))], 1))
-                if (held[0][0, :2] != held[-1][-1, :2]).any():
-                    found, left = done(np.concatenate(held), False)
-                    held = [left]
-                    yield arrow(found)
-        if held:
-            yield arrow(done(np.concatenate(held), True)[0])
 
-    return dealt.mapInArrow(run, "a long, b long")
+def band_links(keyed: DataFrame) -> DataFrame:
+    """(a, b): each node (node, key) and the least one that has the same key."""
+    low = keyed.withColumn("low", F.min("node").over(Window.partitionBy("key")))
+    return low.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
 
 
 def exact_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
@@ -313,24 +258,24 @@ def exact_links(texts: DataFrame, groups: DataFrame, words_each: int, similarity
     return dealt.groupBy("component", "i", "j").applyInArrow(link, "a long, b long")
 
 
-def near_classes(docs: DataFrame, radius: int = 5, words_each: int = 5, within: int = 46, similarity: float = 0.8, text_col: str = "text") -> DataFrame:
+def near_classes(docs: DataFrame, words_each: int = 5, similarity: float = 0.8, text_col: str = "text") -> DataFrame:
     """(mark, component): for each distinct text that is near another one, the class it belongs to.
 
-    mark = XXH64 of the text, by which equal texts are one. Candidates come from covering LSH over the SimHash of
-    a text's distinct words, which changes in few bits between near copies, at `radius`, if also 256 bits of
-    SimHash of its `words_each`-word shingles differ in `within` at most. Two texts are then linked if and only if the
-    Jaccard similarity of their sets of `words_each`-word shingles is `similarity` or more.
+    mark = XXH64 of the text, by which equal texts are one. Candidates share the key of a band of MinHashes of
+    their `words_each`-word shingles. The chance depends on their Jaccard similarity s alone, whatever the edits: none of the
+    `BANDS` keys agrees with (1 - s ** ROWS) ** BANDS, 5e-9 at 0.8 and less above. Two candidates are linked if and
+    only if s is `similarity` or more, taken exactly.
     """
 
     def make() -> Callable[[str], tuple]:
-        one, many = fingerprinter(1), sketcher(words_each, len(CHECKS))
-        return lambda text: (one(distinct_words(text)), *many(text))
+        keys = band_keys(words_each)
+        return lambda text: (keys(text),)
 
     C.with_checkpoints(docs.sparkSession)
     marked = docs.select(F.xxhash64(F.coalesce(C.quoted(text_col), F.lit(""))).alias("node"), C.quoted(text_col).alias("_text"))
-    prints = C.map_text(marked, make, [C.field(c, "long") for c in ("fp", *CHECKS)], "_text", ["node"])
-    nodes = prints.groupBy("node").agg(*[F.first(c).alias(c) for c in ("fp", *CHECKS)]).checkpoint()
-    groups = C.components(pair_links(nodes, radius, within))
+    prints = C.map_text(marked, make, [C.field("keys", T.ArrayType(T.LongType()))], "_text", ["node"])
+    nodes = prints.groupBy("node").agg(F.first("keys").alias("keys"))
+    groups = C.components(band_links(nodes.select("node", F.explode("keys").alias("key"))))
     return C.components(exact_links(marked, groups, words_each, similarity)).select(F.col("node").alias("mark"), "component")
 
 

@@ -299,6 +299,47 @@ def test_near_copies_are_exact(spark, monkeypatch, block):
     assert kept >= {*range(12), *(12 + k for k in range(12) if not near[k])} and len(kept) < 24
 
 
+def edited(rng, words, kind, share):
+    """A copy of the words with new ones at scattered places, in one run, or after the end."""
+    new = lambda n: [f"x{rng.randrange(90000)}" for _ in range(n)]
+    n = int(len(words) * share)
+    if kind == "appended":
+        return words + new(n)
+    if kind == "run":
+        at = rng.randrange(len(words) - n)
+        return [*words[:at], *new(n), *words[at + n :]]
+    places = set(rng.sample(range(len(words)), n))
+    return [new(1)[0] if i in places else w for i, w in enumerate(words)]
+
+
+def test_near_copies_against_brute_force(spark):
+    """All pairs at 0.8 or more and no others are joined, whatever the edit: scattered, a replaced run, appended text."""
+    rng, texts = random.Random(21), []
+    for kind, shares in (("scattered", (0.01, 0.018, 0.022, 0.03)), ("run", (0.06, 0.095, 0.12)), ("appended", (0.15, 0.235, 0.27))):
+        for share in shares:
+            for n in (120, 300, 450):
+                words = [f"w{rng.randrange(90000)}" for _ in range(n)]
+                texts += [" ".join(words), " ".join(edited(rng, words, kind, share))]
+    near = [brute_jaccard(texts[k], texts[k + 1]) >= 0.8 for k in range(0, len(texts), 2)]
+    assert 15 <= sum(near) <= 25
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS)
+    kept = {r.doc_id for r in simhash.without_near_copies(df).collect()}
+    assert kept == {*range(0, len(texts), 2), *(2 * k + 1 for k, n in enumerate(near) if not n)}
+
+
+def test_band_keys_find_all_pairs_at_the_limit():
+    """Of pairs at a Jaccard similarity of 0.8 none is without a common key, by every kind of edit."""
+    rng, keys, found = random.Random(22), simhash.band_keys(5), Counter()
+    for kind, share in (("scattered", 0.02), ("run", 0.1), ("appended", 0.245)):
+        for _ in range(300):
+            words = [f"w{rng.randrange(90000)}" for _ in range(rng.randrange(110, 460))]
+            a, b = " ".join(words), " ".join(edited(rng, words, kind, share))
+            if brute_jaccard(a, b) >= 0.8:
+                found[kind] += 1
+                assert set(keys(a)) & set(keys(b))
+    assert min(found.values()) > 50
+
+
 @pytest.mark.parametrize("similarity", [0.5, 0.8])
 def test_exact_forest(similarity):
     rng = random.Random(17)
