@@ -8,6 +8,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +22,8 @@ LABELLED = 50_000
 PRIOR, SCALE, SHARPEST = 3.0, 30.0, 4
 #: Both ratios of a document without a word.
 NOTHING = -1000.0
+#: Columns of counts on their way.
+SUMS = "segment int, part int, sums binary"
 
 
 def word_grams(text: str) -> np.ndarray:
@@ -74,9 +77,8 @@ def labelled_sample(labels: DataFrame, id_col: str, most: int) -> DataFrame:
     return ids.where(F.col("_good").isNotNull() & F.col("_toxic").isNotNull()).withColumn("_clean", F.col("_good") & ~F.col("_toxic")).orderBy(mark, "_id").limit(most).withColumn("_fits", F.pmod(mark, F.lit(2)) == 0)
 
 
-def fit(docs: DataFrame, sample: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """n-gram counts of all documents (raw) and of the sample's clean half (target). `sample` is bounded, so it is broadcast."""
-    rows = docs.select(C.quoted(id_col).alias("_id"), C.quoted(text_col).alias("_text")).join(F.broadcast(sample), "_id", "left").select("_text", F.coalesce(F.col("_clean") & F.col("_fits"), F.lit(False)).alias("_target"))
+def counted(rows: DataFrame) -> DataFrame:
+    """(segment, part, sums): each task's n-gram counts of rows (_text, _target), in segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((4, BUCKETS), np.int64)  # raw and target words, raw and target letters
@@ -95,10 +97,17 @@ def fit(docs: DataFrame, sample: DataFrame, id_col: str = "doc_id", text_col: st
                     found, held = [[], [], [], []], 0
             for k in range(4):
                 sums[k] += np.bincount(np.concatenate([*found[k], np.zeros(0, np.uint32)]), minlength=BUCKETS)
-        part = np.random.default_rng().integers(64)
+        part = TaskContext.get().partitionId() % 64  # a task that is run again sends its counts to the same reducer
         flat = sums.ravel()
         at = range(0, len(flat), SEGMENT)
-        yield pa.RecordBatch.from_arrays([pa.array([i // SEGMENT for i in at], pa.int32()), pa.array([int(part)] * len(at), pa.int32()), pa.array([flat[i : i + SEGMENT].astype("<i8").tobytes() for i in at], pa.binary())], names=["segment", "part", "sums"])
+        yield pa.RecordBatch.from_arrays([pa.array([i // SEGMENT for i in at], pa.int32()), pa.array([part] * len(at), pa.int32()), pa.array([flat[i : i + SEGMENT].astype("<i8").tobytes() for i in at], pa.binary())], names=["segment", "part", "sums"])
+
+    return rows.mapInArrow(run, SUMS)
+
+
+def fit(docs: DataFrame, sample: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """n-gram counts of all documents (raw) and of the sample's clean half (target). `sample` is bounded, so it is broadcast."""
+    rows = docs.select(C.quoted(id_col).alias("_id"), C.quoted(text_col).alias("_text")).join(F.broadcast(sample), "_id", "left").select("_text", F.coalesce(F.col("_clean") & F.col("_fits"), F.lit(False)).alias("_target"))
 
     def add(table: pa.Table) -> pa.Table:
         total = np.zeros(SEGMENT, np.int64)
@@ -106,8 +115,7 @@ def fit(docs: DataFrame, sample: DataFrame, id_col: str = "doc_id", text_col: st
             total += np.frombuffer(x, "<i8")
         return pa.table({"segment": table["segment"][:1], "part": pa.array([0], pa.int32()), "sums": pa.array([total.tobytes()], pa.binary())})
 
-    kind = "segment int, part int, sums binary"
-    added = rows.mapInArrow(run, kind).groupBy("segment", "part").applyInArrow(add, kind).groupBy("segment").applyInArrow(add, kind)
+    added = counted(rows).groupBy("segment", "part").applyInArrow(add, SUMS).groupBy("segment").applyInArrow(add, SUMS)
     sums = np.zeros((4, BUCKETS), np.int64)  # 8 MB whatever the input
     for r in added.toLocalIterator():
         sums.reshape(-1, SEGMENT)[r.segment] = np.frombuffer(bytes(r.sums), "<i8")

@@ -193,6 +193,12 @@ def test_importance_resampling(spark, docs, none):
     assert importance.resample(none, labels).count() == 0
 
 
+def test_counts_of_a_task_that_runs_again_go_the_same_way(spark):
+    rows = spark.createDataFrame([(f"some words {i}", False) for i in range(70)], "_text string, _target boolean").repartition(70)
+    runs = [importance.counted(rows).withColumn("task", F.spark_partition_id()).select("task", "part").distinct().collect() for _ in range(2)]
+    assert sorted(runs[0]) == sorted(runs[1]) and len({r.part for r in runs[0]}) == 64
+
+
 def test_kth_largest_with_ties(spark):
     keys = spark.createDataFrame([(float(i // 3), i) for i in range(50)], "key double, mark long")
     for k in (1, 2, 17, 49, 50):
