@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -76,17 +77,20 @@ def structs(**kinds: str) -> T.ArrayType:
     return T.ArrayType(T.StructType([field(n, k) for n, k in kinds.items()]))
 
 
-def components(links: DataFrame, left: str = "a", right: str = "b", most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, left: str = "a", right: str = "b", most_rounds: int | None = None) -> DataFrame:
     """(node, component) for each node of the links; component is the smallest node that can be reached.
 
     Alternates large-star and small-star rounds, so that a long chain needs few of them. Each round ends in a
-    checkpoint, which cuts the lineage and survives a lost executor. Links with a null end are left out.
+    checkpoint, which cuts the lineage and survives a lost executor. Links with a null end are left out. Rounds go on
+    until the links no longer change; with `most_rounds`, links that still change by then are an error.
     """
     with_checkpoints(links.sparkSession)
     edges = links.select(F.col(left).alias("u"), F.col(right).alias("v")).where("u <> v")
     edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().checkpoint()
     before = None
-    for _ in range(most_rounds):
+    for made in itertools.count():
+        if made == most_rounds:
+            raise RuntimeError(f"components are not settled after {most_rounds} rounds")
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))

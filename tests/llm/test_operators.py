@@ -273,6 +273,12 @@ def test_components_of_a_chain_and_a_star(spark):
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_never_end_early(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        common.components(links, most_rounds=2)
+
+
 def test_near_copies(spark, none):
     rng = random.Random(6)
     base = [[f"w{rng.randrange(9000)}" for _ in range(300)] for _ in range(12)]
