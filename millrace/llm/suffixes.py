@@ -1,9 +1,10 @@
-"""Exact repeated-string removal over truncated suffixes, block by block with a difference cover."""
+"""Exact repeated-string removal: suffixes told apart by the ranks of a difference-cover sample, one bucket at a time."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
+from hashlib import blake2b, sha256
 
 import numpy as np
 import pyarrow as pa
@@ -12,14 +13,18 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-#: Bytes of text in a batch (a long document makes a larger one), and suffixes that a bucket should hold.
-BATCH_BYTES, BUCKET_ROWS = 4 << 20, 2 << 20
-#: Positions hashed at a time.
-CHUNK = 1 << 20
-#: Kinds of replies to a batch: bits of its samples and suffixes; marks of documents that are copies, and of the first of each.
-SAMPLE, SUFFIX, COPY, FIRST = range(4)
+#: Bytes of text in a batch (a longer document is a batch of its own), sampled names and bytes of entries that a bucket should hold.
+BATCH_BYTES, BUCKET_NAMES, BUCKET_BYTES = 4 << 20, 1 << 20, 8 << 20
+#: Positions hashed, and entries compared, at a time.
+CHUNK, COMPARED = 1 << 20, 1 << 15
+#: Batches that share a sampled string from which its suffixes are dealt one by one, not by the string.
+HOT = 4096
+#: Bytes of a name that only chooses samples, and of a digest by which equal strings are one.
+NAME, DIGEST = 5, 16
+#: Kinds of replies to a batch: bits of its sampled names that stand twice, and in HOT batches; masks of its entries; bits of its single suffixes; marks of documents that are copies, and of the first of each.
+SAMPLE, POPULAR, ENTRY, SINGLE, COPY, FIRST = range(6)
+SALTS = 32
 BASE, SPREAD = 6364136223846793005, 0x9E3779B97F4A7C15
-WORD = (1 << 64) - 1
 
 
 @cache
@@ -89,93 +94,220 @@ class Batch:
         self.starts = self.ends - sizes
         self.raw = np.frombuffer(b"".join(self.texts), np.uint8)
 
-    def fitting(self, at: np.ndarray, length: int) -> np.ndarray:
-        """Those of the positions from which `length` bytes stay in their document."""
-        return at[at + length <= self.ends[np.searchsorted(self.ends, at, "right")]] if len(at) else at
-
     def samples(self, cover: tuple[int, np.ndarray], length: int) -> np.ndarray:
+        """The sampled positions from which `length` bytes stay in their document."""
         v, residues = cover
         at = (np.arange(0, len(self.raw) + v, v)[:, None] + residues[None, :]).ravel()
-        return self.fitting(at[at < len(self.raw)], length)
-
-    def candidates(self, live: np.ndarray, v: int, length: int) -> np.ndarray:
-        """Positions that a live sample follows within v - 1 bytes of the same document."""
-        if not len(live):
-            return live
-        marks = np.zeros(len(self.raw) + 1, np.int32)
-        first = np.maximum(self.starts[np.searchsorted(self.ends, live, "right")], live - (v - 1))
-        np.add.at(marks, first, 1)
-        np.add.at(marks, live + 1, -1)
-        return self.fitting(np.flatnonzero(np.cumsum(marks[:-1]) > 0), length)
-
+        at = at[at < len(self.raw)]
+        return at[at + length <= self.ends[np.searchsorted(self.ends, at, "right")]]
 
     def whole(self, marks: dict[int, object]) -> np.ndarray:
-        """The positions of the documents with these marks."""
+        """Whether each position is in a document with one of these marks."""
         chosen = np.fromiter((m in marks for m in self.marks), bool, len(self.marks))
         return np.repeat(chosen, self.ends - self.starts)
 
 
-def packed(values: np.ndarray, size: int) -> bytes:
-    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].tobytes()
+class Names:
+    """A batch's distinct hashes: `bits` of each for the bucket, then NAME bytes that name the string in it."""
+
+    def __init__(self, hashes: np.ndarray, bits: int):
+        self.low = min(8 * NAME, 64 - bits)
+        self.values, self.of, counts = np.unique(hashes >> np.uint64(64 - bits - self.low), return_inverse=True, return_counts=True)
+        self.many = counts > 1
+        self.buckets = (self.values >> np.uint64(self.low)).astype(np.int64)
 
+    def parts(self) -> Iterator[tuple[int, slice]]:
+        return runs(self.buckets)
 
-def unpacked(raw: bytes, size: int) -> np.ndarray:
-    out = np.zeros((len(raw) // size, 8), np.uint8)
-    out[:, :size] = np.frombuffer(raw, np.uint8).reshape(-1, size)
-    return out.view("<u8").ravel()
+    def messages(self) -> Iterator[tuple[int, int, bytes, bytes]]:
+        """(bucket, kind, names in order, whether each stands here more than once)"""
+        own = (self.values & np.uint64((1 << self.low) - 1)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :NAME]
+        for bucket, at in self.parts():
+            yield bucket, SAMPLE, own[at].tobytes(), np.packbits(self.many[at]).tobytes()
 
+    def told(self, replies: dict[int, bytes]) -> np.ndarray:
+        """The bit that was replied for each hash given."""
+        return bits_told(self.buckets, replies)[self.of]
 
-class Names:
-    """A batch's distinct hashes: `bits` of each for the bucket, then `size` bytes that name the string in it."""
 
-    def __init__(self, hashes: np.ndarray, bits: int, size: int):
-        self.bits, self.size = bits, size
-        kept = hashes >> np.uint64(max(0, 64 - bits - 8 * size))
-        self.values, self.of, self.counts = np.unique(kept, return_inverse=True, return_counts=True)
-        self.low = min(8 * size, 64 - bits)
-        self.buckets = (self.values >> np.uint64(self.low)).astype(np.int64)
-        self.cuts = np.flatnonzero(np.diff(self.buckets)) + 1
+def runs(buckets: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """(bucket, where it is) of ascending buckets."""
+    cuts = [0, *(np.flatnonzero(np.diff(buckets)) + 1).tolist(), len(buckets)] if len(buckets) else [0]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        yield int(buckets[a]), slice(a, b)
 
-    def messages(self, batch: int) -> Iterator[tuple[int, int, bytes, bytes]]:
-        """(bucket, batch, names in order, whether each stands here more than once)"""
-        mask = np.uint64((1 << self.low) - 1)
-        bounds = np.concatenate([[0], self.cuts, [len(self.values)]]) if len(self.values) else [0]
-        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            yield int(self.buckets[a]), batch, packed(self.values[a:b] & mask, self.size), np.packbits(self.counts[a:b] > 1).tobytes()
 
-    def repeated(self, replies: dict[int, bytes]) -> np.ndarray:
-        """For each hash given, whether its bucket found it more than once."""
-        out = np.zeros(len(self.values), bool)
-        bounds = np.concatenate([[0], self.cuts, [len(self.values)]]) if len(self.values) else [0]
-        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            if (bits := replies.get(int(self.buckets[a]))) is not None:
-                out[a:b] = np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).astype(bool)
-        return out[self.of]
+def bits_told(buckets: np.ndarray, replies: dict[int, bytes]) -> np.ndarray:
+    out = np.zeros(len(buckets), bool)
+    for bucket, at in runs(buckets):
+        if (bits := replies.get(bucket)) is not None:
+            out[at] = np.unpackbits(np.frombuffer(bits, np.uint8), count=at.stop - at.start).astype(bool)
+    return out
+
+
+class Entries:
+    """The distinct fixed-size rows of bytes that a batch sends; their leading bits are the bucket."""
+
+    def __init__(self, rows: np.ndarray, bits: int):
+        width = rows.shape[1]
+        flat, self.of, counts = np.unique(np.ascontiguousarray(rows).view(f"V{width}").ravel(), return_inverse=True, return_counts=True)
+        self.rows = flat.view(np.uint8).reshape(-1, width)
+        self.many = counts > 1
+        self.buckets = (np.ascontiguousarray(self.rows[:, :8]).view(">u8").ravel().astype(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+
+    def messages(self, kind: int) -> Iterator[tuple[int, int, bytes, bytes]]:
+        for bucket, at in runs(self.buckets):
+            yield bucket, kind, self.rows[at].tobytes(), np.packbits(self.many[at]).tobytes()
+
+
+def digests(own: Batch, at: np.ndarray, length: int) -> np.ndarray:
+    """A row of DIGEST bytes for the string at each position; equal rows are taken as equal strings."""
+    view = memoryview(own.raw)
+    joined = b"".join([blake2b(view[p : p + length], digest_size=DIGEST).digest() for p in at.tolist()])
+    return np.frombuffer(joined, np.uint8).reshape(-1, DIGEST)
+
+
+def entries_at(own: Batch, at: np.ndarray, sampled: int, around: int) -> np.ndarray:
+    """Digest of the sampled string, how many bytes its document has before and after it (`around` at most), and these bytes."""
+    doc = np.searchsorted(own.ends, at, "right")
+    before, after = np.minimum(around, at - own.starts[doc]), np.minimum(around, own.ends[doc] - at - sampled)
+    out = np.zeros((len(at), DIGEST + 4 + 2 * around), np.uint8)
+    out[:, :DIGEST] = digests(own, at, sampled)
+    out[:, DIGEST : DIGEST + 4] = np.stack([before, after], 1).astype("<u2").view(np.uint8)
+    if around:
+        padded = np.concatenate([np.zeros(around, np.uint8), own.raw, np.zeros(around, np.uint8)])
+        windows, steps = np.lib.stride_tricks.sliding_window_view(padded, around), np.arange(around)
+        left = out[:, DIGEST + 4 : DIGEST + 4 + around]
+        for a in range(0, len(at), CHUNK // 8):
+            part = slice(a, a + CHUNK // 8)
+            left[part] = windows[at[part]] * (steps >= (around - before[part])[:, None])
+            out[part, DIGEST + 4 + around :] = windows[at[part] + around + sampled] * (steps < after[part][:, None])
+    return out
 
 
-def bucket_replies(messages: DataFrame, size: int, kind: int) -> DataFrame:
-    """Sort one bucket's suffixes at a time; tell each batch which of its own stand elsewhere too, as bits."""
+def tied(rows: np.ndarray, many: np.ndarray, around: int) -> np.ndarray:
+    """For each entry, the offsets d (0 to `around`) at which the suffix that starts d bytes before its sample ties with another one.
+
+    Samples of one rank (digest) hold equal strings. Two of their suffixes at one offset tie if the d bytes before
+    and the `around` - d bytes after are equal too: entries are sorted by hashes of these, and neighbours compared
+    byte by byte. An entry that its batch holds more than once ties wherever its document is long enough.
+    """
+    keys = np.ascontiguousarray(rows[:, :DIGEST]).view("<u8")
+    order = np.lexsort((keys[:, 1], keys[:, 0]))
+    keys, rows, many = keys[order], rows[order], many[order]
+    sizes = np.ascontiguousarray(rows[:, DIGEST : DIGEST + 4]).view("<u2").astype(np.int64)
+    before, after = sizes[:, 0], sizes[:, 1]
+    found = np.zeros((len(rows), around + 1), bool)
+    steps = np.arange(around + 1)
+    found[many] = (steps <= before[many][:, None]) & (around - steps <= after[many][:, None])
+    new = np.concatenate([[True], (keys[1:] != keys[:-1]).any(1)])
+    rank = np.cumsum(new) - 1
+    shared = np.bincount(rank)[rank] > 1
+    at = np.flatnonzero(shared)
+    text = rows[:, DIGEST + 4 :]
+    starts = np.flatnonzero(np.concatenate([[True], rank[at][1:] != rank[at][:-1]])) if len(at) else at
+    cuts = [0]
+    for s in [*starts.tolist(), len(at)]:  # some ranks at a time
+        if s - cuts[-1] > COMPARED or s == len(at):
+            cuts.append(s)
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        found[at[a:b]] |= ties_of(rank[at[a:b]], text[at[a:b]], before[at[a:b]], after[at[a:b]], around)
+    out = np.empty_like(found)
+    out[order] = found
+    return out
+
+
+def ties_of(rank: np.ndarray, text: np.ndarray, before: np.ndarray, after: np.ndarray, around: int) -> np.ndarray:
+    found = np.zeros((len(rank), around + 1), bool)
+    code, base = letters()[text], np.uint64(BASE)
+    behind = np.zeros((len(rank), around + 1), np.uint64)  # hashes of the first bytes after the sample
+    for k in range(around):
+        behind[:, k + 1] = behind[:, k] * base + code[:, around + k]
+    ahead = rank.astype(np.uint64) * np.uint64(SPREAD)  # of the rank and the last d bytes before it
+    for d in range(around + 1):
+        if d:
+            ahead = ahead * base + code[:, around - d]
+        fits = np.flatnonzero((before >= d) & (after >= around - d))
+        key = ((ahead[fits] ^ (ahead[fits] >> np.uint64(31))) * np.uint64(SPREAD)) + behind[fits, around - d]
+        order = np.argsort(key)
+        same = np.flatnonzero(key[order[1:]] == key[order[:-1]])
+        one, two = fits[order[same]], fits[order[same + 1]]
+        equal = (rank[one] == rank[two]) & (text[one, around - d : 2 * around - d] == text[two, around - d : 2 * around - d]).all(1)
+        if equal.all():
+            found[one, d] = found[two, d] = True
+            continue
+        groups: dict[tuple[int, bytes], list[int]] = {}  # two strings share a hash: their bytes decide
+        for i in np.unique(np.concatenate([one, two])).tolist():
+            groups.setdefault((int(rank[i]), text[i, around - d : 2 * around - d].tobytes()), []).append(i)
+        for own in groups.values():
+            if len(own) > 1:
+                found[own, d] = True
+    return found
+
+
+REPLIES = "batch long, kind int, bucket long, bits binary"
+
+
+def replied(rows: list[tuple]) -> pa.Table:
+    return pa.table({"batch": pa.array([r[0] for r in rows], pa.int64()), "kind": pa.array([r[1] for r in rows], pa.int32()), "bucket": pa.array([r[2] for r in rows], pa.int64()), "bits": pa.array([r[3] for r in rows], pa.binary())})
+
+
+def sample_replies(messages: DataFrame, hot: int) -> DataFrame:
+    """Sort one bucket's sampled names at a time; tell each batch which of its own stand elsewhere too, and in `hot` batches."""
 
     def run(table: pa.Table) -> pa.Table:
-        own = [unpacked(x, size) for x in table["names"].to_pylist()]
+        own = []
+        for x in table["names"].to_pylist():
+            wide = np.zeros((len(x) // NAME, 8), np.uint8)
+            wide[:, :NAME] = np.frombuffer(x, np.uint8).reshape(-1, NAME)
+            own.append(wide.view("<u8").ravel())
         many = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(v)).astype(bool) for x, v in zip(table["many"].to_pylist(), own, strict=True)]
         every = np.sort(np.concatenate(own))
         again = np.unique(np.concatenate([every[1:][every[1:] == every[:-1]], *[v[m] for v, m in zip(own, many, strict=True)]]))
+        popular = np.unique(every[hot - 1 :][every[hot - 1 :] == every[: len(every) - hot + 1]]) if len(every) >= hot else every[:0]
+        rows = []
+        for batch, bucket, v in zip(table["batch"].to_pylist(), table["bucket"].to_pylist(), own, strict=True):
+            for kind, among in ((SAMPLE, again), (POPULAR, popular)):
+                if len(among) and (found := among[np.minimum(np.searchsorted(among, v), len(among) - 1)] == v).any():
+                    rows.append((batch, kind, bucket, np.packbits(found).tobytes()))
+        return replied(rows)
 
-        def bits(v: np.ndarray) -> bytes | None:
-            if not len(again):
-                return None
-            found = again[np.minimum(np.searchsorted(again, v), len(again) - 1)] == v
-            return np.packbits(found).tobytes() if found.any() else None
+    return messages.groupBy("bucket").applyInArrow(run, REPLIES)
 
-        rows = [(b, kind, k, x) for b, k, v in zip(table["batch"].to_pylist(), table["bucket"].to_pylist(), own, strict=True) if (x := bits(v)) is not None]
-        return pa.table({"batch": pa.array([r[0] for r in rows], pa.int64()), "kind": pa.array([r[1] for r in rows], pa.int32()), "bucket": pa.array([r[2] for r in rows], pa.int64()), "bits": pa.array([r[3] for r in rows], pa.binary())})
 
-    return messages.groupBy("bucket").applyInArrow(run, "batch long, kind int, bucket long, bits binary")
+def suffix_replies(messages: DataFrame, around: int) -> DataFrame:
+    """Sort one bucket's suffixes at a time, by the ranks of their samples; tell each batch which of its own tie."""
 
+    def run(table: pa.Table) -> pa.Table:
+        out, kinds = [], table["kind"].to_numpy()
+        batches, buckets, names, repeats = (table[c].to_pylist() for c in ("batch", "bucket", "names", "many"))
+        for kind, width in ((ENTRY, DIGEST + 4 + 2 * around), (SINGLE, DIGEST)):
+            at = np.flatnonzero(kinds == kind).tolist()
+            if not at:
+                continue
+            rows = np.frombuffer(b"".join([names[i] for i in at]), np.uint8).reshape(-1, width)
+            sizes = [len(names[i]) // width for i in at]
+            many = np.concatenate([np.unpackbits(np.frombuffer(repeats[i], np.uint8), count=n).astype(bool) for i, n in zip(at, sizes, strict=True)])
+            found = tied(rows, many, around) if kind == ENTRY else again(rows, many)[:, None]
+            ends = np.cumsum(sizes)
+            for i, a, b in zip(at, (ends - sizes).tolist(), ends.tolist(), strict=True):
+                if found[a:b].any():
+                    out.append((batches[i], kind, buckets[i], np.packbits(found[a:b]).tobytes()))
+        return replied(out)
+
+    return messages.groupBy("bucket").applyInArrow(run, REPLIES)
+
+
+def again(rows: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """Whether each digest stands more than once."""
+    _, of, counts = np.unique(np.ascontiguousarray(rows).view(f"V{rows.shape[1]}").ravel(), return_inverse=True, return_counts=True)
+    times = counts + np.bincount(of, many, len(counts))
+    return times[of] > 1
 
-def as_messages(rows: list[tuple]) -> pa.Table:
-    return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int64()), "batch": pa.array([r[1] for r in rows], pa.int64()), "names": pa.array([r[2] for r in rows], pa.binary()), "many": pa.array([r[3] for r in rows], pa.binary())})
+
+def as_messages(batch: int, rows: Iterator[tuple]) -> pa.Table:
+    rows = list(rows)
+    return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int64()), "batch": pa.array([batch] * len(rows), pa.int64()), "kind": pa.array([r[1] for r in rows], pa.int32()), "names": pa.array([r[2] for r in rows], pa.binary()), "many": pa.array([r[3] for r in rows], pa.binary())})
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", with_kept: bool = True) -> DataFrame:
@@ -183,40 +315,53 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
 
     Returns `id_col`, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, and with `with_kept` also spans
     (start, end) and kept (the bytes left). Strings are judged on the input and never cross documents. A null text
-    is empty; a repeated row is another document; rows with a null id are judged like any; empty in, empty out.
-
-    Suffixes are held against one another by their first `length` bytes only. Positions in a difference cover
-    (residues D modulo v) are sampled, and their first length - v + 1 bytes named: two equal strings of `length`
-    bytes have, within v bytes, samples at equal places with equal names. So only suffixes shortly before a sample
-    whose name stands twice can tie for `length` bytes, and they alone are dealt to buckets and sorted, a bucket at a
-    time. Names are 64-bit hashes, of which a bucket's number and 5 bytes (samples, where a false tie only
-    adds work) or 7 bytes (suffixes) are kept. A batch sends each name once, and of equal documents (by SHA-256) only
-    the first names its suffixes, so copies do not swell a bucket.
+    is empty; a repeated row is another document; rows with a null id are judged like any; empty in, empty out. Columns
+    of `docs` other than the two are not carried, so their names cannot clash.
+
+    Suffixes are told apart by their first `length` bytes. Positions in a difference cover (residues D modulo v) are
+    sampled, and their first `sampled` = length - v + 1 bytes ranked. Two equal strings of `length` bytes have, at one
+    offset d < v, samples with equal ranks: the long part of a tie is resolved by these, and only the d bytes before
+    and the v - 1 - d bytes after are compared. So a live sample (one whose rank another one has) brings its v suffixes
+    to its rank's bucket as one entry, and buckets are sorted one at a time. Short names find the live samples first,
+    where a false tie only adds work; ranks are those of 128-bit BLAKE2b digests, in place of a lexicographic order,
+    as a removal asks for equality alone. Strings that HOT batches share are dealt suffix by suffix, by
+    digests of their whole `length` bytes, so that no bucket grows with them. Equal entries of a batch are sent once,
+    and of equal documents (by SHA-256) only the first sends its own. A batch holds documents of BATCH_BYTES
+    together; a longer document is a batch, and takes some 20 times its size of a task's memory.
     """
     spark = docs.sparkSession
-    cover = difference_cover(max(1, length * 4 // 5))
-    v, sampled = cover[0], length - cover[0] + 1
+    cover = difference_cover(max(1, length // 7))
+    v, around = cover[0], cover[0] - 1
+    sampled, width = length - around, DIGEST + 4 + 2 * around
     total = docs.agg(F.sum(F.octet_length(C.quoted(text_col)))).first()[0] or 0
     batches = max(1, -(-total // BATCH_BYTES))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (16 * BATCH_BYTES)))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (8 * BATCH_BYTES)))
+    density, hot = len(cover[1]) / v, HOT
 
-    def bits_for(suffixes: float) -> int:
-        return max(5, int(np.ceil(np.log2(max(1.0, suffixes / BUCKET_ROWS)))))
+    def bits_for(each: float) -> int:
+        return max(5, int(np.ceil(np.log2(max(1.0, total * density / each)))))
 
-    sample_bits, suffix_bits = bits_for(total * len(cover[1]) / v), bits_for(total / 4)
+    name_bits, entry_bits = bits_for(BUCKET_NAMES), bits_for(4 * BUCKET_BYTES / width)
     mark = F.xxhash64(C.quoted(id_col).cast("string"), C.quoted(text_col))
-    dealt = docs.select(F.pmod(F.xxhash64(mark), F.lit(batches)).alias("batch"), mark.alias("mark"), C.quoted(id_col).alias("id"), C.quoted(text_col).alias("text")).repartition(parts, "batch")
+    batch_of = F.pmod(F.xxhash64(mark), F.lit(batches))
+    dealt = docs.select(batch_of.alias("batch"), mark.alias("mark"), C.quoted(id_col).alias("id"), C.quoted(text_col).alias("text")).repartition(parts, "batch")
 
-    def names_of_samples(own: Batch) -> tuple[np.ndarray, Names]:
+    def live_samples(own: Batch, kinds: dict[int, dict[int, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """Samples that send entries, and the starts of suffixes that are sent one by one."""
         at = own.samples(cover, sampled)
-        return at, Names(hashes_at(own.raw, at, sampled), sample_bits, 5)
-
-    def names_of_suffixes(own: Batch, replies: dict[int, dict[int, bytes]]) -> tuple[np.ndarray, Names]:
-        at, names = names_of_samples(own)
-        at = own.candidates(at[names.repeated(replies.get(SAMPLE, {}))], v, length)
-        if COPY in replies or FIRST in replies:  # a copy's strings are known to repeat, and the first copy names them
-            at = at[~own.whole(replies.get(COPY, {}))[at]]
-        return at, Names(hashes_at(own.raw, at, length), suffix_bits, 7)
+        names = Names(hashes_at(own.raw, at, sampled), name_bits)
+        live = names.told(kinds.get(SAMPLE, {}))
+        if COPY in kinds:  # a copy's strings are known to repeat, and the first copy sends them
+            live &= ~own.whole(kinds[COPY])[at]
+        popular = names.told(kinds.get(POPULAR, {})) & live if POPULAR in kinds else np.zeros(len(at), bool)
+        singles = np.unique((at[popular][:, None] - np.arange(v)[None, :]).ravel())
+        singles = singles[singles >= 0]
+        doc = np.searchsorted(own.ends, singles, "right")
+        return at[live & ~popular], singles[singles + length <= own.ends[doc]]
+
+    def sent(own: Batch, kinds: dict[int, dict[int, bytes]]) -> tuple[np.ndarray, Entries, np.ndarray, Entries]:
+        at, singles = live_samples(own, kinds)
+        return at, Entries(entries_at(own, at, sampled, around), entry_bits), singles, Entries(digests(own, singles, length), entry_bits)
 
     def in_kinds(table: pa.Table) -> dict[int, dict[int, bytes]]:
         out: dict[int, dict[int, bytes]] = {}
@@ -225,50 +370,58 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
         return out
 
     def sample(table: pa.Table) -> pa.Table:
-        return as_messages(list(names_of_samples(Batch(table))[1].messages(table["batch"][0].as_py())))
+        own = Batch(table)
+        return as_messages(table["batch"][0].as_py(), Names(hashes_at(own.raw, own.samples(cover, sampled), sampled), name_bits).messages())
 
     def gather(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows or not replies.num_rows:
-            return as_messages([])
-        return as_messages(list(names_of_suffixes(Batch(table), in_kinds(replies))[1].messages(table["batch"][0].as_py())))
+            return as_messages(0, iter(()))
+        _, entries, _, singles = sent(Batch(table), in_kinds(replies))
+        return as_messages(table["batch"][0].as_py(), iter([*entries.messages(ENTRY), *singles.messages(SINGLE)]))
+
+    def tied_starts(own: Batch, kinds: dict[int, dict[int, bytes]]) -> np.ndarray:
+        at, entries, singles, others = sent(own, kinds)
+        masks = np.zeros((len(entries.rows), v), bool)
+        for bucket, part in runs(entries.buckets):
+            if (bits := kinds.get(ENTRY, {}).get(bucket)) is not None:
+                masks[part] = np.unpackbits(np.frombuffer(bits, np.uint8), count=(part.stop - part.start) * v).reshape(-1, v)
+        starts = [singles[bits_told(others.buckets, kinds.get(SINGLE, {}))[others.of]]]
+        for d in range(v):
+            starts.append(at[masks[:, d][entries.of]] - d)
+        return np.unique(np.concatenate(starts))
 
     def cut(table: pa.Table, replies: pa.Table) -> pa.Table:
-        from hashlib import sha256
-
         own, kinds = Batch(table), in_kinds(replies)
-        covered = np.zeros(len(own.raw) + 1, np.int32)
-        if SUFFIX in kinds:
-            at, names = names_of_suffixes(own, kinds)
-            at = at[names.repeated(kinds[SUFFIX])]
-            np.add.at(covered, at, 1)
-            np.add.at(covered, at + length, -1)
-        gone = (np.cumsum(covered[:-1]) > 0) | own.whole(kinds.get(COPY, {}) | kinds.get(FIRST, {}))
-        n_removed, n_spans, digests, spans, kept = [], [], [], [], []
+        gone = own.whole(kinds.get(COPY, {}) | kinds.get(FIRST, {}))
+        if ENTRY in kinds or SINGLE in kinds:
+            covered = np.zeros(len(own.raw) + 1, np.int32)
+            at = tied_starts(own, kinds)
+            covered[at] += 1  # starts are distinct, and so are ends
+            covered[at + length] -= 1
+            gone |= np.cumsum(covered[:-1]) > 0
+        n_removed, n_spans, shas, spans, kept = [], [], [], [], []
         for text, a, b in zip(own.texts, own.starts.tolist(), own.ends.tolist(), strict=True):
             part = gone[a:b]
             edges = np.flatnonzero(np.diff(np.concatenate([[0], part.view(np.int8), [0]])))
             left = own.raw[a:b][~part].tobytes() if len(edges) else text
             n_removed.append(int(part.sum()))
             n_spans.append(len(edges) // 2)
-            digests.append(sha256(left).hexdigest())
+            shas.append(sha256(left).hexdigest())
             if with_kept:
                 spans.append([{"start": x, "end": y} for x, y in edges.reshape(-1, 2).tolist()])
                 kept.append(left)
-        ends = [len(t) for t in own.texts]
-        columns = {"id": own.ids, "n_bytes": pa.array(ends, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "n_spans": pa.array(n_spans, pa.int64()), "kept_sha256": pa.array(digests, pa.string())}
+        columns = {"id": own.ids, "n_bytes": pa.array([len(t) for t in own.texts], pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "n_spans": pa.array(n_spans, pa.int64()), "kept_sha256": pa.array(shas, pa.string())}
         if with_kept:
             columns |= {"spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), "kept": pa.array(kept, pa.binary())}
         return pa.table(columns)
 
-    kind = "bucket long, batch long, names binary, many binary"
-    known = docs.where(F.octet_length(C.quoted(text_col)) >= length).select(F.pmod(F.xxhash64(mark), F.lit(batches)).alias("batch"), mark.alias("mark"), F.sha2(C.quoted(text_col), 256).alias("same"))
-    firsts = known.groupBy("same").agg(F.count("*").alias("n"), F.min("mark").alias("first")).where("n > 1").select("same", "first")
-    copies = known.join(firsts, "same").select("batch", F.when(F.col("mark") == F.col("first"), FIRST).otherwise(COPY).alias("kind"), F.col("mark").alias("bucket"), F.lit(None).cast("binary").alias("bits"))
-    live = bucket_replies(dealt.groupBy("batch").applyInArrow(sample, kind), 5, SAMPLE)
-    told = live.unionByName(copies)
-    suffixes = dealt.groupBy("batch").cogroup(told.repartition(parts, "batch").groupBy("batch")).applyInArrow(gather, kind)
-    ties = bucket_replies(suffixes, 7, SUFFIX)
-    replies = told.unionByName(ties).repartition(parts, "batch")
+    kind = "bucket long, batch long, kind int, names binary, many binary"
+    known = docs.where(F.octet_length(C.quoted(text_col)) >= length).select(batch_of.alias("batch"), mark.alias("mark"), F.sha2(C.quoted(text_col), 256).alias("same"), F.pmod(mark, F.lit(SALTS)).alias("salt"))
+    firsts = known.groupBy("same").agg(F.count("*").alias("n"), F.min("mark").alias("first")).where("n > 1").select("same", "first", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    copies = known.join(firsts, ["same", "salt"]).select("batch", F.when(F.col("mark") == F.col("first"), FIRST).otherwise(COPY).alias("kind"), F.col("mark").alias("bucket"), F.lit(None).cast("binary").alias("bits"))
+    told = sample_replies(dealt.groupBy("batch").applyInArrow(sample, kind), hot).unionByName(copies).repartition(parts, "batch")
+    entries = dealt.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(gather, kind)
+    replies = told.unionByName(suffix_replies(entries, around)).repartition(parts, "batch")
     fields = [C.T.StructField("id", docs.schema[id_col].dataType), *[C.field(n, k) for n, k in (("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept_sha256", "string"))]]
     fields += [C.field("spans", C.structs(start="long", end="long")), C.field("kept", "binary")] if with_kept else []
     return dealt.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(cut, C.T.StructType(fields)).withColumnRenamed("id", id_col)

@@ -140,8 +140,7 @@ def test_hypergeometric_is_unbiased(spark):
     assert np.mean(got) == pytest.approx(12, abs=0.02) and np.var(got) == pytest.approx(40 * 0.3 * 0.7 * 60 / 99, rel=0.02)
 
 
-def test_suffix_dedup(docs, none, texts):
-    length = 60
+def brute_repeats(docs, length):
     seen = Counter()
     for r in docs.collect():
         b = (r.text or "").encode()
@@ -159,9 +158,51 @@ def test_suffix_dedup(docs, none, texts):
         left = bytes(x for x, c in zip(b, cut, strict=True) if not c)
         return i, len(b), int(cut.sum()), int((edges == 1).sum()), hashlib.sha256(left).hexdigest()
 
-    found = suffixes.remove_repeats(docs, length=length)
-    assert rows(found, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == expected(docs, brute)
-    assert suffixes.remove_repeats(none, length=length).count() == 0
+    return expected(docs, brute)
+
+
+REMOVED = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@pytest.mark.parametrize("hot", [2, 4096])
+def test_suffix_dedup(docs, none, monkeypatch, hot):
+    """Strings that `hot` batches share go by single suffixes: the result is the same."""
+    monkeypatch.setattr(suffixes, "HOT", hot)
+    monkeypatch.setattr(suffixes, "BATCH_BYTES", 4000)
+    found = suffixes.remove_repeats(docs, length=60)
+    assert rows(found, *REMOVED) == brute_repeats(docs, 60)
+    assert suffixes.remove_repeats(none, length=60).count() == 0
+
+
+@pytest.mark.parametrize("hot", [3, 4096])
+def test_suffix_dedup_at_its_production_length(spark, monkeypatch, hot):
+    """Passages of about 400 bytes around which texts differ, a text longer than a batch, and a run of one letter."""
+    monkeypatch.setattr(suffixes, "HOT", hot)
+    monkeypatch.setattr(suffixes, "BATCH_BYTES", 10_000)
+    rng = random.Random(12)
+    noise = lambda n: "".join(rng.choice("abcdefgh é") for _ in range(n))
+    passages = [noise(n) for n in (380, 394, 395, 399, 400, 401, 440, 600)]
+    texts = [noise(rng.randrange(30)) + p + noise(rng.randrange(60)) for p in passages for _ in range(5)]
+    texts += [p[k:] + noise(80) for p in passages for k in (0, 1, 7, 50)] + [noise(30_000) + passages[6] + noise(9_000) + passages[6], "z" * 900, None, ""]
+    texts += [texts[3]] * 3 + [texts[-4]]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS).repartition(3)
+    assert rows(suffixes.remove_repeats(docs), *REMOVED) == brute_repeats(docs, 400)
+
+
+def test_ties_are_decided_by_bytes(monkeypatch):
+    """All hashes of the bytes around a sample are made equal: the bytes themselves still tell suffixes apart."""
+    rng, around = random.Random(13), 6
+    rows_ = [(bytes([rng.randrange(2)]) * 16, bytes(rng.choices(b"ab", k=6)), bytes(rng.choices(b"ab", k=6))) for _ in range(40)]
+    sizes = [(rng.randrange(7), rng.randrange(7)) for _ in rows_]
+    flat = np.array([list(k + x.to_bytes(2, "little") + y.to_bytes(2, "little") + bytes(6 - x) + l[6 - x :] + r[:y] + bytes(6 - y)) for (k, l, r), (x, y) in zip(rows_, sizes, strict=True)], np.uint8)
+    want = np.zeros((40, 7), bool)
+    for d in range(7):
+        keys = [(k, l[6 - d :], r[: 6 - d]) if x >= d and y >= 6 - d else None for (k, l, r), (x, y) in zip(rows_, sizes, strict=True)]
+        for i, key in enumerate(keys):
+            want[i, d] = key is not None and keys.count(key) > 1
+    assert want.any() and (suffixes.tied(flat, np.zeros(40, bool), around) == want).all()
+    monkeypatch.setattr(suffixes, "letters", lambda: np.zeros(256, np.uint64))
+    assert (suffixes.tied(flat, np.zeros(40, bool), around) == want).all()
 
 
 def test_difference_cover_covers():
