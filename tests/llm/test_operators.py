@@ -479,19 +479,64 @@ def test_language_mixture(spark, none):
     assert {r.lang_pred for r in langmix.predict(tests, langmix.train(none)).collect()} == {"und"}
 
 
-def test_exact_top_k(spark):
+def brute_top_k(data, is_query, k=5, scale=256):
+    """Every row but the query's own, whole numbers of any size."""
+    floor = lambda x: int(np.floor(x * scale))
+    whole = [(i, tuple(map(floor, v))) for i, v in data if i is not None and v is not None and None not in v and np.isfinite(np.array(v, float) * scale).all()]
+    want = []
+    for at, (i, v) in enumerate(whole):
+        if is_query(i):
+            best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), j) for to, (j, w) in enumerate(whole) if to != at and len(w) == len(v))[:k]
+            want += [(i, r + 1, j, max(-(1 << 63), min((1 << 63) - 1, -s))) for r, (s, j) in enumerate(best)]
+    return sorted(want)
+
+
+def test_exact_top_k(spark, monkeypatch):
+    monkeypatch.setattr(mtree, "TREE_ROWS", 40)
+    monkeypatch.setattr(mtree, "BLOCK_ROWS", 3)
     rng = np.random.default_rng(7)
     vectors = [[float(x) for x in rng.normal(size=6) * 0.3] for _ in range(300)]
-    data = list(enumerate(vectors)) + [(300 + k, vectors[10]) for k in range(40)] + [(340, None), (341, [1.0] * 5 + [None]), (342, [1.0] * 5 + [float("inf")]), (None, vectors[0]), (343, [0.5] * 4), (5, vectors[5])]
-    df = spark.createDataFrame(data, "vec_id long, embedding array<double>").repartition(4)
-    got = mtree.top_k(df, df.where("vec_id % 50 = 0 or vec_id = 343"), k=5).collect()
-    whole = [(i, np.floor(256 * np.array(v)).astype(int)) for i, v in data if i is not None and v is not None and None not in v and np.isfinite(v).all()]
-    want = []
-    for i, v in dict((i, v) for i, v in whole if i % 50 == 0 or i == 343).items():
-        best = sorted((-int(v @ w), j) for j, w in whole if j != i and len(w) == len(v))[:5]
-        want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
-    assert sorted(tuple(r) for r in got) == sorted(want)
-    assert mtree.top_k(df.limit(0), df.limit(0)).count() == 0
+    data = list(enumerate(vectors)) + [(300 + k, vectors[10]) for k in range(40)] + [(340, None), (341, [1.0] * 5 + [None]), (342, [1.0] * 5 + [float("inf")]), (None, vectors[0]), (343, [0.5] * 4), (5, vectors[5]), (50, vectors[50]), (100, vectors[7]), (400, [1e307] * 6), (401, [1.5] * 4), (450, vectors[10])]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>").withColumns({"score": F.lit("mine"), "cell": F.lit("mine"), "v": F.lit("mine")}).repartition(4)
+    is_query = lambda i: i % 50 == 0 or i in (343, 5)
+    got = mtree.top_k(df, df.where("vec_id % 50 = 0 or vec_id in (343, 5)"), k=5).collect()
+    assert sorted(tuple(r) for r in got) == brute_top_k(data, is_query)
+    assert mtree.top_k(df.limit(0), df.limit(0)).count() == 0 and mtree.top_k(df.limit(0), df).count() == 0
+
+
+def test_top_k_of_large_numbers(spark):
+    """Products beyond what a double holds, and beyond a long."""
+    rng = random.Random(5)
+    data = [(i, [float((1 << 20) + rng.randrange(5)) + i % 3 for _ in range(4)]) for i in range(40)] + [(40 + i, [float(rng.randrange(1 << 50)) for _ in range(4)]) for i in range(12)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    got = mtree.top_k(df, df.where("vec_id % 10 = 0"), k=5).collect()
+    assert sorted(tuple(r) for r in got) == brute_top_k(data, lambda i: i % 10 == 0)
+
+
+def test_top_k_avoids_most_distances_of_clustered_rows(spark, monkeypatch):
+    """Under 30 % of the rows are computed for a query, and a table four times as large asks less than four times as much."""
+    monkeypatch.setattr(mtree, "TREE_ROWS", 500)
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(40, 16))
+    centres /= np.linalg.norm(centres, axis=1)[:, None]
+    points = centres[rng.integers(0, 40, 12_000)] + rng.normal(size=(12_000, 16)) * 0.02
+    means = []
+    for n in (3000, 12_000):
+        data = [(i, v) for i, v in enumerate(points[:n].tolist())]
+        df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+        asks = df.where("vec_id % 50 = 0 and vec_id < 3000")
+        got = mtree.top_k(df, asks, measure=True).agg(F.avg("computed")).first()[0]
+        means.append(got)
+        assert got < 0.3 * n
+        whole = np.floor(256 * points[:n]).astype(int)
+        first = {r.query_id: [] for r in asks.select(F.col("vec_id").alias("query_id")).collect()}
+        for r in mtree.top_k(df, asks).orderBy("query_id", "rank").collect():
+            first[r.query_id].append((r.score, r.vec_id))
+        for q in list(first)[:20]:
+            scores = whole @ whole[q]
+            order = [j for j in np.lexsort((np.arange(n), -scores)).tolist() if j != q][:5]
+            assert first[q] == [(int(scores[j]), j) for j in order]
+    assert means[1] < 3 * means[0]
 
 
 def test_m_tree_of_many_pages(monkeypatch):
@@ -500,9 +545,10 @@ def test_m_tree_of_many_pages(monkeypatch):
     rows_ = np.concatenate([rng.integers(-50, 50, (500, 5)), np.zeros((100, 5), int), rng.integers(40, 50, (100, 5))]).astype(float)
     ids = np.arange(len(rows_))
     root = mtree.build(rows_, ids, rows_[0])
-    for q in rows_[::23]:
-        want = sorted((-int(q @ w), int(i)) for i, w in zip(ids, rows_, strict=True) if i != 3)[:7]
-        assert [(-s, i) for s, i in mtree.search(root, rows_[0], q, 3, 7)] == want
+    for at in range(0, len(rows_), 23):
+        q = rows_[at]
+        want = sorted((-int(q @ w), int(i)) for i, w in zip(ids, rows_, strict=True) if i != at)[:7]
+        assert [(-s, i) for s, i in mtree.search(root, rows_[0], q, at, 7)[0]] == want
 
 
 def test_secret_scan(docs, none):
