@@ -17,10 +17,13 @@ def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def with_checkpoints(spark: SparkSession) -> SparkSession:
-    """Make sure that checkpoint() has a folder: the cluster's shared one, or a temporary one where none is named."""
+    """Make sure that checkpoint() has a folder: the cluster's shared one, or, in local mode only, a temporary one."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="millrace-"))
     return spark
 
 
@@ -61,6 +64,14 @@ def texts(column: pa.Array, step: int = 512) -> Iterator[str | None]:
         yield from column.slice(at, step).to_pylist()
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores before it as no column of `df` has in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def quoted(name: str):
     return F.col(f"`{name.replace('`', '``')}`")
 

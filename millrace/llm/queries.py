@@ -57,7 +57,7 @@ def op8_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.secret_scan(C.tables(spark, sf_dir, "documents"), keep=["doc_id"]).drop("found")
+    return secrets.secret_scan(C.tables(spark, sf_dir, "documents"), keep=["doc_id"], vocabulary=vocabulary("word_bpe_49k.json")).drop("found")
 
 
 @query

@@ -573,6 +573,68 @@ def test_guess_cost_prefers_patterns(weak, strong):
     assert secrets.guess_cost("X9$kQ2!vLp") > 9 > secrets.guess_cost("Password1") and secrets.guess_cost("") == 0
 
 
+def brute_cost(value, rank):
+    """The least cost over all cuts, each span's cost from its definition."""
+    import math
+    from functools import cache
+
+    brute = lambda part: sum(math.log10(secrets.of_class(c)) for c in part)
+    low = value.lower()
+
+    def spans(i):
+        n = len(value)
+        yield i + 1, brute(value[i])
+        for j in range(i + 2, n + 1):
+            part = value[i:j]
+            if low[i:j] in rank:
+                yield j, math.log10(rank[low[i:j]] + 1) + (0 if part == low[i:j] else 0.31 if part in (part.upper(), part.capitalize()) else 1.0)
+            for unit in range(1, (j - i) // 2 + 1):
+                whole = (j - i) % unit == 0 and part == part[:unit] * ((j - i) // unit)
+                primitive = not any(unit % d == 0 and part[:unit] == part[:d] * (unit // d) for d in range(1, unit))
+                if whole and primitive and j - i > 2 and value[j : j + unit] != part[:unit]:
+                    yield j, brute(part[:unit]) + math.log10((j - i) // unit)
+        if value[i].isdigit() and (m := secrets.DATE.match(value, i)):
+            yield m.end(), math.log10(365 * 200) if m.end() - i > 4 else math.log10(200)
+        end = i + 1
+        while end < n and (low[end - 1], low[end]) in secrets.BESIDE:
+            end += 1
+        if end - i >= 4:
+            yield end, math.log10(47) + 0.31 * (end - i - 1)
+        for step in (1, -1):
+            end = i + 1
+            while end < n and ord(low[end]) - ord(low[end - 1]) == step:
+                end += 1
+            if end - i >= 3:
+                yield end, math.log10(62 * (end - i))
+
+    @cache
+    def least(i):
+        return 0.0 if i == len(value) else min(cost + least(j) for j, cost in spans(i))
+
+    return least(0)
+
+
+def test_guess_cost_against_all_cuts():
+    rng, rank = random.Random(19), secrets.dictionary(queries.vocabulary("word_bpe_49k.json"))
+    assert len(rank) > 20_000
+    bits = ["pass", "Word", "2019-04-01", "qwert", "abcd", "aaa", "xyxy", "7", "$", "Dragon", "monkeymonkey", "9", "kq", "é", "54321", "abcdefghijkl" * 2]
+    for _ in range(150):
+        value = "".join(rng.choice(bits) for _ in range(rng.randrange(1, 6)))
+        assert secrets.guess_cost(value, rank) == pytest.approx(brute_cost(value, rank)), value
+
+
+def test_guess_cost_of_long_values():
+    """The time grows in proportion to the value, also of one letter, and a text may be very long."""
+    import time
+
+    for value in ("A" * 200_000, "abcdefghijkl" * 10_000, "İ" * 300):
+        began = time.time()
+        assert secrets.guess_cost(value) < 30
+        assert time.time() - began < 20
+    text = "word " * 400_000 + "token=" + "A" * 50_000
+    assert [k for *_, k, _ in secrets.spans_of(text)] == ["assign"]
+
+
 def test_credential_values_are_added():
     text = "login: bob, passphrase is Xk29!vQz81pL, pwd=letmein123"
     found = [(k, text[a:b]) for a, b, k, _ in secrets.spans_of(text)]
