@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 #: Rows of a tree, entries of a page, and queries of a block: what a task holds.
-TREE_ROWS, PAGE, BLOCK_ROWS = 8192, 128, 16384
+TREE_ROWS, PAGE, BLOCK_ROWS = 4096, 512, 2048
 #: Cells that rows are dealt to by their nearest pivot at most; a larger table has more trees in a cell.
 MOST_CELLS = 1024
 #: Added to bounds, in proportion, against the rounding of square roots.
