@@ -16,8 +16,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
 #: Up to so many sources their table is broadcast; a larger one is joined by shuffles.
 MOST_SOURCES = 100_000
-#: Multiplies a draw's number to permute a source's draws; a prime above any number of draws.
-PRIME = 2_147_483_647
+#: Columns of sources in a node of the tree; with more sources, several share one, and their draws are dealt together.
+MOST_COLUMNS = 512
+#: Draws, or blocks, of a run that is ranked on its own.
+RUN = 4096
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -33,27 +35,32 @@ def uniform(*parts: Column) -> Column:
 def hypergeometric(population: Column, marked: Column, drawn: Column, u: Column) -> Column:
     """How many of `drawn` taken without return from `population` are among its `marked`, by inversion at u.
 
-    Weights are grown from the mode by the ratio of neighbouring ones, out to 12 standard deviations.
+    Weights go from the mode by the ratio of neighbouring ones, out to 12 standard deviations: one fold down to the
+    lowest, one up for the sum above, and one up from the lowest that stops where u is reached. Only sums are held.
     """
 
     def body(z: Column) -> Column:
         p, n, d, lo, hi, m, w = (z[x] for x in ("p", "n", "d", "lo", "hi", "m", "w"))
+        first, last = F.greatest(lo, m - w), F.least(hi, m + w)
+        none = F.array().cast("array<bigint>")
 
-        def grown(steps: Column, ratio: Callable[[Column], Column]) -> Column:
-            start = F.struct(F.lit(1.0).alias("w"), F.array().cast("array<double>").alias("s"))
-            return F.aggregate(steps, start, lambda a, k: let(a["w"] * ratio(k), lambda x: F.struct(x.alias("w"), F.concat(a["s"], F.array(x)).alias("s"))))["s"]
+        def rise(k: Column) -> Column:
+            return ((n - k) * (d - k)).cast("double") / ((k + 1) * (p - n - d + k + 1)).cast("double")
 
-        none = F.array().cast("array<bigint>")
-        up = grown(F.when(F.least(hi, m + w) > m, F.sequence(m, F.least(hi, m + w) - 1)).otherwise(none), lambda k: ((n - k) * (d - k)).cast("double") / ((k + 1) * (p - n - d + k + 1)).cast("double"))
-        down = grown(F.when(F.greatest(lo, m - w) < m, F.sequence(m, F.greatest(lo, m - w) + 1, F.lit(-1).cast("bigint"))).otherwise(none), lambda k: (k * (p - n - d + k)).cast("double") / ((n - k + 1) * (d - k + 1)).cast("double"))
+        def total(steps: Column, ratio: Callable[[Column], Column]) -> Column:
+            start = F.struct(F.lit(1.0).alias("w"), F.lit(0.0).alias("s"))
+            return F.aggregate(steps, start, lambda a, k: let(a["w"] * ratio(k), lambda x: F.struct(x.alias("w"), (a["s"] + x).alias("s"))))
+
+        up = total(F.when(last > m, F.sequence(m, last - 1)).otherwise(none), rise)["s"]
+        down = total(F.when(first < m, F.sequence(m - 1, first, F.lit(-1).cast("bigint"))).otherwise(none), lambda k: 1 / rise(k))
 
-        def pick(s: Column) -> Column:
-            weights = s["weights"]
-            aim = u * F.aggregate(weights, F.lit(0.0), lambda a, x: a + x)
-            end = F.aggregate(weights, F.struct(F.lit(0.0).alias("c"), F.lit(0).cast("bigint").alias("i")), lambda a, x: F.struct((a["c"] + x).alias("c"), (a["i"] + F.when(a["c"] + x < aim, 1).otherwise(0)).alias("i")))["i"]
-            return F.least(hi, s["first"] + end)
+        def walk(s: Column) -> Column:
+            aim = u * (1.0 + s["up"] + s["down"]["s"])
+            start = F.struct(s["down"]["w"].alias("w"), s["down"]["w"].alias("c"), first.alias("k"))
+            steps = F.when(last > first, F.sequence(first, last - 1)).otherwise(none)
+            return F.aggregate(steps, start, lambda a, k: F.when(a["c"] >= aim, a).otherwise(let(a["w"] * rise(k), lambda x: F.struct(x.alias("w"), (a["c"] + x).alias("c"), (k + 1).alias("k")))))["k"]
 
-        return let(F.struct(up.alias("up"), down.alias("down")), lambda s: let(F.struct(F.concat(F.reverse(s["down"]), F.array(F.lit(1.0)), s["up"]).alias("weights"), (m - F.size(s["down"])).alias("first")), pick))
+        return let(F.struct(up.alias("up"), down.alias("down")), walk)
 
     lo, hi = F.greatest(F.lit(0).cast("bigint"), drawn - (population - marked)), F.least(marked, drawn)
     mode = F.floor((marked + 1).cast("double") * (drawn + 1).cast("double") / (population + 2).cast("double"))
@@ -64,9 +71,9 @@ def hypergeometric(population: Column, marked: Column, drawn: Column, u: Column)
 
 
 def splitting_tree(quotas: DataFrame, levels: int, seed: int) -> DataFrame:
-    """(shard, at, n): how many draws of the at-th source each of 2^levels shards gets.
+    """(shard, at, n): how many draws of the at-th column each of 2^levels shards gets.
 
-    `quotas`: one row with `counts`, the draws of each source. A node halves its total; how its halves differ
+    `quotas`: one row with `counts`, the draws of each column (MOST_COLUMNS at most). A node halves its total; how its halves differ
     by source is a multivariate hypergeometric draw, one source at a time from what is left, keyed by the node.
     """
     nodes = quotas.select(F.lit(1).cast("bigint").alias("node"), "counts")
@@ -93,7 +100,7 @@ def targets(sizes: DataFrame, share: float, cap: float, weights: tuple[int, ...]
 
     Targets share `share` of all words by weight; one above `cap` times its source's words stops there and the
     excess is shared again. In the order of cap per weight, the first source that the rest's rate leaves under
-    its cap fixes the rate. The windows run over one narrow row a source, and a node of the tree holds one count a source.
+    its cap fixes the rate. The windows run over one narrow row a source.
     """
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     ranked = sizes.withColumn("at", F.row_number().over(by_name) - 1)
@@ -109,6 +116,24 @@ def targets(sizes: DataFrame, share: float, cap: float, weights: tuple[int, ...]
     return rated.select("source", "words", "docs", "at", target.alias("target"), F.round(target).cast("bigint").alias("quota"))
 
 
+def ranked(rows: DataFrame, key: str, run: Column, order: list[str], number: str, before: str | None = None) -> DataFrame:
+    """rows with their rank in `key` from 0, and the sum of the column `before` over those ahead; taken in runs, then over them.
+
+    Runs ascend with the order and hold about RUN rows each, so that a key with most rows is not one task's.
+    """
+    rows = rows.withColumn("run", run)
+    inside, over = Window.partitionBy(key, "run").orderBy(*order), Window.partitionBy(key).orderBy("run")
+    rows = rows.withColumn("n0", F.row_number().over(inside) - 1)
+    if before:
+        rows = rows.withColumn("w0", F.sum(before).over(inside) - F.col(before))
+    sums = rows.groupBy(key, "run").agg(F.count("*").alias("rn"), F.sum(before or F.lit(0)).alias("rw"))
+    sums = sums.select(key, "run", (F.sum("rn").over(over) - F.col("rn")).alias("n1"), (F.sum("rw").over(over) - F.col("rw")).alias("w1"))
+    out = rows.join(sums, [key, "run"]).withColumn(number, F.col("n0") + F.col("n1"))
+    if before:
+        out = out.withColumn("before", F.col("w0") + F.col("w1")).drop("w0", before)
+    return out.drop("run", "n0", "n1", "w1")
+
+
 def plan(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = WEIGHTS, block_docs: int = 1024, shard_draws: int = 64, seed: int = 2024, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Columns `keep` of docs with size, source_size, target, taken and draws (epoch, shard, place, words).
 
@@ -116,9 +141,10 @@ def plan(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[i
     source's quota takes all its blocks so many times over, and then the first blocks of one more turn; the last
     document taken is cut to its first words, so a source's words are its quota exactly and no document exceeds
     `cap` times its size. The block draws of all sources are dealt to shards by the splitting tree; a source's
-    draws are permuted and go to the shards in turn, so that shards are disjoint; `place` orders a shard.
-    A null text has size 0 and takes nothing; null is a source of its own, the last. Repeated rows count each.
-    Columns of `docs` with the new names are replaced. Only hashes decide: reruns agree. Empty in, empty out.
+    draws are permuted by the rank of a hash and go to the shards in turn, so that shards are disjoint; `place`
+    orders a shard. Beyond MOST_COLUMNS sources, those that share a column of the tree are permuted together, which
+    deals them by the same hypergeometric law. A null text has size 0 and takes nothing; null is a source of its own,
+    the last. Repeated rows count each. Columns of `docs` with the new names are replaced. Only hashes decide: reruns agree. Empty in, empty out.
     """
     C.with_checkpoints(docs.sparkSession)
     new = ("size", "source_size", "target", "taken", "draws")
@@ -138,29 +164,27 @@ def plan(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[i
 
     dealt = narrow.join(small, narrow["source"].eqNullSafe(F.col("s"))).drop("s").withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed + 1), "mark"), F.col("buckets")))
     blocks = dealt.groupBy("at", "bucket").agg(F.sum("size").alias("block_words"))
-    # words and number of the blocks before each, summed over runs of blocks first
-    blocks = blocks.withColumn("run", F.floor(F.col("bucket") / 4096))
-    in_run = Window.partitionBy("at", "run").orderBy("bucket")
-    blocks = blocks.withColumns({"w0": F.sum("block_words").over(in_run) - F.col("block_words"), "n0": F.row_number().over(in_run) - 1})
-    runs = blocks.groupBy("at", "run").agg(F.sum("block_words").alias("rw"), F.count("*").alias("rn"))
-    over_runs = Window.partitionBy("at").orderBy("run")
-    runs = runs.select("at", "run", (F.sum("rw").over(over_runs) - F.col("rw")).alias("w1"), (F.sum("rn").over(over_runs) - F.col("rn")).alias("n1"))
-    blocks = blocks.join(runs, ["at", "run"]).select("at", "bucket", (F.col("w0") + F.col("w1")).alias("before"), (F.col("n0") + F.col("n1")).alias("number"))
+    # words and number of the blocks before each
+    blocks = blocks.withColumn("run", F.floor(F.col("bucket") / RUN))
+    blocks = ranked(blocks, "at", F.col("run"), ["bucket"], "number", before="block_words")
     blocks = blocks.join(spread(aims.select("at", "turns", "rest")), "at").checkpoint()
 
-    counts = blocks.groupBy("at").agg(F.count("*").alias("n"), F.sum(F.when(F.col("before") < F.col("rest"), 1).otherwise(0)).alias("part"), F.first("turns").alias("turns"))
-    counts = counts.select("at", "n", (F.col("n") * F.col("turns") + F.col("part")).alias("draws")).checkpoint()
+    column = F.pmod(F.col("at"), F.lit(MOST_COLUMNS)).alias("column")
+    turn = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("turns"))).alias("epoch")
+    draws = blocks.select(column, "at", "bucket", "turns", "before", "rest", turn).where("epoch < turns or before < rest").select("column", "at", "bucket", "epoch")
+    counts = draws.groupBy("column").agg(F.count("*").alias("draws")).checkpoint()
     total = counts.agg(F.sum("draws")).first()[0] or 0
     levels = max(0, math.ceil(math.log2(max(1, total / shard_draws))))
-    quotas = counts.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "draws"))), lambda x: x["draws"]).alias("counts"))
-    shards = splitting_tree(quotas, levels, seed)
-    along = Window.partitionBy("at").orderBy("shard")
-    shards = shards.withColumn("end", F.sum("n").over(along)).where("n > 0").select("at", "shard", F.explode(F.sequence(F.col("end") - F.col("n"), F.col("end") - 1)).alias("turned"))
-
-    turn = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("turns"))).alias("epoch")
-    draws = blocks.select("at", "bucket", "number", "turns", "before", "rest", turn).where("epoch < turns or before < rest")
-    draws = draws.join(spread(counts), "at").withColumn("turned", F.pmod((F.col("epoch") * F.col("n") + F.col("number")) * F.lit(PRIME) + F.pmod(F.xxhash64(F.lit(seed), "at"), F.col("draws")), F.col("draws")))
-    placed = draws.join(shards, ["at", "turned"]).groupBy("at", "bucket").agg(F.array_sort(F.collect_list(F.struct("epoch", "shard"))).alias("own"))  # two or three a block
+    quotas = counts.agg(F.array_sort(F.collect_list(F.struct("column", "draws"))).alias("columns"))
+    names = quotas.select(F.posexplode("columns").alias("i", "c")).select("i", "c.column")
+    shards = splitting_tree(quotas.select(F.transform("columns", lambda x: x["draws"]).alias("counts")), levels, seed).withColumnRenamed("at", "i").join(F.broadcast(names), "i")
+    along = Window.partitionBy("column").orderBy("shard")
+    shards = shards.withColumn("end", F.sum("n").over(along)).where("n > 0").select("column", "shard", F.explode(F.sequence(F.col("end") - F.col("n"), F.col("end") - 1)).alias("turned"))
+
+    u = uniform(F.lit(seed), F.col("at"), F.col("epoch"), F.col("bucket"))
+    draws = draws.join(F.broadcast(counts), "column").withColumns({"u": u, "run": F.floor(u * F.ceil(F.col("draws") / RUN))})
+    draws = ranked(draws, "column", F.col("run"), ["u", "at", "epoch", "bucket"], "turned")
+    placed = draws.join(shards, ["column", "turned"]).groupBy("at", "bucket").agg(F.array_sort(F.collect_list(F.struct("epoch", "shard"))).alias("own"))  # two or three a block
     placed = blocks.select("at", "bucket", "before").join(placed, ["at", "bucket"], "left")
 
     in_block = Window.partitionBy("at", "bucket").orderBy("mark", "size")
@@ -173,15 +197,18 @@ def plan(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[i
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "size", F.col("words").alias("source_size"), "target", taken.alias("taken"), "draws")
 
 
-def mix(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """The mix itself: a row of docs for each draw, with shard and place (its order there); the text is cut to its words.
+def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", names: tuple[str, str] = ("shard", "place"), **options) -> DataFrame:
+    """The mix itself: a row of docs for each draw, with its shard and place (order there) under `names`; the text is cut to its words.
 
-    A shard is read, or written by partitionBy("shard"), on its own; sorting it by place shuffles it.
+    A shard is read, or written by partitionBy, on its own; sorting it by place shuffles it. All columns of docs are
+    carried but those called like the two new ones, whatever their names. A null text has no words and no row;
+    repeated rows are drawn each; empty in, empty out.
     """
-    columns = [c for c in docs.columns if c.lower() not in ("shard", "place")]
-    rows = plan(docs.select(*[C.quoted(c) for c in columns]), text_col=text_col, keep=columns, **options)
-    rows = rows.select(*[C.quoted(c).alias(f"k{i}") for i, c in enumerate(columns)], "size", F.explode("draws").alias("d"))
-    text = F.col(f"k{columns.index(text_col)}")
+    columns = [c for c in docs.columns if c.lower() not in names]
+    own = {c: f"k{i}" for i, c in enumerate(columns)}
+    rows = plan(docs.select(*[C.quoted(c).alias(k) for c, k in own.items()]), id_col=own[id_col], source_col=own[source_col], text_col=own[text_col], **options)
+    rows = rows.select(*own.values(), "size", F.explode("draws").alias("d"))
+    text = F.col(own[text_col])
     cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), 1, F.col("d.words").cast("int")), "")
-    rows = rows.withColumn(f"k{columns.index(text_col)}", F.when(F.col("d.words") < F.col("size"), cut).otherwise(text))
-    return rows.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(columns)], "d.shard", "d.place")
+    rows = rows.withColumn(own[text_col], F.when(F.col("d.words") < F.col("size"), cut).otherwise(text))
+    return rows.select(*[F.col(k).alias(c) for c, k in own.items()], F.col("d.shard").alias(names[0]), F.col("d.place").alias(names[1]))
