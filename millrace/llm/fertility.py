@@ -17,6 +17,8 @@ from . import common as C
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 #: Words kept in each of a worker's two caches of counts.
 CACHED_WORDS = 250_000
+#: Up to so many bands their table (a narrow row each) is broadcast; a larger one is joined by shuffles, its keys salted.
+MOST_BANDS, SALTS = 10_000, 32
 #: First bytes of a script's UTF-8 sequences, from and to (exclusive); fixed values of Unicode.
 SCRIPTS = (("latin", 0xC3, 0xC9), ("greek", 0xCE, 0xD0), ("cyrillic", 0xD0, 0xD4), ("hebrew", 0xD6, 0xD8), ("arabic", 0xD8, 0xDC), ("indic", 0xE0, 0xE1), ("kana", 0xE3, 0xE4), ("han", 0xE4, 0xEA), ("hangul", 0xEA, 0xEE))
 MEASURES = ("chars_per_token", "byte_share", "token_entropy")
@@ -158,8 +160,8 @@ def fertility_rules(docs: DataFrame, vocabulary: str, lang_col: str = "lang", te
     measured = C.map_text(docs, lambda: measurer(vocabulary), FIELDS, text_col, inner)
     own = F.coalesce(C.quoted(lang_col), F.concat(F.lit("script:"), F.col("script"))) if has_lang else F.concat(F.lit("script:"), F.col("script"))
     measured = measured.withColumn("band_key", own)
-    measured = measured.cache() if text_col in inner else measured.checkpoint()
-    limits = bands(measured, spread=spread)
+    measured = measured.checkpoint()
+    limits = bands(measured, spread=spread).checkpoint()
     slack = F.sqrt(F.greatest(F.lit(1.0), F.lit(float(steady)) / F.greatest(F.col("n_tokens"), F.lit(1))))
     tests = [
         F.abs(F.col("chars_per_token") - F.col("mid_chars_per_token")) <= slack * F.col("width_chars_per_token"),
@@ -167,6 +169,11 @@ def fertility_rules(docs: DataFrame, vocabulary: str, lang_col: str = "lang", te
         F.col("token_entropy") >= F.col("mid_token_entropy") - slack * F.col("width_token_entropy"),
     ]
     kept = ~F.col("base_failed") & F.coalesce(reduce(lambda a, b: a & b, tests), F.lit(True))
-    return measured.join(limits, "band_key", "left").select(*[C.quoted(c) for c in kept_cols], *[f.name for f in FIELDS], "band_key", kept.alias("kept"))
+    if limits.count() <= MOST_BANDS:
+        banded = measured.join(F.broadcast(limits), "band_key", "left")
+    else:
+        limits = limits.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        banded = measured.withColumn("salt", F.pmod(F.xxhash64("n_words", "word_chars", "token_entropy"), F.lit(SALTS))).join(limits, ["band_key", "salt"], "left")
+    return banded.select(*[C.quoted(c) for c in kept_cols], *[f.name for f in FIELDS], "band_key", kept.alias("kept"))
 
 
