@@ -141,23 +141,24 @@ def gumbel(*parts: Column) -> Column:
 def kth_largest(keys: DataFrame, k: int) -> Column | None:
     """A condition on (key, mark) that holds for exactly k of the rows, those with the largest keys; equal rows count alike.
 
-    Bins of keys are counted, coarse and then fine inside the bin of the cut, and only the rows of that last bin
-    are ranked. None: no row. `keys` must not hold more than a few columns; it is read three times.
+    Bins of keys are counted, finer three times inside the bin of the cut, and the rows of that last bin are counted
+    by key and mark, so that equal rows are one. None: no row. `keys` must not hold more than a few columns; it is
+    read four times.
     """
     if k <= 0:
         return F.lit(False)
-    bounds: list[Column] = []
     inside, left = keys, k
-    for width in (1 / 64, 1 / 64 / 65536):
+    for width in (1 / 64, 1 / 64 / (1 << 16), 1 / 64 / (1 << 32)):
         bins = inside.groupBy(F.floor(F.col("key") / width).alias("bin")).agg(F.count("*").alias("n"))
         order = Window.orderBy(F.col("bin").desc())
         reached = bins.withColumn("sum", F.sum("n").over(order)).where(F.col("sum") >= left).orderBy(F.col("bin").desc()).first()
         if reached is None:
             return None
-        bounds.append(F.floor(F.col("key") / width) > reached["bin"])
         inside, left = inside.where(F.floor(F.col("key") / width) == reached["bin"]), left - (reached["sum"] - reached["n"])
-    last = inside.orderBy(F.col("key").desc(), F.col("mark")).limit(left).agg(F.min(F.struct((-F.col("key")).alias("k"), F.col("mark").alias("m"))), F.max(F.struct((-F.col("key")).alias("k"), F.col("mark").alias("m"))).alias("last")).first()["last"]
-    return (F.col("key") > -last["k"]) | ((F.col("key") == -last["k"]) & (F.col("mark") <= last["m"]))
+    order = Window.orderBy(F.col("key").desc(), F.col("mark"))
+    rows = inside.groupBy("key", "mark").agg(F.count("*").alias("n"))
+    last = rows.withColumn("sum", F.sum("n").over(order)).where(F.col("sum") >= left).orderBy(F.col("key").desc(), F.col("mark")).first()
+    return None if last is None else (F.col("key") > last["key"]) | ((F.col("key") == last["key"]) & (F.col("mark") <= last["mark"]))
 
 
 def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, temperature: float = 0.1, seed: int = 5, labelled: int = LABELLED, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
