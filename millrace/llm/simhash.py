@@ -90,22 +90,20 @@ def near(prints: np.ndarray, radius: int, free: list[int]) -> list[tuple[int, in
 
     if len(prints) <= COMPARED:
         join(np.argwhere(np.triu(np.bitwise_count(prints[:, None] ^ prints[None, :]) <= radius, 1)))
-    else:  # two within radius share a point that is within half of it (rounded up) of one and the rest of the other
+    else:  # two within radius share a point that is within half of it (rounded up) of one, and within the rest of the other
+        far, close = (radius + 1) // 2, radius // 2
         flips = [np.uint64(0)]
-        for _ in range((radius + 1) // 2):
+        for _ in range(far):
             flips = list(dict.fromkeys([*flips, *(f ^ np.uint64(1 << b) for f in flips for b in free)]))
-        points, owners = [], []
-        for f in flips:
-            points.append(prints ^ f)
-            owners.append(np.arange(len(prints)))
-        point, owner = np.concatenate(points), np.concatenate(owners)
-        order = np.lexsort((owner, point))
-        point, owner = point[order], owner[order]
-        same = np.flatnonzero(point[1:] == point[:-1])
-        pairs = np.stack([owner[same], owner[same + 1]], 1)
-        if radius % 2:  # an odd radius allows one bit less than two such steps
-            pairs = pairs[np.bitwise_count(prints[pairs[:, 0]] ^ prints[pairs[:, 1]]) <= radius]
-        join(np.unique(pairs, axis=0))
+        points = np.concatenate([prints ^ f for f in flips])
+        owner = np.tile(np.arange(len(prints)), len(flips))
+        apart = np.repeat(np.fromiter((int(f).bit_count() for f in flips), np.int64, len(flips)), len(prints))
+        order = np.lexsort((owner, apart, points))
+        points, owner, apart = points[order], owner[order], apart[order]
+        new = np.flatnonzero(np.concatenate([[True], points[1:] != points[:-1]]))
+        first = np.repeat(new, np.diff(np.append(new, len(points))))  # the closest owner of each point: all others are within radius of it
+        met = (apart[first] <= close) & (owner != owner[first])
+        join(np.unique(np.stack([owner[first][met], owner[met]], 1), axis=0))
     return [(i, root(i)) for i in range(len(prints)) if root(i) != i]
 
 
@@ -166,7 +164,7 @@ def simhash_classes(docs: DataFrame, words_each: int = 3, radius: int = 2, id_co
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("fp", "component_id")]
     C.with_checkpoints(docs.sparkSession)
     marked = C.map_text(docs, lambda: (lambda f: lambda text: (f(text),))(fingerprinter(words_each)), [C.field("fp", "long")], text_col, list(dict.fromkeys([id_col, *keep])))
-    marked = marked.checkpoint() if text_col not in keep else marked.cache()
+    marked = marked.checkpoint()
     prints = marked.groupBy("fp").agg(F.min(id_col).alias("least"))
     linked = C.components(bucket_links(prints.select("fp"), radius))
     named = prints.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
