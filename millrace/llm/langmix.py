@@ -15,7 +15,7 @@ from . import common as C
 #: Hash buckets of the character n-grams (of three characters), a power of two.
 BUCKETS = 1 << 15
 #: Languages that a model may hold: BUCKETS times as many counts go to the driver and to each task.
-MOST_LANGUAGES = 256
+MOST_LANGUAGES = 512
 #: Characters worked on at a time.
 CHUNK = 1 << 20
 _ALPHA: list[np.ndarray] = []
@@ -53,7 +53,15 @@ def grams(text: str) -> np.ndarray | None:
 
 
 def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", smooth: float = 0.5) -> Model:
-    """n-gram counts of every document with a language: one row for each language and bucket reaches the driver."""
+    """n-gram counts of every document with a language: one row for each language and bucket reaches the driver.
+
+    Languages are counted first; more than MOST_LANGUAGES are an error before anything is collected. Null texts and texts without a
+    letter add nothing, repeated rows count each, rows without a language are left out, and an empty table gives a
+    model without languages. Other columns are not read.
+    """
+    spoken = docs.where(C.quoted(lang_col).isNotNull()).select(C.quoted(lang_col).cast("string")).distinct().limit(MOST_LANGUAGES + 1).count()
+    if spoken > MOST_LANGUAGES:
+        raise ValueError(f"over {MOST_LANGUAGES} languages: a model holds no more")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -70,8 +78,6 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", smoot
     rows = docs.where(C.quoted(lang_col).isNotNull()).select(C.quoted(lang_col).cast("string"), C.quoted(text_col)).mapInArrow(run, "lang string, bucket int, n long")
     packed = rows.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = tuple(sorted(packed["lang"].unique()))
-    if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"{len(languages)} languages; a model holds {MOST_LANGUAGES} at most")
     counts = np.full((BUCKETS, len(languages)), smooth)
     for k, lang in enumerate(languages):
         own = packed[packed["lang"] == lang]

@@ -133,6 +133,58 @@ def test_mixing_tree_splits_exactly(spark):
     assert set(shards.values()) == {130} and len({r.n for r in leaves if r["at"] == 0}) > 1
 
 
+def test_mixing_permutes_blocks_at_random(spark):
+    """Blocks of one source do not go to shards at a constant stride, and two runs agree; many sources share a column."""
+    docs = spark.createDataFrame([(i, f"w{i} x y z", "en", "s", 1) for i in range(640)], DOCS)
+    runs = [mixing.mix(docs.repartition(n), block_docs=4, shard_draws=8) for n in (2, 5)]
+    a, b = (sorted((r.doc_id, r.shard, r.place) for r in x.select("doc_id", "shard", "place").collect()) for x in runs)
+    assert a == b
+    shards = [s for _, s, _ in a]
+    steps = Counter(y - x for x, y in zip(shards, shards[1:], strict=False))
+    assert len(set(shards)) > 10 and steps.most_common(1)[0][1] < len(shards) / 4
+
+
+def test_mixing_many_sources(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_COLUMNS", 3)
+    monkeypatch.setattr(mixing, "RUN", 5)
+    docs = spark.createDataFrame([(i, "a b c d", "en", f"s{i % 11:02}", 1) for i in range(400)], DOCS)
+    rows_ = mixing.plan(docs, block_docs=3, shard_draws=4).collect()
+    for s in {r.source for r in rows_}:
+        own = [r for r in rows_ if r.source == s]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 0.5 + 1e-6
+    assert sum(len(r.draws) for r in rows_) >= 400 and len({d.shard for r in rows_ for d in r.draws}) > 4
+
+
+def test_mix_carries_columns_of_any_name(docs):
+    clashing = docs.withColumns({"target": F.lit("mine"), "taken": F.lit("mine"), "draws": F.lit("mine"), "words": F.lit("mine"), "d": F.lit("mine"), "k0": F.lit("mine")})
+    mixed = mixing.mix(clashing, block_docs=2, shard_draws=2)
+    assert mixed.columns == [*clashing.columns, "shard", "place"]
+    assert all(r[c] == "mine" for r in mixed.collect() for c in ("score", "size", "labels", "kept", "fp", "target", "taken", "draws", "words", "d", "k0"))
+
+
+def test_fertility_bands_beyond_a_broadcast(docs, monkeypatch):
+    path = queries.vocabulary("piece_bpe_32k.model")
+    columns = ("doc_id", "n_words", "band_key", "kept")
+    few = rows(fertility.fertility_rules(docs, path), *columns)
+    monkeypatch.setattr(fertility, "MOST_BANDS", 0)
+    assert rows(fertility.fertility_rules(docs, path), *columns) == few
+
+
+def test_too_many_languages_are_told_before_they_are_collected(docs, monkeypatch):
+    monkeypatch.setattr(langmix, "MOST_LANGUAGES", 1)
+    with pytest.raises(ValueError, match="languages"):
+        langmix.train(docs)
+
+
+def test_hypergeometric_of_a_large_draw(spark):
+    """Thousands of steps from the mode, in the mean and the spread of the law."""
+    u = spark.range(200).select(((F.col("id") + 0.5) / 200).alias("u"))
+    lit = lambda x: F.lit(x).cast("bigint")
+    got = [r[0] for r in u.select(mixing.hypergeometric(lit(4_000_000), lit(1_000_000), lit(2_000_000), F.col("u"))).collect()]
+    sd = (2e6 * 0.25 * 0.75 * 0.5) ** 0.5
+    assert got == sorted(got) and abs(np.mean(got) - 500_000) < 0.05 * sd and np.std(got) == pytest.approx(sd, rel=0.03)
+
+
 def test_hypergeometric_is_unbiased(spark):
     u = spark.range(2000).select(((F.col("id") + 0.5) / 2000).alias("u"))
     lit = lambda x: F.lit(x).cast("bigint")
@@ -245,6 +297,8 @@ def test_kth_largest_with_ties(spark):
     for k in (1, 2, 17, 49, 50):
         top = {r.mark for r in keys.where(importance.kth_largest(keys, k)).collect()}
         assert top == {i for _, i in sorted((-(i // 3), i) for i in range(50))[:k]}
+    equal = spark.createDataFrame([(1.5, 7)] * 30 + [(1.5, 9), (0.25, 1)], "key double, mark long")
+    assert equal.where(importance.kth_largest(equal, 12)).count() == 30 and equal.where(importance.kth_largest(equal, 31)).count() == 31
 
 
 def brute_print(text):
@@ -294,6 +348,23 @@ def test_masks_cover(radius):
         assert any(not bits & m for m in found)
 
 
+@pytest.mark.parametrize("radius", [1, 2, 3, 4])
+def test_a_large_bucket_meets_as_a_small_one_does(monkeypatch, radius):
+    """Which of the two ways a bucket's fingerprints are compared does not change the classes."""
+    rng, free = random.Random(radius), list(range(12))
+    for _ in range(20):
+        prints = np.array(sorted({rng.getrandbits(12) for _ in range(40)}), np.uint64)
+        found = []
+        for most in (0, 1000):
+            monkeypatch.setattr(simhash, "COMPARED", most)
+            label = list(range(len(prints)))
+            for i, j in simhash.near(prints, radius, free):
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+            found.append(label)
+        assert found[0] == found[1]
+
+
 @pytest.mark.parametrize("most", [4, 10_000])
 def test_links_of_small_and_large_buckets(spark, monkeypatch, most):
     monkeypatch.setattr(simhash, "COMPARED", most)
