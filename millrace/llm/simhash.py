@@ -7,9 +7,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import common as C
 
@@ -189,10 +188,42 @@ def band_keys(words_each: int, bands: int = BANDS, rows: int = ROWS, seed: int =
     return keys
 
 
-def band_links(keyed: DataFrame) -> DataFrame:
-    """(a, b): each node (node, key) and the least one that has the same key."""
-    low = keyed.withColumn("low", F.min("node").over(Window.partitionBy("key")))
-    return low.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
+def text_mark(text: Column) -> Column:
+    """16 bytes by which equal texts are one (MD5); a null text is empty."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
+
+def band_links(marked: DataFrame, words_each: int) -> DataFrame:
+    """(a, b): each node of marked (node, _text) and the least one that shares a key with it.
+
+    The texts of an Arrow batch are linked among themselves first, and only the least node of each key goes on, so
+    that a key that most texts share brings a row a batch to its group.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys_of = band_keys(words_each)
+        for batch in batches:
+            found: dict[bytes, list[int]] = {}
+            for node, text in zip(batch["node"].to_pylist(), C.texts(batch["_text"]), strict=True):
+                if node not in found:
+                    found[node] = keys_of(text or "")
+            nodes = sorted(found)
+            if not nodes:
+                continue
+            keys = np.array([found[n] for n in nodes], np.int64)
+            owner = np.repeat(np.arange(len(nodes)), keys.shape[1])
+            order = np.lexsort((owner, keys.ravel()))
+            keys, owner = keys.ravel()[order], owner[order]
+            new = np.concatenate([[True], keys[1:] != keys[:-1]])
+            least = owner[np.flatnonzero(new)][np.cumsum(new) - 1]
+            inner = np.unique(np.stack([owner, least], 1)[~new & (owner != least)], axis=0)
+            names = pa.array(nodes, pa.binary())
+            sent = [pa.concat_arrays([pa.array(keys[new]), pa.array(inner[:, 0])]), names.take(pa.array(np.concatenate([owner[new], inner[:, 0]])))]
+            yield pa.RecordBatch.from_arrays([*sent, pa.concat_arrays([pa.nulls(int(new.sum()), pa.binary()), names.take(pa.array(inner[:, 1]))])], names=["key", "node", "low"])
+
+    keyed = marked.select("node", "_text").mapInArrow(run, "key long, node binary, low binary")
+    low = F.coalesce("low", F.min("node").over(Window.partitionBy("key", F.col("low").isNull())))
+    return keyed.select(F.col("node").alias("a"), low.alias("b")).where("a <> b")
 
 
 def exact_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
@@ -238,7 +269,7 @@ def exact_links(texts: DataFrame, groups: DataFrame, words_each: int, similarity
 
         return of
 
-    once = texts.groupBy("node").agg(F.first("_text").alias("_text")).join(groups, "node")
+    once = texts.groupBy("node").agg(F.first("_text").alias("_text")).join(groups, "node")  # copies meet in each task first
     sets = C.map_text(once, make, [C.field("size", "long"), C.field("hashes", "binary")], "_text", ["node", "component"]).checkpoint()
     order = Window.partitionBy("component").orderBy("size", "node")
     placed = sets.select("node", "component", "size", F.floor(F.sum("size").over(order) / F.lit(BLOCK)).alias("block"))
@@ -250,46 +281,41 @@ def exact_links(texts: DataFrame, groups: DataFrame, words_each: int, similarity
 
     def link(table: pa.Table) -> pa.Table:
         table = table.sort_by([("size", "ascending"), ("node", "ascending")])
-        nodes, found = table["node"].to_numpy(), exact_forest([np.frombuffer(x.as_buffer(), "<u8") for x in table["hashes"]], similarity)
-        return pa.table({name: pa.array([int(nodes[x[k]]) for x in found], pa.int64()) for k, name in enumerate("ab")})
+        nodes, found = table["node"].to_pylist(), exact_forest([np.frombuffer(x.as_buffer(), "<u8") for x in table["hashes"]], similarity)
+        return pa.table({name: pa.array([nodes[x[k]] for x in found], pa.binary()) for k, name in enumerate("ab")})
 
-    return dealt.groupBy("component", "i", "j").applyInArrow(link, "a long, b long")
+    return dealt.groupBy("component", "i", "j").applyInArrow(link, "a binary, b binary")
 
 
 def near_classes(docs: DataFrame, words_each: int = 5, similarity: float = 0.8, text_col: str = "text") -> DataFrame:
     """(mark, component): for each distinct text that is near another one, the class it belongs to.
 
-    mark = XXH64 of the text, by which equal texts are one. Candidates share the key of a band of MinHashes of
+    mark = MD5 of the text, by which equal texts are one. Candidates share the key of a band of MinHashes of
     their `words_each`-word shingles. The chance depends on their Jaccard similarity s alone, whatever the edits: none of the
     `BANDS` keys agrees with (1 - s ** ROWS) ** BANDS, 5e-9 at 0.8 and less above. Two candidates are linked if and
-    only if s is `similarity` or more, taken exactly.
+    only if s is `similarity` or more, taken exactly. Null and blank texts have no shingle and are near one another;
+    a text with fewer words is one shingle. Repeated rows are one text; empty in, empty out; only the text is read.
     """
-
-    def make() -> Callable[[str], tuple]:
-        keys = band_keys(words_each)
-        return lambda text: (keys(text),)
-
     C.with_checkpoints(docs.sparkSession)
-    marked = docs.select(F.xxhash64(F.coalesce(C.quoted(text_col), F.lit(""))).alias("node"), C.quoted(text_col).alias("_text"))
-    prints = C.map_text(marked, make, [C.field("keys", T.ArrayType(T.LongType()))], "_text", ["node"])
-    nodes = prints.groupBy("node").agg(F.first("keys").alias("keys"))
-    groups = C.components(band_links(nodes.select("node", F.explode("keys").alias("key"))))
+    marked = docs.select(text_mark(C.quoted(text_col)).alias("node"), C.quoted(text_col).alias("_text"))
+    groups = C.components(band_links(marked, words_each))
     return C.components(exact_links(marked, groups, words_each, similarity)).select(F.col("node").alias("mark"), "component")
 
 
 def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs with one row of each group of equal or near-equal texts: the one with the smallest id (null ids last).
 
-    Texts without a word are one group. Rows that tie on the id are told apart by their text and, if that is equal,
-    one of them is kept. Columns and their order stay.
+    Texts without a word are one group. Rows that tie on the id are told apart by their text, then by a hash of their
+    other columns; of rows equal in all one is kept. Columns and their order stay, whatever their names.
     """
     classes = near_classes(docs, text_col=text_col, **options)
-    mark = F.xxhash64(F.coalesce(C.quoted(text_col), F.lit("")))
+    mark = text_mark(C.quoted(text_col))
     keys = docs.select(mark.alias("mark"), C.quoted(id_col).alias("id")).groupBy("mark").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("least"))
     group = keys.join(classes, "mark", "left").withColumn("group", F.coalesce("component", "mark"))
     best = group.groupBy("group").agg(F.min(F.struct("least", "mark")).alias("b")).select(F.col("b.mark").alias("__mark"))
     columns = [F.col(f"r.k{i}").alias(c) for i, c in enumerate(docs.columns)]
     own = F.struct(*[C.quoted(c).alias(f"k{i}") for i, c in enumerate(docs.columns)])
-    rows = docs.select(own.alias("row"), mark.alias("__mark"), F.struct(C.quoted(id_col).isNull(), C.quoted(id_col)).alias("order"))
+    plain = [C.quoted(f.name) for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    rows = docs.select(own.alias("row"), mark.alias("__mark"), F.struct(C.quoted(id_col).isNull(), C.quoted(id_col), F.xxhash64(*plain)).alias("order"))
     firsts = rows.groupBy("__mark").agg(F.min_by("row", "order").alias("r"))  # equal texts meet in each task first
     return firsts.join(best, "__mark", "left_semi").select(*columns)

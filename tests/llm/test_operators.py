@@ -401,6 +401,15 @@ def test_near_copies(spark, none):
     assert simhash.without_near_copies(none).count() == 0
 
 
+def test_near_copies_of_common_texts_and_any_columns(spark, docs):
+    """A text that most rows have, ties in id and text that other columns decide, clashing names, a map column."""
+    wide = docs.withColumns({"row": F.lit("mine"), "__mark": F.lit("mine"), "component": F.lit("mine"), "node": F.lit("mine"), "a": F.col("n_chars") % 3, "m": F.create_map(F.lit("k"), F.lit(1))})
+    runs = [sorted(map(repr, simhash.without_near_copies(wide.unionByName(wide).withColumn("a", F.monotonically_increasing_id() % 5).repartition(n).drop("a").withColumn("a", F.col("n_chars"))).collect())) for n in (1, 4)]
+    assert runs[0] == runs[1] and len(set(runs[0])) == len(runs[0])
+    common = spark.createDataFrame([(i, "the same words here again " * 5 if i % 3 else f"text {i} of its own with some more words", "en", "s", 1) for i in range(300)], DOCS).repartition(8)
+    assert simhash.without_near_copies(common).count() == 101
+
+
 def brute_jaccard(a, b):
     sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in (a.split(), b.split())]
     return len(sets[0] & sets[1]) / len(sets[0] | sets[1])

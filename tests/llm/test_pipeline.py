@@ -22,6 +22,26 @@ def test_stages(spark, tmp_path):
     assert counts[0] > counts[1] > counts[2] == counts[3] and docs.where("length > 4096").count() == 0
 
 
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Nulls in every column, repeated rows, clashing names and no row at all: columns and values of others stay."""
+    import corpus_pipeline as P
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = spark.createDataFrame([(None, None, None, None, None), (None, "", "en", None, 0), (7, None, "en", "web", None), (8, "x" * 100_000, None, None, 100_000)], docs.schema)
+    names = ("key", "kept", "log_weight", "size", "target", "taken", "draws", "shard", "place", "mark", "component", "redacted", "ids", "k0", "c0")
+    odd = docs.unionByName(odd).unionByName(docs.limit(20)).select("*", *[F.lit("mine").alias(c) for c in names])
+    for table in (odd, odd.limit(0)):
+        now = table
+        for at, (_, stage) in enumerate(P.STAGES):
+            path = str(tmp_path / f"{at}-{table is odd}")
+            stage(spark, now, SF).write.parquet(path)
+            now = spark.read.parquet(path)
+            if at < len(P.STAGES) - 1:
+                assert now.columns == odd.columns and now.where(" or ".join(f"{c} <> 'mine'" for c in names)).count() == 0
+        assert (now.count() > 0) == (table is odd)
+
+
 def test_names(spark):
     import __spark_entry__ as E
 
