@@ -77,6 +77,11 @@ def family(source: Column) -> Column:
     return out
 
 
+def family_or_error(source: Column) -> Column:
+    """The scoring family; an unknown source ends the query with an error that names it."""
+    return F.coalesce(family(source), F.raise_error(F.concat(F.lit("no scorer for the source "), F.coalesce(source, F.lit("null")))).cast("string"))
+
+
 def agentic(strict: Column, turns: Column) -> Column:
     """The strict result; when wrong, a little more for each turn of tool use, at most 0."""
     return F.when(strict > 0, strict).otherwise(F.least(F.lit(0.0), strict + (turns - 2) / 2 * 0.1))

@@ -72,8 +72,44 @@ def best_of_n_weight(df: DataFrame, score: str = "score", uid: str = "uid") -> D
     return df.withColumn("weight", n * F.pow(F.cume_dist().over(w.orderBy(score)), n - 1))
 
 
-#: Estimators by name; a caller may add its own.
-ESTIMATORS: dict[str, Callable[..., DataFrame]] = {"grpo": grpo, "pass_at_k": pass_at_k, "rloo": rloo, "opo": opo, "gpg": gpg, "reinforce_plus_plus_baseline": baseline}
+def remax(df: DataFrame, score: str = "score", greedy: str = "len") -> DataFrame:
+    """The score minus that of the prompt's greedy response, given in a column."""
+    return df.withColumn("advantage", F.col(score) - F.col(greedy))
+
+
+def two_source_rloo(df: DataFrame, score: str = "score", acc: str = "acc", uid: str = "uid") -> DataFrame:
+    """Leave-one-out of the model's score plus leave-one-out of the accuracy."""
+    first = rloo(df, score, uid).withColumnRenamed("advantage", "_first")
+    both = rloo(first.withColumn("_acc", F.col(acc).cast("double")), "_acc", uid)
+    return both.withColumn("advantage", F.col("_first") + F.col("advantage")).drop("_first", "_acc")
+
+
+#: Estimators of a response's advantage by name; a caller may add its own.
+ESTIMATORS: dict[str, Callable[..., DataFrame]] = {
+    "grpo": grpo, "pass_at_k": pass_at_k, "rloo": rloo, "opo": opo, "gpg": gpg, "reinforce_plus_plus_baseline": baseline, "remax": remax, "prime": two_source_rloo,
+}
+
+
+def token_estimator(name: str) -> Callable[..., DataFrame]:
+    """Estimators of a token's advantage: gae and reinforce_plus_plus, each whitened over the masked tokens of all rows.
+
+    They take tokens (uid, t, reward, value, mask) and give (uid, t, mask, ret, advantage); `resampled`, where given, is
+    applied to what gae returns.
+    """
+    from millrace.operators import tokens as T
+
+    def gae(df: DataFrame, gamma: float = 1.0, lam: float = 1.0, resampled: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+        found = T.whiten(T.gae(df, gamma, lam), "advantage", "mask", "advantage")
+        return resampled(found) if resampled else found
+
+    def reinforce_plus_plus(df: DataFrame, gamma: float = 1.0) -> DataFrame:
+        found = T.whiten(T.discounted_returns(df, gamma), "ret", "mask", "advantage")
+        return found.withColumn("advantage", F.col("advantage") * F.col("mask"))
+
+    found = {"gae": gae, "reinforce_plus_plus": reinforce_plus_plus}
+    if name not in found:
+        raise ValueError(f"no estimator of tokens {name}; there are {', '.join(sorted(found))}")
+    return found[name]
 
 
 def estimator(name: str) -> Callable[..., DataFrame]:

@@ -80,37 +80,64 @@ def value_loss(value: Column, old: Column, ret: Column, clip: float = 0.5) -> tu
     return F.greatest(a, b), (b > a).cast("int")
 
 
-def gae(df: DataFrame, gamma: float, lam: float, uid: str = "uid", t: str = "t", reward: str = "reward", value: str = "value", mask: str = "mask") -> DataFrame:
-    """(uid, t, mask, advantage, ret): generalised advantages; masked steps pass the next value and the running sum on.
+#: Steps of a response that are folded together; what passes from one run to the next is a linear function.
+STEPS = 256
+#: The state of a fold: what passes on, the value at the step, and the step's mask and value.
+STATE = "next:double,last:double,m:int,v:double"
+
+
+def folded(df: DataFrame, uid: str, t: str, fields: dict[str, Column], start: Column, step: Callable[[Column, Column], Column], out: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """A fold over each response from its end, its state kept at each step: (uid, t, the columns of `out`).
 
-    A row's tokens are gathered to one array (a response is bounded) and folded from its end.
+    A response's tokens are gathered to one array (a response is bounded). Only every STEPS-th state is appended to
+    an array, and the states between are folded again from there, so that the work is not the square of the length.
     """
-    steps = F.reverse(F.array_sort(F.collect_list(F.struct(F.col(t).alias("t"), F.col(reward).alias("r"), F.col(value).alias("v"), F.col(mask).alias("m")))))
+    steps = F.reverse(F.array_sort(F.collect_list(F.struct(F.col(t).alias("t"), *[c.alias(n) for n, c in fields.items()]))))
     rows = df.groupBy(uid).agg(steps.alias("steps"))
-    kind = "array<struct<t:int,m:int,a:double,ret:double>>"
-    start = F.struct(F.lit(0.0).alias("next"), F.lit(0.0).alias("last"), F.array().cast(kind).alias("out"))
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size("steps") - 1) / STEPS).cast("int")), lambda i: F.slice("steps", i * STEPS + 1, F.lit(STEPS)))
+
+    def over(chunk: Column, state: Column) -> Column:
+        return F.aggregate(chunk, state, step)
+
+    first = F.struct(start.alias("s"), F.array().cast(f"array<struct<{STATE}>>").alias("all"))
+    heads = F.aggregate(F.col("chunks"), first, lambda a, c: F.struct(over(c, a["s"]).alias("s"), F.concat(a["all"], F.array(a["s"])).alias("all")))["all"]
+
+    def inside(chunk: Column, head: Column) -> Column:
+        kept = F.struct(head.alias("s"), F.array().cast(f"array<struct<t:bigint,{STATE}>>").alias("all"))
+
+        def one(a: Column, x: Column) -> Column:
+            return F.transform(F.array(step(a["s"], x)), lambda s: F.struct(s.alias("s"), F.concat(a["all"], F.array(F.struct(x["t"].cast("bigint").alias("t"), *[s[n].alias(n) for n in ("next", "last", "m", "v")]))).alias("all")))[0]
+
+        return F.aggregate(chunk, kept, one)["all"]
+
+    states = rows.select(uid, "steps", chunks.alias("chunks")).select(uid, "chunks", heads.alias("heads"))
+    every = states.select(uid, F.explode(F.arrays_zip("chunks", "heads")).alias("z")).select(uid, F.explode(inside(F.col("z.chunks"), F.col("z.heads"))).alias("x"))
+    return every.select(uid, F.col("x.t").cast("int").alias(t), *[f(F.col("x")).alias(n) for n, f in out.items()])
+
+
+def gae(df: DataFrame, gamma: float, lam: float, uid: str = "uid", t: str = "t", reward: str = "reward", value: str = "value", mask: str = "mask") -> DataFrame:
+    """(uid, t, mask, advantage, ret): generalised advantages; masked steps pass the next value and the running sum on."""
 
     def step(s: Column, x: Column) -> Column:
         a = x["r"] + gamma * s["next"] - x["v"] + gamma * lam * s["last"]
-        now = F.when(x["m"] == 1, a).otherwise(s["last"])
-        row = F.struct(x["t"].cast("int").alias("t"), x["m"].cast("int").alias("m"), now.alias("a"), (now + x["v"]).alias("ret"))
-        return F.struct(F.when(x["m"] == 1, x["v"]).otherwise(s["next"]).alias("next"), now.alias("last"), F.concat(s["out"], F.array(row)).alias("out"))
+        on = x["m"] == 1
+        return F.struct(F.when(on, x["v"]).otherwise(s["next"]).alias("next"), F.when(on, a).otherwise(s["last"]).alias("last"), x["m"].cast("int").alias("m"), x["v"].alias("v"))
 
-    folded = rows.select(uid, F.explode(F.aggregate("steps", start, step)["out"]).alias("x"))
-    return folded.select(uid, F.col("x.t").alias(t), F.col("x.m").alias(mask), F.col("x.a").alias("advantage"), F.col("x.ret").alias("ret"))
+    fields = {"r": F.col(reward).cast("double"), "v": F.col(value).cast("double"), "m": F.col(mask)}
+    start = F.struct(F.lit(0.0).alias("next"), F.lit(0.0).alias("last"), F.lit(0).alias("m"), F.lit(0.0).alias("v"))
+    return folded(df, uid, t, fields, start, step, {mask: lambda x: x["m"], "advantage": lambda x: x["last"], "ret": lambda x: x["last"] + x["v"]})
 
 
 def discounted_returns(df: DataFrame, gamma: float, uid: str = "uid", t: str = "t", reward: str = "reward", mask: str = "mask") -> DataFrame:
     """Reversed discounted sums whose carry is reset where the mask is 0."""
-    steps = F.reverse(F.array_sort(F.collect_list(F.struct(F.col(t).alias("t"), F.col(reward).alias("r"), F.col(mask).alias("m")))))
-    start = F.struct(F.lit(0.0).alias("run"), F.array().cast("array<struct<t:int,m:int,ret:double>>").alias("out"))
 
     def step(s: Column, x: Column) -> Column:
-        now = x["r"] + gamma * s["run"]
-        return F.struct((now * x["m"]).alias("run"), F.concat(s["out"], F.array(F.struct(x["t"].cast("int").alias("t"), x["m"].cast("int").alias("m"), now.alias("ret")))).alias("out"))
+        now = x["r"] + gamma * s["next"]
+        return F.struct((now * x["m"]).alias("next"), now.alias("last"), x["m"].cast("int").alias("m"), F.lit(0.0).alias("v"))
 
-    folded = df.groupBy(uid).agg(steps.alias("s")).select(uid, F.explode(F.aggregate("s", start, step)["out"]).alias("x"))
-    return folded.select(uid, F.col("x.t").alias(t), F.col("x.m").alias(mask), F.col("x.ret").alias("ret"))
+    fields = {"r": F.col(reward).cast("double"), "m": F.col(mask)}
+    start = F.struct(F.lit(0.0).alias("next"), F.lit(0.0).alias("last"), F.lit(0).alias("m"), F.lit(0.0).alias("v"))
+    return folded(df, uid, t, fields, start, step, {mask: lambda x: x["m"], "ret": lambda x: x["last"]})
 
 
 def eos_mask(df: DataFrame, is_end: Column, uid: str = "uid", t: str = "t") -> DataFrame:
