@@ -271,8 +271,14 @@ def exact_links(texts: DataFrame, groups: DataFrame, words_each: int, similarity
 
     once = texts.groupBy("node").agg(F.first("_text").alias("_text")).join(groups, "node")  # copies meet in each task first
     sets = C.map_text(once, make, [C.field("size", "long"), C.field("hashes", "binary")], "_text", ["node", "component"]).checkpoint()
-    order = Window.partitionBy("component").orderBy("size", "node")
-    placed = sets.select("node", "component", "size", F.floor(F.sum("size").over(order) / F.lit(BLOCK)).alias("block"))
+    # shingles up to each text in the order of size and node: inside runs of one size and of nodes that begin alike, then over the runs
+    run = ["component", "size", "run"]
+    rows = sets.select("node", "component", "size", F.substring(F.hex("node"), 1, 2).alias("run"))
+    runs = rows.groupBy(*run).agg(F.sum("size").alias("held"))
+    over = Window.partitionBy("component").orderBy("size", "run")
+    runs = runs.select(*run, (F.sum("held").over(over) - F.col("held")).alias("before"))
+    inside = F.sum("size").over(Window.partitionBy(*run).orderBy("node"))
+    placed = rows.withColumn("inside", inside).join(runs, run).select("node", "component", "size", F.floor((F.col("before") + F.col("inside")) / F.lit(BLOCK)).alias("block"))
     blocks = placed.groupBy("component", "block").agg(F.min("size").alias("least"), F.max("size").alias("most"))
     later = blocks.select("component", F.col("block").alias("j"), F.col("least").alias("other"))
     met = blocks.join(later, "component").where((F.col("block") <= F.col("j")) & (F.col("other") * F.lit(similarity) <= F.col("most") + 1))
