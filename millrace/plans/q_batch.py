@@ -10,7 +10,7 @@ from millrace.operators import balance as L
 from millrace.operators import batch as B
 from millrace.operators import retrieval as R
 from millrace.plans import views as V
-from millrace.sources.io import placed
+from millrace.sources.io import placed, ranked_in
 
 ROWS = "(SELECT o_orderkey AS row_id, o_custkey AS cust, o_orderstatus AS status, o_totalprice AS price FROM orders)"
 N = "(SELECT count(*) FROM orders)"
@@ -132,7 +132,8 @@ def top_scored_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("SELECT doc_id, CAST(row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) AS INT) AS place FROM documents")
 def curriculum_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.row_number().over(Window.partitionBy("source").orderBy("n_chars", "doc_id")).alias("place"))
+    docs = ranked_in(table(spark, sf_dir, "documents").select("source", "n_chars", "doc_id"), "source", ["n_chars", "doc_id"], "place")
+    return docs.select("doc_id", (F.col("place") + 1).cast("int").alias("place"))
 
 
 @register()
@@ -154,8 +155,8 @@ def token_budget_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("""WITH b AS (SELECT source, doc_id, n_chars, floor((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) / 5) AS blk FROM documents), s AS (SELECT source, blk, sum(n_chars) AS s FROM b GROUP BY ALL)
     SELECT source, CAST(max(s) AS BIGINT) AS high, CAST(min(s) AS BIGINT) AS low, CAST(max(s) - min(s) AS BIGINT) AS gap, round(avg(s), 6) + 0.0 AS mean FROM s GROUP BY source""")
 def imbalance_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
-    s = table(spark, sf_dir, "documents").select("source", "n_chars", F.floor(place / 5).alias("blk")).groupBy("source", "blk").agg(F.sum("n_chars").alias("s"))
+    docs = ranked_in(table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars"), "source", ["doc_id"], "place")
+    s = docs.select("source", "n_chars", F.floor(F.col("place") / 5).alias("blk")).groupBy("source", "blk").agg(F.sum("n_chars").alias("s"))
     return s.groupBy("source").agg(F.max("s").alias("high"), F.min("s").alias("low"), (F.max("s") - F.min("s")).alias("gap"), r6(F.avg("s")).alias("mean"))
 
 

@@ -59,7 +59,7 @@ def synthetic_char_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.range(200).select("id", F.concat(F.lit("How many "), letter, F.lit(" are in "), text, F.lit("?")).alias("question"), (F.length(text) - F.length(F.replace(text, letter, F.lit("")))).cast("long").alias("answer"))
 
 
-@register()
+@register("SELECT i AS id, concat('(', i, ' + 2) * 3 @ (', i % 7, ' - 4) / 2') AS expression, CAST((9 * (i + 2) - 2 * (i % 7 - 4)) / 2.0 AS DOUBLE) AS value FROM range(200) r(i)")
 def synthetic_arithmetic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expressions with a made-up operator, and their exact values from a recursive-descent reader."""
 
@@ -152,11 +152,13 @@ def map_tool_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", F.col("extra_info.need_tools_kwargs").alias("need_tools"), F.col("extra_info.tools_kwargs.score_tool.create_kwargs.ground_truth").alias("create_truth"), "agent_name", F.col("extra_info.interaction_kwargs.name").alias("interaction"), F.col("extra_info.interaction_kwargs.query").alias("query"))
 
 
-@register("SELECT item_id, concat('searchR1_', CASE WHEN item_id % 2 = 0 THEN 'nq' ELSE 'hotpot' END) AS data_source, coalesce(CASE WHEN item_id % 3 = 0 THEN NULL ELSE text[1:20] END, text[21:40]) AS truth, 2 AS turns FROM benchmark")
+@register("SELECT item_id, concat('searchR1_', CASE WHEN item_id % 2 = 0 THEN 'nq' ELSE 'hotpot' END) AS data_source, coalesce(CASE WHEN item_id % 3 = 0 THEN NULL ELSE text END, CAST(item_id AS VARCHAR)) AS truth, text AS question, 2 AS turns FROM benchmark")
 def map_search_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    truth = F.coalesce(F.when(F.col("item_id") % 3 != 0, F.substring("text", 1, 20)), F.substring("text", 21, 20))
-    chat = F.array(P.message("system", F.lit("Search first.")), P.message("user", F.substring("text", 1, 40)))
-    return table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("searchR1_"), F.when(F.col("item_id") % 2 == 0, "nq").otherwise("hotpot")).alias("data_source"), truth.alias("truth"), F.size(chat).alias("turns"))
+    """The whole text asks; the truth is the reward model's where it has one, else the answer column's."""
+    truth = F.coalesce(F.when(F.col("item_id") % 3 != 0, F.col("text")), F.col("item_id").cast("string"))
+    chat = F.array(P.message("system", F.lit("Search first.")), P.message("user", F.col("text")))
+    rows = table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("searchR1_"), F.when(F.col("item_id") % 2 == 0, "nq").otherwise("hotpot")).alias("data_source"), truth.alias("truth"), chat.alias("chat"))
+    return rows.select("item_id", "data_source", "truth", F.element_at("chat", -1)["content"].alias("question"), F.size("chat").alias("turns"))
 
 
 @register("SELECT page_id, k AS place, CASE k WHEN 0 THEN 'text' WHEN 1 THEN 'image' WHEN 2 THEN 'text' ELSE 'video' END AS kind, CASE k WHEN 0 THEN url WHEN 1 THEN '<image>' WHEN 2 THEN ' and ' ELSE '<video>' END AS part FROM pages, (SELECT unnest([0, 1, 2, 3])::INT AS k)")

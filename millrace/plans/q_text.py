@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from millrace.catalog import r6, register, table
 from millrace.functions import extract as X
 from millrace.functions import grade, rewards, tags
+from millrace.operators import substrings as S
 from millrace.plans import views as V
 
 STRICT = r"replace(replace(regexp_extract_all(right(response, 300), 'Final Answer: (-?[0-9.,]+)', 1)[-1], ',', ''), '$', '')"
@@ -68,18 +69,11 @@ QA = r"""trim(regexp_replace(regexp_replace(translate(lower({0}), '!""#$%&''()*+
 @register(f"""WITH g AS (SELECT item_id, {QA.format("text")} AS gold FROM benchmark), d AS (SELECT doc_id, {QA.format("text")} AS pred FROM documents)
     SELECT doc_id, item_id, gold = pred AS em, contains(pred, gold) AS sub_em FROM d JOIN g ON contains(pred, gold)""")
 def qa_exact_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Golds looked for in predictions: a gold's words from the second to the fifth must stand there as they are, so runs of
-    four words are joined first. Golds of fewer than six words, which have no such run inside, would be few and meet all.
-    """
+    """Golds looked for in predictions, all in one pass over each."""
     g = table(spark, sf_dir, "benchmark").select("item_id", X.qa_normalized(F.col("text")).alias("gold"))
     d = table(spark, sf_dir, "documents").select("doc_id", X.qa_normalized(F.col("text")).alias("pred"))
-    words = lambda c: F.split(c, " ")
-    long = g.where(F.size(words(F.col("gold"))) >= 6).withColumn("run", F.array_join(F.slice(words(F.col("gold")), 2, 4), " "))
-    runs = d.select("doc_id", words(F.col("pred")).alias("w")).select("doc_id", F.explode(F.arrays_zip(*[F.slice("w", k, F.greatest(F.size("w") - 3, F.lit(0))).alias(f"w{k}") for k in (1, 2, 3, 4)])).alias("r"))
-    hits = runs.select("doc_id", F.concat_ws(" ", "r.w1", "r.w2", "r.w3", "r.w4").alias("run")).join(long, "run").select("doc_id", "item_id", "gold").distinct()
-    near = d.join(hits, "doc_id")
-    short = d.join(g.where(F.size(words(F.col("gold"))) < 6), F.contains("pred", "gold"))
-    return near.unionByName(short.select(*near.columns)).where(F.contains("pred", "gold")).select("doc_id", "item_id", (F.col("gold") == F.col("pred")).alias("em"), F.contains("pred", "gold").alias("sub_em"))
+    found = S.substrings_found(d, "doc_id", "pred", g, "item_id", "gold")
+    return found.select("doc_id", "item_id", F.col("whole").alias("em"), F.lit(True).alias("sub_em"))
 
 
 @register(r"""SELECT id, upper(regexp_extract_all(concat('I think. ', CASE WHEN id % 3 = 0 THEN 'Answer: ' ELSE 'answer : $' END, substr('ABCDE', CAST(id % 5 + 1 AS INT), 1)), '(?i)Answer[ \t]*:[ \t]*\$?([A-D])\$?', 1)[1]) AS letter FROM prompts""")
@@ -116,14 +110,14 @@ def char_count_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boxed(spark, sf_dir).select("doc_id", F.when(grade.boxed_answer("response") == F.col("n_chars").cast("string"), 1.0).otherwise(0.0).alias("score"))
 
 
-@register()
+@register(r"SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '\frac{1}{2}' WHEN 1 THEN '{1},{2}' WHEN 2 THEN NULL ELSE CAST(n_chars AS VARCHAR) END AS given, CASE doc_id % 4 WHEN 0 THEN TRUE WHEN 1 THEN NULL WHEN 2 THEN FALSE ELSE abs(n_chars - 50) <= 0.005 END AS half, CASE doc_id % 4 WHEN 0 THEN '\frac{1}{2}' WHEN 1 THEN '{1},{2}' WHEN 2 THEN NULL ELSE CAST(n_chars AS VARCHAR) END AS stripped FROM documents")
 def grade_math_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact grading of boxed answers; null where only symbolic algebra could decide."""
     given = grade.boxed_answer("response")
     return boxed(spark, sf_dir).select("doc_id", given.alias("given"), grade.grade_answer(given, F.lit("0.5")).alias("half"), grade.stripped_answer(given).alias("stripped"))
 
 
-@register()
+@register("SELECT doc_id, round(0.9 * CASE WHEN doc_id % 4 = 3 OR (doc_id % 4 = 0 AND n_chars = 50) THEN 1.0 ELSE 0.0 END + 0.1::DOUBLE, 6) + 0.0 AS score FROM documents")
 def geometry_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.lit("<think>x</think> "), "response")
     fmt = F.when(text.rlike(r"(?s)^<think>.*</think>.*\\boxed\{.*\}.*$"), 1.0).otherwise(0.0)
@@ -131,7 +125,7 @@ def geometry_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boxed(spark, sf_dir).select("doc_id", r6(0.9 * acc + 0.1 * fmt).alias("score"))
 
 
-@register()
+@register("SELECT doc_id, CAST(n_chars AS VARCHAR) AS span FROM documents")
 def answer_span(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.lit("First we look. The answer is "), F.col("n_chars").cast("string"), F.lit(". Done"))
     return table(spark, sf_dir, "documents").select("doc_id", grade.stated_span(text).alias("span"))
@@ -164,18 +158,18 @@ def efficiency_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.answers(spark, sf_dir).select("doc_id", r6(tags.efficiency(F.col("tagged"))).alias("gain"))
 
 
-@register()
+@register("SELECT doc_id, CASE WHEN doc_id % 4 IN (1, 3) THEN round(exp((ln(1.0 / 6) + 2 * ln(1.0 / 8)) / 3), 6) ELSE 1.0::DOUBLE END + 0.0 AS bleu FROM answers")
 def self_bleu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.answers(spark, sf_dir).select("doc_id", r6(tags.mean_self_bleu("tagged")).alias("bleu"))
 
 
-@register()
+@register(r"SELECT doc_id, n AS tokens, n - 1 - CASE doc_id % 4 WHEN 1 THEN 3 WHEN 3 THEN 4 ELSE 0 END AS furthest FROM (SELECT doc_id, CAST(len(regexp_extract_all(tagged, '</?Parallel>|</?Path>|</?Summary>|[^\s\x0b<]+|<')) AS INT) AS n FROM answers)")
 def structured_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = tags.position_ids("tagged")
     return V.answers(spark, sf_dir).select("doc_id", F.size(ids).alias("tokens"), F.array_max(ids).alias("furthest"))
 
 
-@register()
+@register("SELECT doc_id, 1 AS s1, 6 AS e1, 6 AS s2, CASE WHEN doc_id % 4 = 1 THEN 9 ELSE 10 END AS e2 FROM documents WHERE doc_id % 4 IN (1, 3)")
 def path_isolation_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = V.answers(spark, sf_dir).select("doc_id", F.explode(tags.isolation_spans("tagged")).alias("x"))
     return rows.select("doc_id", "x.*")

@@ -57,13 +57,14 @@ def clipped_value_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.tokens(spark, sf_dir).agg(r6(0.5 * T.masked_mean(loss, F.col("mask"))).alias("loss"), r6(T.masked_mean(clip, F.col("mask"))).alias("clip_fraction"))
 
 
-@register("""WITH RECURSIVE n AS (SELECT uid, max(t) AS last FROM tokens GROUP BY uid), g AS (
-    SELECT k.uid, k.t, k.mask, CASE WHEN k.mask = 1 THEN reward - value ELSE 0.0 END AS a, CASE WHEN k.mask = 1 THEN reward - value ELSE 0.0 END + value AS ret, CASE WHEN k.mask = 1 THEN value ELSE 0.0 END AS nv FROM tokens k JOIN n ON k.uid = n.uid AND k.t = n.last
-    UNION ALL SELECT k.uid, k.t, k.mask, CASE WHEN k.mask = 1 THEN k.reward + 0.99 * g.nv - k.value + 0.99 * 0.95 * g.a ELSE g.a END, CASE WHEN k.mask = 1 THEN k.reward + 0.99 * g.nv - k.value + 0.99 * 0.95 * g.a ELSE g.a END + k.value, CASE WHEN k.mask = 1 THEN k.value ELSE g.nv END FROM g JOIN tokens k ON k.uid = g.uid AND k.t = g.t - 1)
-    SELECT uid, CAST(t AS INT) AS t, round(a * 1.0000001, 5) + 0.0 AS advantage, round(ret * 1.0000001, 5) + 0.0 AS ret FROM g""")
+@register("""WITH RECURSIVE k AS (SELECT uid, t, mask, sqrt(reward + 0.03) AS reward, sqrt(value + 0.02) AS value FROM tokens), n AS (SELECT uid, max(t) AS last FROM k GROUP BY uid), g AS (
+    SELECT k.uid, k.t, k.mask, CASE WHEN k.mask = 1 THEN reward - value ELSE 0.0 END AS a, CASE WHEN k.mask = 1 THEN reward - value ELSE 0.0 END + value AS ret, CASE WHEN k.mask = 1 THEN value ELSE 0.0 END AS nv FROM k JOIN n ON k.uid = n.uid AND k.t = n.last
+    UNION ALL SELECT k.uid, k.t, k.mask, CASE WHEN k.mask = 1 THEN k.reward + 0.99 * g.nv - k.value + 0.99 * 0.95 * g.a ELSE g.a END, CASE WHEN k.mask = 1 THEN k.reward + 0.99 * g.nv - k.value + 0.99 * 0.95 * g.a ELSE g.a END + k.value, CASE WHEN k.mask = 1 THEN k.value ELSE g.nv END FROM g JOIN k ON k.uid = g.uid AND k.t = g.t - 1)
+    SELECT uid, CAST(t AS INT) AS t, round(a, 6) + 0.0 AS advantage, round(ret, 6) + 0.0 AS ret FROM g""")
 def gae_advantage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = T.gae(V.tokens(spark, sf_dir), 0.99, 0.95)
-    return g.select("uid", "t", *[(F.round(F.col(c) * 1.0000001, 5) + 0.0).alias(c) for c in ("advantage", "ret")])
+    """Rewards and values are roots, which have no half-way ties at the last place that is kept."""
+    t = V.tokens(spark, sf_dir).withColumns({"reward": F.sqrt(F.col("reward") + 0.03), "value": F.sqrt(F.col("value") + 0.02)})
+    return T.gae(t, 0.99, 0.95).select("uid", "t", r6("advantage").alias("advantage"), r6("ret").alias("ret"))
 
 
 @register("""WITH RECURSIVE n AS (SELECT uid, max(t) AS last FROM tokens GROUP BY uid), g AS (SELECT k.uid, k.t, k.mask, sqrt(reward) AS x FROM tokens k JOIN n ON k.uid = n.uid AND k.t = n.last

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,24 +30,46 @@ def read_parquet(spark: SparkSession, paths: list[str], schema: T.StructType | N
     return out
 
 
-def placed(df: DataFrame, order: list[str], ranges: int = 64) -> DataFrame:
+#: Rows that a range should hold, and ranges at most.
+RANGE_ROWS, MOST_RANGES = 1_000_000, 4096
+
+
+def placed(df: DataFrame, order: list[str], ranges: int | None = None) -> DataFrame:
     """df with _place, a row's number from 0 in the order of a unique key, and _all, the number of rows.
 
     The place of a row is its place in a range of the key plus the rows of the ranges before, so that no task sorts all
-    rows. The ranges' bounds come from a sample of bounded size in hash order: they are values, the same wherever used.
+    rows; there are as many ranges as the rows ask for, and at least one a shuffle partition. Their bounds come from a sample
+    of bounded size in hash order: they are values, the same wherever used. A row finds its range by halving.
     """
     keys = df.select(*order)
+    if ranges is None:
+        ranges = min(MOST_RANGES, max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-keys.count() // RANGE_ROWS)))
     sample = sorted(tuple(r) for r in keys.dropna().orderBy(F.xxhash64(*order)).limit(ranges * 20).collect())
     cuts = sample[:: max(1, len(sample) // ranges)]
     own = F.struct(*order)
     bounds = F.array(*[F.struct(*[F.lit(v).cast(keys.schema[c].dataType).alias(c) for c, v in zip(order, cut, strict=True)]) for cut in cuts]) if cuts else F.array(own)
-    ranged = df.withColumn("_range", F.size(F.filter(bounds, lambda cut: cut <= own)))
+    start = F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi"))
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        above = F.try_element_at(bounds, middle + 1) <= own
+        return F.when(s["lo"] >= s["hi"], s).when(above, F.struct((middle + 1).alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), middle.alias("hi")))
+
+    steps = F.sequence(F.lit(1), F.lit(len(cuts).bit_length() + 1))
+    ranged = df.withColumn("_range", F.aggregate(steps, start, halve)["lo"])
     counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
     before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).withColumn("_all", F.sum("_n").over(Window.partitionBy()))
     place = F.col("_before") + F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
     return ranged.join(F.broadcast(before), "_range").select(*df.columns, place.alias("_place"), "_all")  # before: one row a range
 
 
+def ranked_in(df: DataFrame, key: str, order: list[str], name: str) -> DataFrame:
+    """df with a row's number from 0 in its key's order; a key with most rows is sorted in ranges like any."""
+    rows = placed(df, [key, *order])
+    firsts = rows.groupBy(F.col(key).alias("_key")).agg(F.min("_place").alias("_first"))
+    return rows.join(firsts, rows[key].eqNullSafe(F.col("_key"))).select(*df.columns, (F.col("_place") - F.col("_first")).alias(name))
+
+
 def split_slice(df: DataFrame, start: float, stop: float, order: list[str]) -> DataFrame:
     """Rows from the share `start` to `stop` of the table in the order of a unique key, like train[:75%]."""
     rows = placed(df, order)
@@ -82,6 +107,22 @@ def read_dump(spark: SparkSession, path: str, schema: T.StructType | str, mask:
     return rows.withColumns({c: F.regexp_replace(c, mask, "*") for c in texts})
 
 
+def dumped_rows(spark: SparkSession, path: str, schema: T.StructType | str, order: str, mask: str | None = None, step: str = "step") -> DataFrame:
+    """A dump as it is viewed: steps as whole numbers, text masked, and row_no, a row's number in its step."""
+    rows = read_dump(spark, path, schema, mask)
+    return rows.withColumn(step, F.col(step).cast("int")).withColumn("row_no", F.row_number().over(Window.partitionBy(step).orderBy(order)) - 1)
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the cluster's shared checkpoint folder; in local mode only, a temporary one where none is named."""
+    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.gettempdir()
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def write_records(df: DataFrame, path: str, rows_a_file: int = 1_000_000) -> None:
     df.write.mode("overwrite").option("maxRecordsPerFile", rows_a_file).parquet(path)
 

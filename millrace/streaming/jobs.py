@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -13,11 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-
-def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the cluster's shared checkpoint folder, or a temporary one where none is named."""
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
+from millrace.sources.io import work_folder  # noqa: F401  the folder of a job's output and position
 
 
 def stream_of(spark: SparkSession, path: str, files_a_batch: int = 64) -> DataFrame:
@@ -52,26 +45,34 @@ def grow(rows: DataFrame, out: str, position: str, generate: Callable[[DataFrame
 
 
 def until_quota(rows: DataFrame, quota: int, run: str = "run", order: str = "step") -> DataFrame:
-    """Rows of each run, in order within a micro-batch, until `quota` have been let through; state is one count a run."""
+    """Rows of each run, in order within a micro-batch, until `quota` have been let through; state is one count a run.
+
+    Of a micro-batch's parts only the rows that may still be let through are held.
+    """
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seen = state.get[0] if state.exists else 0
-        batch = pd.concat(list(parts)).sort_values(order)
-        taken = batch.head(max(0, quota - seen))
-        state.update((seen + len(taken),))
-        yield taken
+        taken: pd.DataFrame | None = None
+        for part in parts:
+            taken = (part if taken is None else pd.concat([taken, part])).sort_values(order).head(max(0, quota - seen))
+        state.update((seen + (0 if taken is None else len(taken)),))
+        if taken is not None:
+            yield taken
 
     return rows.groupBy(run).applyInPandasWithState(step, rows.schema, "n long", "append", GroupStateTimeout.NoTimeout)
 
 
-def adaptive_beta(rows: DataFrame, start: float, target: float, horizon: float, n: int, run: str = "run", order: str = "step", kl: str = "kl") -> DataFrame:
-    """(run, steps, beta): the coefficient after all steps so far, times 1 + clip(kl / target - 1, 0.2) n / horizon at each."""
+def adaptive_beta(rows: DataFrame, start: float, target: float, horizon: float, n: int, run: str = "run", kl: str = "kl") -> DataFrame:
+    """(run, steps, beta): the coefficient after all steps so far, times 1 + clip(kl / target - 1, 0.2) n / horizon at each.
+
+    A product does not ask for the order of its factors, so the parts of a micro-batch are taken one at a time.
+    """
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         beta, steps = state.get if state.exists else (start, 0)
-        for value in pd.concat(list(parts)).sort_values(order)[kl]:
-            beta *= 1 + min(0.2, max(-0.2, value / target - 1)) * n / horizon
-            steps += 1
+        for part in parts:
+            beta *= float((1 + (part[kl] / target - 1).clip(-0.2, 0.2) * n / horizon).prod())
+            steps += len(part)
         state.update((beta, steps))
         yield pd.DataFrame({run: [key[0]], "steps": [steps], "beta": [beta]})
 
