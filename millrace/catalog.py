@@ -41,7 +41,7 @@ def r6(c: Column | str) -> Column:
 
 
 def load_all() -> None:
-    from millrace.plans import q_batch, q_eval, q_groups, q_losses, q_more, q_prep, q_score, q_stream, q_text, q_tokens  # noqa: F401
+    from millrace.plans import q_batch, q_eval, q_extra, q_groups, q_losses, q_more, q_prep, q_score, q_stream, q_text, q_tokens  # noqa: F401
 
 
 load_all()

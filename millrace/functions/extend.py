@@ -10,7 +10,7 @@ from functools import partial
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,6 +47,39 @@ class Registry(dict):
 DATASETS, GENERATORS, TOOLS, ORDERS = Registry(), Registry(), Registry(), Registry()
 
 
+@DATASETS.add("parquet")
+def parquet_dataset(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+@DATASETS.add("json_lines")
+def json_dataset(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).json(path)
+
+
+@GENERATORS.add("repeat")
+def repeated_rows(df: DataFrame, times: int = 2) -> DataFrame:
+    """Each row `times` times, with a column copy from 0."""
+    return df.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
+
+
+@TOOLS.add("word_count")
+def word_count_tool(df: DataFrame, text: str) -> DataFrame:
+    """One row for each distinct word of a row's text, with its count: one row to many."""
+    words = df.withColumn("word", F.explode(F.regexp_extract_all(F.col(text), F.lit(r"\S+"), F.lit(0))))
+    return words.groupBy(*df.columns, "word").agg(F.count("*").alias("n"))
+
+
+@ORDERS.add("shortest")
+def shortest_first(text: str) -> Column:
+    return F.length(text)
+
+
+@ORDERS.add("random")
+def random_order(text: str) -> Column:
+    return F.md5(text)
+
+
 @contextmanager
 def time_limit(seconds: float) -> Iterator[None]:
     """TimeoutError in the block after `seconds`; for the main thread of a worker, where Python functions run."""

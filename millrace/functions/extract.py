@@ -101,3 +101,17 @@ def without_tool_calls(text: Column) -> Column:
 def last_code(text: Column) -> Column:
     """What stands between the last ```` ```python ```` and the next fence."""
     return F.split_part(F.split_part(text, F.lit("```python"), F.lit(-1)), F.lit("```"), F.lit(1))
+
+
+def tagged_answer(text: Column) -> Column:
+    """The contents of the last <answer>...</answer>, trimmed; null without one."""
+    return F.trim(F.try_element_at(F.regexp_extract_all(text, F.lit(r"(?s)<answer>(.*?)</answer>"), F.lit(1)), F.lit(-1)))
+
+
+def search_score(text: Column, golds: Column, exact: bool = True, form: float = 0.0, most_tags: int = 10) -> Column:
+    """1 if the tagged answer is one of the golds (or, not exact, holds one), a quarter of it beyond `most_tags` answer tags; `form` if wrong, 0 without an answer."""
+    own = qa_normalized(tagged_answer(text))
+    hit = F.exists(golds, lambda g: (qa_normalized(g) == own) if exact else F.contains(own, qa_normalized(g)))
+    count = lambda tag: (F.length(text) - F.length(F.replace(text, F.lit(tag), F.lit("")))) / len(tag)
+    many = (count("<answer>") > most_tags) | (count("</answer>") > most_tags) if exact else F.lit(False)
+    return F.when(own.isNull(), 0.0).when(hit, F.when(many, 0.25).otherwise(1.0)).otherwise(form)

@@ -7,6 +7,7 @@ from functools import total_ordering
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 @total_ordering
@@ -87,6 +88,17 @@ def balanced(df: DataFrame, batch: str, row: str, length: str, k: int, method: s
     return df.select(batch, row, length).groupBy(batch).applyInPandas(run, f"{batch} {df.schema[batch].dataType.simpleString()}, {row} {df.schema[row].dataType.simpleString()}, part int")
 
 
+def rebalanced(df: DataFrame, part: str, parts: int) -> DataFrame:
+    """The rows dealt so that each part is one partition of its own: a rank that reads a partition has its part's tokens."""
+    return df.repartitionById(parts, F.col(part).cast("int"))
+
+
+def imbalance(df: DataFrame, batch: str, part: str, length: str) -> DataFrame:
+    """(batch, high, low, gap): the largest and smallest sum of a part of each batch, and their difference."""
+    sums = df.groupBy(batch, part).agg(F.sum(length).alias("s"))
+    return sums.groupBy(batch).agg(F.max("s").alias("high"), F.min("s").alias("low"), (F.max("s") - F.min("s")).alias("gap"))
+
+
 def dynamic_batches(df: DataFrame, batch: str, row: str, length: str, budget: int) -> DataFrame:
     """(batch, row, micro, place): each batch's rows in micro-batches under a token budget; row restores the order."""
 

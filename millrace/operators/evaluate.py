@@ -106,3 +106,18 @@ def reduce_by_name(df: DataFrame, name: str = "name", value: str = "value") -> D
 def flops(lengths: Column, params: float, heads: int, head_dim: int, layers: int) -> Column:
     """Aggregate: 6 params sum(len) + 12 sum(len^2) heads head_dim layers, of a dense transformer's step."""
     return 6 * params * F.sum(lengths) + 12.0 * heads * head_dim * layers * F.sum(lengths * lengths)
+
+
+#: Peak operations a second of devices, by a part of their name; the first that fits counts.
+DEVICES = (
+    ("MI300X", 1336e12), ("H100", 989e12), ("H800", 989e12), ("H200", 989e12), ("A100", 312e12), ("A800", 312e12),
+    ("L40", 181.05e12), ("L20", 119.5e12), ("H20", 148e12), ("910B", 354e12), ("RTX 3070 Ti", 21.75e12),
+)
+
+
+def device_flops(device: Column) -> Column:
+    """The peak of a device by its name; null for an unknown one."""
+    out = F.when(F.contains(device, F.lit(DEVICES[0][0])), DEVICES[0][1])
+    for name, peak in DEVICES[1:]:
+        out = out.when(F.contains(device, F.lit(name)), peak)
+    return out

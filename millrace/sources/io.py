@@ -108,9 +108,9 @@ def read_dump(spark: SparkSession, path: str, schema: T.StructType | str, mask:
 
 
 def dumped_rows(spark: SparkSession, path: str, schema: T.StructType | str, order: str, mask: str | None = None, step: str = "step") -> DataFrame:
-    """A dump as it is viewed: steps as whole numbers, text masked, and row_no, a row's number in its step."""
+    """A dump as it is viewed: text masked, and row_no, a row's number in its step, which the schema states as a whole number."""
     rows = read_dump(spark, path, schema, mask)
-    return rows.withColumn(step, F.col(step).cast("int")).withColumn("row_no", F.row_number().over(Window.partitionBy(step).orderBy(order)) - 1)
+    return rows.withColumn("row_no", F.row_number().over(Window.partitionBy(step).orderBy(order)) - 1)
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
