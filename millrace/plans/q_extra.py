@@ -94,19 +94,19 @@ def bootstrap_near_expectation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.join(exact, ["data_source", "n"]).select("data_source", "n", near("best"), near("worst"))
 
 
-COMPUTED = ("emphase_parallel_add_diversity", "accuracy_add_diversity_reward", "accuracy_add_parallel_add_diversity_reward", "accuracy_add_efficiency_reward", "accuracy_add_efficiency_reward_decay")
+COMPUTED = ("emphase_parallel_add_diversity", "accuracy_add_diversity_reward", "accuracy_add_parallel_add_diversity_reward", "accuracy_add_efficiency_reward_decay")  # the efficiency alone is a fraction with half-way ties
 
 
 @register(f"""WITH w AS (SELECT doc_id, response, truth, {WORDS.format("tagged")} AS total, {WORDS.format("regexp_replace(tagged, '<Parallel>.*?</Parallel>', '', 'gs')")} AS outside, regexp_extract_all(tagged, '(?s)<Parallel>(.*?)</Parallel>', 1)[1] AS block FROM answers),
     p AS (SELECT *, list_max(list_transform(regexp_extract_all(block, '(?s)<Path>(.*?)</Path>', 1), lambda x: {WORDS.format("x")})) AS longest FROM w),
     s AS (SELECT doc_id, coalesce({STRICT} = truth, FALSE) AS c, doc_id % 4 <> 0 AS p, CASE WHEN doc_id % 4 = 0 THEN 0 ELSE 1 END AS n, doc_id % 4 IN (0, 1) AS f, CASE WHEN doc_id % 4 IN (1, 3) THEN exp((ln(1.0 / 6) + 2 * ln(1.0 / 8)) / 3) ELSE 1.0 END AS b,
-        CASE WHEN total > 0 THEN greatest((total - outside - coalesce(longest, 0)) / total, 0.0) ELSE 0.0 END AS e, doc_id % 40 AS step FROM p)
+        CASE WHEN total > 0 THEN greatest((total - outside - coalesce(longest, 0)) / total, 0.0) ELSE 0.0 END AS e, doc_id % 40 + 1 AS step FROM p)
     SELECT doc_id, {", ".join(f"round(CAST({MATH_SQL[k]} AS DOUBLE), 6) + 0.0 AS {k}" for k in COMPUTED)} FROM s""")
 def rewards_of_computed_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules with diversity and efficiency, both taken from the text."""
     a, n = V.answers(spark, sf_dir), tags.parallel_count(F.col("tagged"))
     c = F.coalesce(extract.final_answer(F.col("response")) == F.col("truth"), F.lit(False))
-    rows = a.select("doc_id", c.alias("c"), n.alias("n"), (tags.n_format_errors("tagged") == 0).alias("f"), tags.mean_self_bleu("tagged").alias("b"), tags.efficiency(F.col("tagged")).alias("e"), (F.col("doc_id") % 40).alias("step"))
+    rows = a.select("doc_id", c.alias("c"), n.alias("n"), (tags.n_format_errors("tagged") == 0).alias("f"), tags.mean_self_bleu("tagged").alias("b"), tags.efficiency(F.col("tagged")).alias("e"), (F.col("doc_id") % 40 + 1).alias("step"))
     found = rewards.math_rewards(*(F.col(x) for x in ("c", "n", "f", "b", "e", "step")))
     return rows.select("doc_id", *[r6(found[k]).alias(k) for k in COMPUTED])
 
