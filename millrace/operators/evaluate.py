@@ -55,40 +55,55 @@ def bootstrap(values: np.ndarray, subset: int, reduce, times: int = 1000, seed:
     return float(found.mean()), float(found.std())
 
 
-def majority_of(values: np.ndarray, votes: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """For each row of indices, the value of the first sample with the most frequent vote; ties to the vote met first."""
-    out = np.empty(len(at))
-    for k, own in enumerate(at):
-        counts: dict = {}
-        for i in own:
-            counts.setdefault(votes[i], [0, i])[0] += 1
-        out[k] = values[max(counts.values(), key=lambda c: c[0])[1]]
-    return out
+#: Prompts of one size that are resampled together.
+TOGETHER = 256
+
 
+def resampled(values: np.ndarray, votes: np.ndarray | None, subset: int, times: int, seed: int) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Mean and deviation of best, worst and (with votes) majority of resamples of each row of prompts with equally many samples."""
+    at = draws(values.shape[1], subset, times, seed)
+    taken = values[:, at]
+    kinds = {"best": taken.max(2), "worst": taken.min(2)}
+    if votes is not None:
+        own = votes[:, at]
+        counts = (own[:, :, :, None] == own[:, :, None, :]).sum(3)  # the first place with the largest count is the vote met first
+        kinds["maj"] = np.take_along_axis(taken, counts.argmax(2)[:, :, None], 2)[:, :, 0]
+    return {k: (x.mean(1), x.std(1)) for k, x in kinds.items()}
 
-def bootstrap_metrics(df: DataFrame, source: str = "data_source", uid: str = "uid", idx: str = "idx", score: str = "score", vote: str | None = "pred", times: int = 1000, seed: int = 42) -> DataFrame:
+
+def bootstrap_metrics(df: DataFrame, source: str = "data_source", uid: str = "uid", idx: str = "idx", score: str = "score", vote: str | None = "pred", times: int = 1000, seed: int = 42, batches: int | None = None) -> DataFrame:
     """(source, metric, value): best@n, worst@n and maj@n, mean and std, resampled in each prompt and averaged per source.
 
-    A prompt's samples are few (they were drawn for it), so a group of them is a task's own.
+    Prompts are dealt to batches by a hash; those of a batch that have equally many samples are resampled together.
+    Sums and counts leave a batch.
     """
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(idx)
-        values, rows, n = g[score].to_numpy(), [], len(g)
-        subsets = [1 << k for k in range(1, n.bit_length() + 1) if 1 << k < n] + [n] if n > 1 else []
-        for m in subsets:
-            kinds = [("best", lambda x: x.max(1)), ("worst", lambda x: x.min(1))]
-            for kind, reduce in kinds:
-                mean, std = bootstrap(values, m, reduce, times, seed)
-                rows += [(f"{kind}@{m}/mean", mean), (f"{kind}@{m}/std", std)]
-            if vote:
-                found = majority_of(values, g[vote].to_numpy(), draws(n, m, times, seed))
-                rows += [(f"maj@{m}/mean", found.mean()), (f"maj@{m}/std", found.std())]
-        return pd.DataFrame([(g[source].iloc[0], k, v) for k, v in rows], columns=[source, "metric", "value"])
-
+        g = g.sort_values([source, uid, idx])
+        codes = pd.factorize(g[vote])[0] if vote else None
+        values = g[score].to_numpy(float)
+        new = ((g[source] != g[source].shift()) | (g[uid] != g[uid].shift())).to_numpy()
+        starts = np.flatnonzero(new)
+        sizes = np.diff(np.append(starts, len(g)))
+        names = g[source].to_numpy()[starts]
+        rows: list[tuple] = []
+        for n in np.unique(sizes[sizes > 1]).tolist():
+            subsets = [1 << k for k in range(1, n.bit_length() + 1) if 1 << k < n] + [n]
+            own = np.flatnonzero(sizes == n)
+            for a in range(0, len(own), TOGETHER):
+                part = own[a : a + TOGETHER]
+                at = starts[part][:, None] + np.arange(n)[None, :]
+                for m in subsets:
+                    for kind, found in resampled(values[at], codes[at] if vote else None, m, times, seed).items():
+                        for name, x in zip(("mean", "std"), found, strict=True):
+                            sums = pd.DataFrame({"s": names[part], "x": x}).groupby("s", dropna=False)["x"].agg(["sum", "size"])
+                            rows += [(s, f"{kind}@{m}/{name}", r["sum"], int(r["size"])) for s, r in sums.iterrows()]
+        return pd.DataFrame(rows, columns=[source, "metric", "total", "n"])
+
+    parts = batches or 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     columns = [source, uid, idx, score, *([vote] if vote else [])]
-    found = df.select(*columns).groupBy(source, uid).applyInPandas(run, f"{source} string, metric string, value double")
-    return found.groupBy(source, "metric").agg(F.avg("value").alias("value"))
+    found = df.select(*columns, F.pmod(F.xxhash64(uid), F.lit(parts)).alias("_batch")).groupBy("_batch").applyInPandas(lambda g: run(g), f"{source} string, metric string, total double, n long")
+    return found.groupBy(source, "metric").agg((F.sum("total") / F.sum("n")).alias("value"))
 
 
 def section(variable: Column, metric: Column, largest: Column) -> Column:
