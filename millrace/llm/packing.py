@@ -16,7 +16,7 @@ CACHED_WORDS = 250_000
 #: White space that str.split() knows but the fast path leaves to the tokenizer, and the start of a special token.
 UNUSUAL = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|<\\|")
 #: A word of letters only, then marks only: two pieces that the pre-tokenizer keeps apart.
-PLAIN = re.compile(r"([^\W\d_]+)([.,;:!?#*$%&|<>]*)")
+PLAIN = re.compile(r"([^\W\d_]+)([.,;:!?#*$%&|<>]+)")
 _ENCODERS: dict[str, Callable[[str], bytes]] = {}
 
 
@@ -45,51 +45,59 @@ def encoder(path: str) -> Callable[[str], bytes]:
         return _ENCODERS[path]
     import unicodedata
 
-    import numpy as np
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     model, letters = tokenizer.model, byte_letters()
-    young: dict[str, bytes] = {}
-    old: dict[str, bytes] = {}
-
-    def packed(ids: list[int]) -> bytes:
-        return np.array(ids, "<u4").tobytes()
+    four = [i.to_bytes(4, "little") for i in range(tokenizer.get_vocab_size())]
 
     def lowered(word: str) -> str:
-        return word.lower() if word.isascii() else "".join(c.lower() for c in unicodedata.normalize("NFC", word))
+        if word.isascii():
+            return word.lower()
+        word = unicodedata.normalize("NFC", word)
+        return "".join([c.lower() for c in word]) if "\u03a3" in word else word.lower()  # only a capital sigma depends on its place
+
+    def of_letters(low: str) -> bytes:
+        return b"".join([four[t.id] for t in model.tokenize(low if low.isascii() else low.encode().decode("latin-1").translate(letters))])
+
+    def make(word: str) -> bytes:
+        if word.isalpha():
+            low = lowered(word)
+            if low.isascii() or low.isalpha():
+                return of_letters(low)
+        elif (m := PLAIN.fullmatch(word)) and (m[1].isascii() or (m[1].isalpha() and lowered(m[1]).isalpha())):
+            return known[m[1]] + marks[m[2]]
+        return b"".join([four[i] for i in tokenizer.encode(word, add_special_tokens=False).ids])
+
+    class Marks(dict):
+        def __missing__(self, run: str) -> bytes:
+            ids = b"".join([four[t.id] for t in model.tokenize(run)])
+            if len(self) < CACHED_WORDS:
+                self[run] = ids
+            return ids
+
+    old: dict[str, bytes] = {}
 
-    def of_letters(word: str) -> bytes:
-        word = lowered(word)
-        return packed([t.id for t in model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(letters))])
+    class Known(dict):
+        """Words met of late; when it is full, it takes the place of those met before."""
 
-    def met(word: str, make: Callable[[str], bytes]) -> bytes:
-        nonlocal young, old
-        ids = young.get(word)
-        if ids is None:
+        def __missing__(self, word: str) -> bytes:
             ids = old.get(word)
-            ids = make(word) if ids is None else ids
-            if len(young) >= CACHED_WORDS:
-                young, old = {}, young
-            young[word] = ids
-        return ids
+            if ids is None:
+                ids = make(word)
+            if len(self) >= CACHED_WORDS:
+                old.clear()
+                old.update(self)
+                self.clear()
+            self[word] = ids
+            return ids
 
-    def make(word: str) -> bytes:
-        m = PLAIN.fullmatch(word)
-        if not m or not (word.isascii() or lowered(m[1]).isalpha()):
-            return packed(tokenizer.encode(word, add_special_tokens=False).ids)
-        if not m[2]:
-            return of_letters(word)
-        return met(m[1], of_letters) + met(m[2], lambda marks: packed([t.id for t in model.tokenize(marks)]))
+    known, marks = Known(), Marks()
 
     def encode(text: str) -> bytes:
         if UNUSUAL.search(text):
-            return packed(tokenizer.encode(text, add_special_tokens=False).ids)
-        words = text.split()
-        try:
-            return b"".join(map(young.__getitem__, words))
-        except KeyError:
-            return b"".join([young.get(w) or met(w, make) for w in words])
+            return b"".join([four[i] for i in tokenizer.encode(text, add_special_tokens=False).ids])
+        return b"".join(map(known.__getitem__, text.split()))
 
     return _ENCODERS.setdefault(path, encode)
 
