@@ -18,8 +18,10 @@ from . import common as C
 BUCKETS, SEGMENT = 1 << 18, 1 << 12
 #: Labelled documents that a model is fitted on at most: half for the target, half to find the cut.
 LABELLED = 50_000
-#: Expected count that a bucket must exceed to weigh in; scale of the mean; how many of the sharpest n-grams count.
-PRIOR, SCALE, SHARPEST = 3.0, 30.0, 4
+#: Expected count that a bucket must exceed to weigh in; scales of the two ratios.
+PRIOR, WORD_SCALE, RUN_SCALE = 3.0, 30.0, 1000.0
+#: A run of letters speaks against a text below this log ratio; distinct runs of a text of usual size.
+AGAINST, USUAL_RUNS = -0.7, 1000.0
 #: Both ratios of a document without a word.
 NOTHING = -1000.0
 #: Columns of counts on their way.
@@ -52,16 +54,17 @@ class Model:
     letters: np.ndarray
 
     def ratios(self, text: str) -> tuple[float, float]:
-        """The mean log ratio of words and pairs, and the sum of the sharpest distinct runs of letters against the text.
+        """Log likelihood ratios, made equal in length: the mean of words and pairs, and the sum of the distinct runs that speak against the text.
 
         The one sees a text that is unlike the target throughout, the other a few words that the target never has.
+        Chance adds to that sum with the square root of the runs in a short text and in proportion to them in a long one.
         """
         grams = word_grams(text)
         if not len(grams):
             return NOTHING, NOTHING
-        runs = letter_grams(text)
-        sharp = np.unique(runs[self.letters[runs] < -0.7])
-        return float(self.words[grams].mean()), float(np.sort(self.letters[sharp])[:SHARPEST].sum())
+        runs = self.letters[np.unique(letter_grams(text))]
+        size = max(1, len(runs))
+        return float(self.words[grams].mean()), float(runs[runs < AGAINST].sum(dtype=np.float64) / max((USUAL_RUNS * size) ** 0.5, size))
 
 
 def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
@@ -192,7 +195,7 @@ def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, tem
     cuts = cut_of([(r[0], r[2], not r[3]) for r in held]), cut_of([(r[1], r[2], r[4]) for r in held])
 
     def keyed(rows: DataFrame) -> DataFrame:
-        over = [(F.col(c) - F.lit(cut)) * F.lit(scale) for c, cut, scale in zip(("words", "letters"), cuts, (SCALE, 1.0), strict=True) if cut > float("-inf")]
+        over = [(F.col(c) - F.lit(cut)) * F.lit(scale) for c, cut, scale in zip(("words", "letters"), cuts, (WORD_SCALE, RUN_SCALE), strict=True) if cut > float("-inf")]
         weight = F.least(*over) if len(over) > 1 else over[0] if over else F.lit(0.0)
         return rows.withColumn("log_weight", weight).withColumn("key", F.col("log_weight") / F.lit(temperature) + gumbel(F.lit(seed), F.col("mark")))
 

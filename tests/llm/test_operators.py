@@ -286,6 +286,72 @@ def test_importance_resampling(spark, docs, none):
     assert importance.resample(none, labels).count() == 0
 
 
+def test_importance_weights_against_brute_force(spark):
+    """Models counted in dictionaries, ratios summed gram by gram, and the k largest keys by sorting them all."""
+    import math
+
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(60)] + ["Ünit", "BAD"]
+    table = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(1, 80)))) for i in range(120)] + [(120, None), (121, "  "), (122, "W3 w3")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in table], DOCS).repartition(3)
+    marks = [(i, int(rng.random() < 0.7), int(rng.random() < 0.2)) for i in range(0, 123, 2)]
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    fits = {r._id: r._clean and r._fits for r in importance.labelled_sample(labels, "doc_id", 50_000).collect()}
+
+    def lower(text):
+        return (text or "").encode().lower().split()
+
+    def word_codes(text):
+        one = [zlib.crc32(w) for w in lower(text)]
+        two = [((a * 0x9E3779B1) % (1 << 32)) ^ ((b + 0x7F4A7C15) % (1 << 32)) for a, b in zip(one, one[1:], strict=False)]
+        mixed = [x * 0x85EBCA6B % (1 << 32) for x in one + two]
+        return [(x ^ x >> 15) % importance.BUCKETS for x in mixed]
+
+    def run_codes(text):
+        raw = b" " + b" ".join(lower(text)) + b" "
+        found = [int.from_bytes(raw[i : i + 4], "little") * 0x9E3779B1 % (1 << 32) for i in range(len(raw) - 3)]
+        return [(x ^ x >> 15) % importance.BUCKETS for x in found]
+
+    def model(codes):
+        raw, target = Counter(), Counter()
+        for i, t in table:
+            raw.update(codes(t))
+            if fits.get(i):
+                target.update(codes(t))
+        share = sum(target.values()) / sum(raw.values())
+        return lambda c: math.log((target[c] + 3.0) / (raw[c] * share + 3.0))
+
+    by_word, by_run = model(word_codes), model(run_codes)
+
+    def ratios(text):
+        codes = word_codes(text)
+        if not codes:
+            return -1000.0, -1000.0
+        runs = [by_run(c) for c in set(run_codes(text))]
+        n = max(1, len(runs))
+        return sum(map(by_word, codes)) / len(codes), sum(x for x in runs if x < -0.7) / max((1000 * n) ** 0.5, n)
+
+    want = {i: ratios(t) for i, t in table}
+    fitted = importance.fit(docs, importance.labelled_sample(labels, "doc_id", 50_000).checkpoint())
+    assert all(fitted.ratios(t or "") == pytest.approx(want[i], abs=1e-5) for i, t in table)
+    found = importance.resample(docs, labels, share=0.4).collect()
+    best = sorted(found, key=lambda r: -r.key)[: round(0.4 * 123)]
+    assert {r.doc_id for r in found if r.kept} == {r.doc_id for r in best} and len(best) == 49
+
+
+def test_long_clean_texts_stay(spark):
+    """A text made of a hundred clean ones is no less clean."""
+    rng = random.Random(14)
+    common = [f"{a}{b}" for a in ("ra", "lo", "mi", "te", "su") for b in ("na", "ver", "do", "lin", "pos", "gar")]
+    clean = lambda n: " ".join(rng.choice(common) + rng.choice("abcdefgh") for _ in range(n))
+    bad = lambda n: " ".join("xqzvk" if rng.random() < 0.1 else rng.choice(common) for _ in range(n))
+    rows_ = [(i, (bad if i % 6 == 0 else clean)(120)) for i in range(600)] + [(600 + k, clean(12_000)) for k in range(5)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows_], DOCS)
+    labels = spark.createDataFrame([(i, 1, int(i % 6 == 0)) for i in range(500)], "doc_id long, quality int, toxic int")
+    found = {r.doc_id: r.kept for r in importance.resample(docs, labels, keep=["doc_id"]).collect()}
+    assert all(found[600 + k] for k in range(5)) and sum(not found[i] for i in range(600) if i % 6) <= 3 and sum(found[i] for i in range(0, 600, 6)) <= 5
+
+
 def test_counts_of_a_task_that_runs_again_go_the_same_way(spark):
     rows = spark.createDataFrame([(f"some words {i}", False) for i in range(70)], "_text string, _target boolean").repartition(70)
     runs = [importance.counted(rows).withColumn("task", F.spark_partition_id()).select("task", "part").distinct().collect() for _ in range(2)]
