@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from operator import attrgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -77,13 +78,17 @@ def encoder(path: str) -> Callable[[str], bytes]:
             return ids
 
     old: dict[str, bytes] = {}
+    join, tokenize, number = b"".join, model.tokenize, attrgetter("id")
 
     class Known(dict):
         """Words met of late; when it is full, it takes the place of those met before."""
 
         def __missing__(self, word: str) -> bytes:
-            ids = old.get(word)
-            if ids is None:
+            if word in old:
+                ids = old[word]
+            elif word.isascii() and word.isalpha():
+                ids = join([four[i] for i in map(number, tokenize(word.lower()))])
+            else:
                 ids = make(word)
             if len(self) >= CACHED_WORDS:
                 old.clear()
