@@ -75,19 +75,23 @@ def efficiency(text: Column, mode: str = "max") -> Column:
     longest, shortest or mean) and its last inner summary, or without a path all of it. Tags are no words.
     """
     bare = lambda t: word_count(F.regexp_replace(t, ANY_TAG, ""))
-    total = bare(text)
+    let = lambda value, use: F.transform(F.array(value), use)[0]  # noqa: E731  use(value) with the value computed once
     outside = bare(F.regexp_replace(text, r"(?s)<Parallel>.*?</Parallel>", ""))
     blocks = F.regexp_extract_all(text, F.lit(r"(?s)<Parallel>(.*?)</Parallel>"), F.lit(1))
 
     def block(b: Column) -> Column:
-        sizes = F.transform(F.regexp_extract_all(b, F.lit(r"(?s)<Path>(.*?)</Path>"), F.lit(1)), bare)
-        whole = F.aggregate(sizes, F.lit(0), lambda a, x: a + x)
-        path = {"max": F.array_max(sizes), "min": F.array_min(sizes), "avg": F.floor(whole / F.greatest(F.size(sizes), F.lit(1))).cast("int")}[mode]
         summary = F.coalesce(F.try_element_at(F.regexp_extract_all(b, F.lit(r"(?s)<Summary>(.*?)</Summary>"), F.lit(1)), F.lit(-1)), F.lit(""))
-        return F.when(F.size(sizes) == 0, bare(b)).otherwise(path + bare(summary))
+
+        def path(sizes: Column) -> Column:
+            mean = F.floor(F.aggregate(sizes, F.lit(0), lambda a, x: a + x) / F.greatest(F.size(sizes), F.lit(1))).cast("int")
+            one = {"max": F.array_max(sizes), "min": F.array_min(sizes), "avg": mean}[mode]
+            return F.when(F.size(sizes) == 0, bare(b)).otherwise(one + bare(summary))
+
+        return let(F.transform(F.regexp_extract_all(b, F.lit(r"(?s)<Path>(.*?)</Path>"), F.lit(1)), bare), path)
 
     walked = outside + F.aggregate(F.transform(blocks, block), F.lit(0), lambda a, x: a + x)
-    return F.when(total > 0, F.greatest((total - walked) / F.greatest(total, F.lit(1)), F.lit(0.0))).otherwise(0.0)
+    gain = let(F.struct(bare(text).alias("all"), walked.alias("walked")), lambda n: F.when(n["all"] > 0, F.greatest((n["all"] - n["walked"]) / n["all"], F.lit(0.0))).otherwise(0.0))
+    return F.when(F.contains(text, F.lit("<Parallel>")), gain).otherwise(0.0)
 
 
 def bleu_tokens(text: str) -> list[str]:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from millrace.catalog import r6, register, table
 from millrace.operators import tokens as T
 from millrace.plans import views as V
+from millrace.sources.io import ranked_in_runs
 
 WHITE = """m AS (SELECT sum(x * mask) / (sum(mask) + 1e-8) AS mu, sum(mask) AS n FROM x), v AS (SELECT mu, sum(power(x - mu, 2) * mask) / (sum(mask) + 1e-8) * max(n) / (max(n) - 1) AS va FROM x, m GROUP BY mu)"""
 
@@ -164,10 +165,8 @@ def ragged_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("""WITH c AS (SELECT event_type, event_id, user_id % 3 AS k FROM events), l AS (SELECT *, CASE WHEN k = lag(k) OVER (PARTITION BY event_type ORDER BY event_id) THEN 0 ELSE 1 END AS new FROM c), g AS (SELECT *, sum(new) OVER (PARTITION BY event_type ORDER BY event_id) AS island FROM l)
     SELECT event_type, event_id, CAST(row_number() OVER (PARTITION BY event_type, island ORDER BY event_id) - 1 AS INT) AS rollout_n FROM g""")
 def trace_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("event_type").orderBy("event_id")
     c = table(spark, sf_dir, "events").select("event_type", "event_id", (F.col("user_id") % 3).alias("k"))
-    g = c.withColumn("new", F.when(F.col("k") == F.lag("k").over(w), 0).otherwise(1)).withColumn("island", F.sum("new").over(w))
-    return g.select("event_type", "event_id", (F.row_number().over(Window.partitionBy("event_type", "island").orderBy("event_id")) - 1).alias("rollout_n"))
+    return ranked_in_runs(c, "event_type", ["event_id"], "k", "n").select("event_type", "event_id", F.col("n").cast("int").alias("rollout_n"))
 
 
 @register("""WITH r AS (SELECT uid, idx, 1.0 / (1 + exp(-(score - 150) / 50)) AS s FROM rollouts), m AS (SELECT max(s) AS hi, min(s) AS lo FROM r)

@@ -70,6 +70,27 @@ def ranked_in(df: DataFrame, key: str, order: list[str], name: str) -> DataFrame
     return rows.join(firsts, rows[key].eqNullSafe(F.col("_key"))).select(*df.columns, (F.col("_place") - F.col("_first")).alias(name))
 
 
+#: Rows of a run in which a running maximum is taken; then it is taken over the runs.
+RUN = 1 << 16
+
+
+def ranked_in_runs(df: DataFrame, key: str, order: list[str], value: str, name: str) -> DataFrame:
+    """df with a row's number from 0 among the rows before it, in its key's order, that have its value one after another.
+
+    Rows are placed in ranges, meet the one before by its place, and find where their run of values starts by a
+    maximum inside blocks of places and one over the blocks: no key is one task's.
+    """
+    rows = placed(df.select(key, *order, value), [key, *order]).drop("_all")
+    before = rows.select((F.col("_place") + 1).alias("_place"), F.col(key).alias("_key"), F.col(value).alias("_value"), F.lit(True).alias("_met"))
+    same = F.coalesce((F.col("_key").eqNullSafe(F.col(key))) & (F.col("_value") == F.col(value)) & F.col("_met"), F.lit(False))
+    rows = rows.join(before, "_place", "left").withColumns({"_start": F.when(~same, F.col("_place")), "_block": F.floor(F.col("_place") / RUN)})
+    inside = F.max("_start").over(Window.partitionBy("_block").orderBy("_place"))
+    blocks = rows.groupBy("_block").agg(F.max("_start").alias("_last"))
+    earlier = F.max("_last").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("_inside", inside).join(blocks.select("_block", earlier.alias("_earlier")), "_block")
+    return rows.select(key, *order, value, (F.col("_place") - F.coalesce("_inside", "_earlier")).alias(name))
+
+
 def split_slice(df: DataFrame, start: float, stop: float, order: list[str]) -> DataFrame:
     """Rows from the share `start` to `stop` of the table in the order of a unique key, like train[:75%]."""
     rows = placed(df, order)

@@ -142,3 +142,32 @@ def test_estimators_are_found_by_name(spark):
     for f in (G.estimator, G.token_estimator):
         with pytest.raises(ValueError):
             f("none")
+
+
+def test_runs_are_ranked_across_blocks(spark, monkeypatch):
+    """Runs of a value that pass the ends of ranges and blocks, in a key that has most rows."""
+    from millrace.sources import io
+
+    monkeypatch.setattr(io, "RUN", 7)
+    rng = random.Random(2)
+    rows = [("hot" if i % 9 else "x", i, rng.choice([1, 1, 1, 2, None])) for i in range(200)]
+    df = spark.createDataFrame(rows, "k string, i long, v int").repartition(5)
+    want, last = {}, {}
+    for k, i, v in sorted(rows):
+        n = last[k][1] + 1 if k in last and v is not None and last[k][0] == v else 0
+        last[k] = (v, n)
+        want[i] = n
+    assert {r.i: r.n for r in io.ranked_in_runs(df, "k", ["i"], "v", "n").collect()} == want
+
+
+def test_substrings_in_passes(spark, monkeypatch):
+    """Short and empty patterns, nulls, and more patterns than one pass holds."""
+    from millrace.operators import substrings as S
+
+    texts = [(1, "the cat sat"), (2, "concatenate"), (3, None), (4, ""), (5, "cat")]
+    patterns = [(1, "cat"), (2, "the cat"), (3, ""), (4, None), (5, "dog"), (6, "cat")]
+    want = sorted((a, b, t == p) for a, t in texts for b, p in patterns if t is not None and p is not None and p in t)
+    t, p = spark.createDataFrame(texts, "a long, t string"), spark.createDataFrame(patterns, "b long, p string")
+    for chars in (1 << 20, 3):
+        monkeypatch.setattr(S, "PATTERN_CHARS", chars)
+        assert sorted(tuple(r) for r in S.substrings_found(t, "a", "t", p, "b", "p").collect()) == want
