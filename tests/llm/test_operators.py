@@ -80,6 +80,21 @@ def test_license_blocks_are_all_that_meet_the_threshold():
         assert got == want
 
 
+def test_license_bodies_with_edits(spark):
+    """A license's text with another holder's name and some words lost is found; prose of its common words is not."""
+    rng = random.Random(3)
+    rows_ = []
+    for k, (_, text) in enumerate(licenses.BODIES):
+        words = [w for w in text.split() if rng.random() > 0.05]
+        at = rng.randrange(len(words))
+        rows_.append((k, " ".join(["intro"] * rng.randrange(300) + words[:at] + ["by", "Some", "Holder"] + words[at:])))
+    common = "the of and in to this is for any or by".split()
+    rows_.append((99, " ".join(rng.choice(common) for _ in range(5000))))
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows_], DOCS)
+    found = {r.doc_id: r.labels.split(",") for r in licenses.license_scan(docs, keep=["doc_id"]).collect()}
+    assert all(label in found[k] for k, (label, _) in enumerate(licenses.BODIES)) and found[99] == [""]
+
+
 def test_license_scan_in_passes(docs, monkeypatch):
     whole = rows(licenses.license_scan(docs), "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
     monkeypatch.setattr(licenses, "TEMPLATES_A_PASS", 6)
