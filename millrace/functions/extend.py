@@ -122,6 +122,13 @@ def score_rows(df: DataFrame, score: Callable[[str, str], float], response: str,
     return out.mapInPandas(run, schema)
 
 
+def verified_rows(df: DataFrame, verify: Callable[[str, str], float], response: str, truth: str, seconds: float = 10.0, timeout_score: float = 0.0) -> DataFrame:
+    """df with score, from an outside verifier that is given the truth in a box: `timeout_score` where it takes too long, 0 where it fails."""
+    boxed = df.withColumn("_truth", F.concat(F.lit("\\boxed{"), F.col(truth), F.lit("}")))
+    scored = score_rows(boxed, verify, response, "_truth", seconds)
+    return scored.withColumn("score", F.when(F.col("error") == "TimeoutError", timeout_score).otherwise(F.col("score"))).drop("_truth")
+
+
 def score_batches(df: DataFrame, score: Callable[[list[str], list[str]], list[float]], response: str, truth: str) -> DataFrame:
     """df with score, from a function of whole batches."""
 

@@ -7,6 +7,7 @@ from fractions import Fraction
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -218,3 +219,8 @@ def evaluate(expression: str) -> Fraction | None:
     except (ValueError, IndexError, ZeroDivisionError):
         return None
     return value if at == len(tokens) else None
+
+
+def judged(boxed: Column, rule: Column, split: Column) -> Column:
+    """The score of a judging model's boxed verdict: 1 for True, else 0; rows of the test split keep the rule's score."""
+    return F.when(split == "test", rule).otherwise(F.when(boxed == "True", 1.0).otherwise(0.0))

@@ -201,3 +201,16 @@ def dense_rewards(response: Column, truth: Column, whole: float = 1.0) -> Column
     places = F.filter(F.sequence(F.lit(0), F.length(response)), lambda i: i < F.length(response))
     right = lambda i: (i < n) & (F.substr(response, F.lit(1), i + 1) == F.substr(truth, F.lit(1), i + 1))
     return F.transform(places, lambda i: F.when(right(i), whole / (n + 1)).otherwise(0.0))
+
+
+#: What a judging model is asked.
+JUDGE_PROMPT = (
+    "The following is a math problem and an AI solution:\n\n[Math Problem]\n\n{problem}\n\n[AI Solution]\n\n{solution}\n\n"
+    "Your task is to review and critique the solution step by step, and output whether the AI solution is correct.\n\n"
+    "Please put your final answer (i.e., 'True' or 'False') in \\boxed{}."
+)
+
+
+def judge_messages(problem: Column, solution: Column) -> Column:
+    """The messages that a judging model gets; sending them is the caller's."""
+    return F.array(message("user", filled(JUDGE_PROMPT, problem=problem, solution=solution)))

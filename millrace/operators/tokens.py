@@ -174,3 +174,13 @@ def overlong_penalty(length: Column, longest: int, buffer: int, factor: float) -
 def at_last_token(reward: Column, length: Column) -> Column:
     """An array of `length` values: the reward at the last one, 0 before."""
     return F.when(length > 0, F.transform(F.sequence(F.lit(1), F.greatest(length, F.lit(1)).cast("int")), lambda i: F.when(i == length, reward).otherwise(0.0))).otherwise(F.array().cast("array<double>"))
+
+
+def merged_paths(base: Column, sizes: Column) -> Column:
+    """Where the paths of a block stand when they are put one after another: (path, start, end, position, next_position).
+
+    All paths start at the block's position, and what follows goes on from the longest of them. Tokens of two paths
+    do not see each other: the spans that a path does not see are those of the others.
+    """
+    before = F.transform(sizes, lambda _, i: F.aggregate(F.slice(sizes, 1, i), F.lit(0).cast("long"), lambda a, x: a + x))
+    return F.transform(sizes, lambda n, i: F.struct(i.alias("path"), (base + before[i]).alias("start"), (base + before[i] + n).alias("end"), base.alias("position"), (base + F.array_max(sizes)).alias("next_position")))

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from millrace.catalog import r6, register, table
 from millrace.functions import extend as X
-from millrace.functions import extract, rewards, tags
+from millrace.functions import competition, extract, grade, rewards, tags
 from millrace.operators import balance as L
 from millrace.operators import evaluate as E
 from millrace.operators import prep as P
+from millrace.operators import tokens as T
 from millrace.plans import views as V
 from millrace.plans.q_text import MATH_SQL, STRICT, WORDS
 from millrace.sources import io
@@ -226,3 +227,36 @@ def function_by_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select((F.col("user_id") % 16).alias("rank"), "value")
     part = X.apply_parts(rows, 16, ["rank"], lambda b: b.groupby("rank", as_index=False).agg(n=("value", "size"), total=("value", "sum")), "rank long, n long, total double")
     return part.groupBy("rank").agg(F.sum("n").alias("n"), (F.round(F.sum("total"), 4) + 0.0).alias("total"))
+
+
+@register("""SELECT uid, CAST(idx - 1 AS INT) AS path, CAST(uid % 9 + coalesce(sum(CAST(len AS BIGINT)) OVER (PARTITION BY uid ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, CAST(uid % 9 + sum(CAST(len AS BIGINT)) OVER (PARTITION BY uid ORDER BY idx) AS BIGINT) AS stop,
+    CAST(uid % 9 AS BIGINT) AS position, CAST(uid % 9 + max(CAST(len AS BIGINT)) OVER (PARTITION BY uid) AS BIGINT) AS next_position FROM rollouts""")
+def merged_path_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A prompt's samples as the paths of one block: spans in the merged sequence and positions."""
+    sizes = F.transform(F.array_sort(F.collect_list(F.struct("idx", F.col("len").cast("long").alias("n")))), lambda x: x["n"])
+    rows = V.rollouts(spark, sf_dir).groupBy("uid").agg(sizes.alias("sizes"))
+    return rows.select("uid", F.explode(T.merged_paths(F.col("uid") % 9, F.col("sizes"))).alias("x")).select("uid", "x.path", "x.start", F.col("x.end").alias("stop"), "x.position", "x.next_position")
+
+
+@register(r"""SELECT id, md5(concat('The following is a math problem and an AI solution:', chr(10), chr(10), '[Math Problem]', chr(10), chr(10), question, chr(10), chr(10), '[AI Solution]', chr(10), chr(10), answer, chr(10), chr(10),
+    'Your task is to review and critique the solution step by step, and output whether the AI solution is correct.', chr(10), chr(10), 'Please put your final answer (i.e., ''True'' or ''False'') in \boxed{}.')) AS content,
+    CASE WHEN id % 5 = 0 THEN 0.5::DOUBLE WHEN id % 3 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score FROM prompts""".replace("\\\\", "\\"))
+def judged_rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a judging model is asked, and the scores of its replies; rows of the test split keep the rule's."""
+    reply = F.concat(F.lit("I checked it. \\boxed{"), F.when(F.col("id") % 3 == 0, "True").otherwise("False"), F.lit("}"))
+    rows = V.prompts(spark, sf_dir).select("id", P.judge_messages(F.col("question"), F.col("answer")).alias("m"), reply.alias("reply"), F.when(F.col("id") % 5 == 0, "test").otherwise("train").alias("split"))
+    return rows.select("id", F.md5(F.col("m")[0]["content"]).alias("content"), grade.judged(grade.boxed_answer("reply"), F.lit(0.5), F.col("split")).alias("score"))
+
+
+@register("SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score FROM documents")
+def verified_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An outside verifier over boxed truths; here the one that compares boxes by value."""
+    k = F.col("doc_id") % 4
+    response = F.concat(F.lit("so "), F.when(k == 0, "nothing").when(k == 1, "\\boxed{x+1}").when(k == 2, "\\boxed{-1}").otherwise(F.concat(F.lit("\\boxed{"), F.col("n_chars").cast("string"), F.lit(".0}"))))
+    rows = table(spark, sf_dir, "documents").select("doc_id", response.alias("response"), F.col("n_chars").cast("string").alias("truth"))
+    return X.verified_rows(rows, boxes_equal, "response", "truth").select("doc_id", "score")
+
+
+def boxes_equal(response: str, truth: str) -> float:
+    given, wanted = grade.last_boxed(response), grade.last_boxed(truth)
+    return float(given is not None and competition.math_equal(given, wanted) is True)
