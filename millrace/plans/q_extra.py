@@ -240,7 +240,7 @@ def merged_path_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(r"""SELECT id, md5(concat('The following is a math problem and an AI solution:', chr(10), chr(10), '[Math Problem]', chr(10), chr(10), question, chr(10), chr(10), '[AI Solution]', chr(10), chr(10), answer, chr(10), chr(10),
     'Your task is to review and critique the solution step by step, and output whether the AI solution is correct.', chr(10), chr(10), 'Please put your final answer (i.e., ''True'' or ''False'') in \boxed{}.')) AS content,
-    CASE WHEN id % 5 = 0 THEN 0.5::DOUBLE WHEN id % 3 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score FROM prompts""".replace("\\\\", "\\"))
+    CASE WHEN id % 5 = 0 THEN 0.5::DOUBLE WHEN id % 3 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score FROM prompts""")
 def judged_rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a judging model is asked, and the scores of its replies; rows of the test split keep the rule's."""
     reply = F.concat(F.lit("I checked it. \\boxed{"), F.when(F.col("id") % 3 == 0, "True").otherwise("False"), F.lit("}"))
