@@ -24,6 +24,8 @@ PRIOR, WORD_SCALE, RUN_SCALE = 3.0, 30.0, 1000.0
 AGAINST, USUAL_RUNS = -0.7, 1000.0
 #: Both ratios of a document without a word.
 NOTHING = -1000.0
+#: Bins of keys that are counted at a time, and how often a bin is cut into as many.
+BINS, LEVELS = 2048, 4
 #: Columns of counts on their way.
 SUMS = "segment int, part int, sums binary"
 
@@ -144,20 +146,24 @@ def gumbel(*parts: Column) -> Column:
 def kth_largest(keys: DataFrame, k: int) -> Column | None:
     """A condition on (key, mark) that holds for exactly k of the rows, those with the largest keys; equal rows count alike.
 
-    Bins of keys are counted, finer three times inside the bin of the cut, and the rows of that last bin are counted
-    by key and mark, so that equal rows are one. None: no row. `keys` must not hold more than a few columns; it is
-    read four times.
+    BINS bins of keys are counted, finer LEVELS times inside the bin of the cut, and the rows of the last bin are
+    counted by key and mark, so that equal rows are one. None: no row. `keys` must not hold more than a few columns;
+    it is read once for each level, for its ends, and for the last bin.
     """
     if k <= 0:
         return F.lit(False)
-    inside, left = keys, k
-    for width in (1 / 64, 1 / 64 / (1 << 16), 1 / 64 / (1 << 32)):
-        bins = inside.groupBy(F.floor(F.col("key") / width).alias("bin")).agg(F.count("*").alias("n"))
+    ends = keys.agg(F.min("key").alias("low"), F.max("key").alias("high")).first()
+    if ends["low"] is None:
+        return None
+    inside, left, low, width = keys, k, ends["low"], (ends["high"] - ends["low"]) / BINS
+    for _ in range(LEVELS if width > 0 else 0):
+        at = F.floor((F.col("key") - F.lit(low)) / F.lit(width))
         order = Window.orderBy(F.col("bin").desc())
-        reached = bins.withColumn("sum", F.sum("n").over(order)).where(F.col("sum") >= left).orderBy(F.col("bin").desc()).first()
+        bins = inside.groupBy(at.alias("bin")).agg(F.count("*").alias("n")).withColumn("sum", F.sum("n").over(order))
+        reached = bins.where(F.col("sum") >= left).orderBy(F.col("bin").desc()).first()
         if reached is None:
             return None
-        inside, left = inside.where(F.floor(F.col("key") / width) == reached["bin"]), left - (reached["sum"] - reached["n"])
+        inside, left, low, width = inside.where(at == reached["bin"]), left - (reached["sum"] - reached["n"]), low + reached["bin"] * width, width / BINS
     order = Window.orderBy(F.col("key").desc(), F.col("mark"))
     rows = inside.groupBy("key", "mark").agg(F.count("*").alias("n"))
     last = rows.withColumn("sum", F.sum("n").over(order)).where(F.col("sum") >= left).orderBy(F.col("key").desc(), F.col("mark")).first()
