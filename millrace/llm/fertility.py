@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-
 import re
 from collections import Counter
 from collections.abc import Callable
@@ -13,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
+from .packing import word_tokens
 
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 #: Words kept in each of a worker's two caches of counts.
@@ -21,29 +21,33 @@ CACHED_WORDS = 250_000
 MOST_BANDS, SALTS = 10_000, 32
 #: First bytes of a script's UTF-8 sequences, from and to (exclusive); fixed values of Unicode.
 SCRIPTS = (("latin", 0xC3, 0xC9), ("greek", 0xCE, 0xD0), ("cyrillic", 0xD0, 0xD4), ("hebrew", 0xD6, 0xD8), ("arabic", 0xD8, 0xDC), ("indic", 0xE0, 0xE1), ("kana", 0xE3, 0xE4), ("han", 0xE4, 0xEA), ("hangul", 0xEA, 0xEE))
-MEASURES = ("chars_per_token", "byte_share", "token_entropy")
-#: Interquartile ranges from the median to a band's end.
-SPREAD = {"chars_per_token": 4.0, "byte_share": 6.0, "token_entropy": 2.0}
-FIELDS = [C.field(n, k) for n, k in (("n_words", "long"), ("word_chars", "long"), ("n_symbols", "long"), ("n_dup_lines", "long"), ("n_repeat_words", "long"), ("base_failed", "boolean"), ("n_tokens", "long"), ("chars_per_token", "double"), ("byte_share", "double"), ("token_entropy", "double"), ("script", "string"))]
-_COUNTERS: dict[str, Callable] = {}
+MEASURES = ("chars_per_token", "chars_per_token_2", "byte_share", "token_entropy")
+#: Interquartile ranges from the median to a band's end, and the least that such a range counts.
+SPREAD = {"chars_per_token": 5.0, "chars_per_token_2": 4.0, "byte_share": 6.0, "token_entropy": 1.75}
+LEAST = {"chars_per_token": 0.05, "chars_per_token_2": 0.05, "byte_share": 0.01, "token_entropy": 0.1}
+#: Marks the number, behind a word's ids, of its tokens in the second vocabulary.
+SECOND = 1 << 31
+FIELDS = [C.field(n, k) for n, k in (("n_words", "long"), ("word_chars", "long"), ("n_symbols", "long"), ("n_dup_lines", "long"), ("n_repeat_words", "long"), ("base_failed", "boolean"), ("n_tokens", "long"), ("chars_per_token", "double"), ("chars_per_token_2", "double"), ("byte_share", "double"), ("token_entropy", "double"), ("script", "string"))]
+_COUNTERS: dict[tuple[str, str | None], Callable] = {}
 
 
-def counter(path: str) -> Callable[[list[bytes]], tuple[int, int, float]]:
-    """A function from words to tokens, byte-fallback tokens and the entropy of the tokens in bits.
+def counter(path: str, second: str | None = None) -> Callable[[list[bytes]], tuple[int, int, int, float]]:
+    """A function from words to tokens, tokens in the second vocabulary, byte-fallback tokens and the entropy of the tokens in bits.
 
-    Each word is encoded by itself, once for as long as it is kept.
+    Each word is encoded by itself, once for as long as it is kept: its ids, and the marked number of its tokens in the second.
     """
-    if path in _COUNTERS:
-        return _COUNTERS[path]
+    if (path, second) in _COUNTERS:
+        return _COUNTERS[path, second]
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     size = model.get_piece_size()
     is_byte = np.array([model.is_byte(i) for i in range(size)])
+    others = word_tokens(second) if second else lambda word: 0
     young: dict[bytes, bytes] = {}
     old: dict[bytes, bytes] = {}
 
-    def count(words: list[bytes]) -> tuple[int, int, float]:
+    def count(words: list[bytes]) -> tuple[int, int, int, float]:
         nonlocal young, old
         try:
             packed = b"".join(map(young.__getitem__, words))
@@ -58,17 +62,20 @@ def counter(path: str) -> Callable[[list[bytes]], tuple[int, int, float]]:
                     young[w] = old[w]
                 else:
                     new.append(w)
-            for w, ids in zip(new, model.encode([w.decode() for w in new], num_threads=1), strict=True):
-                young[w] = np.array(ids, "<u4").tobytes()
+            texts = [w.decode() for w in new]
+            for w, text, ids in zip(new, texts, model.encode(texts, num_threads=1), strict=True):
+                young[w] = np.array([*ids, SECOND | others(text)], "<u4").tobytes()
             packed = b"".join(map(young.__getitem__, words))
-        ids = np.frombuffer(packed, "<u4")
+        every = np.frombuffer(packed, "<u4")
+        marked = every >= SECOND
+        ids = every[~marked]
         if not len(ids):
-            return 0, 0, 0.0
+            return 0, 0, 0, 0.0
         counts = np.bincount(ids) if len(ids) > 4000 else np.unique(ids, return_counts=True)[1]
         p = counts[counts > 0] / len(ids)
-        return len(ids), int(is_byte[ids].sum()), float(-(p * np.log2(p)).sum())
+        return len(ids), int((every[marked] ^ np.uint32(SECOND)).sum(dtype=np.int64)), int(is_byte[ids].sum()), float(-(p * np.log2(p)).sum())
 
-    return _COUNTERS.setdefault(path, count)
+    return _COUNTERS.setdefault((path, second), count)
 
 
 def repeated_words(words: list[bytes], each: int = 8) -> int:
@@ -109,8 +116,8 @@ def script_of(raw: bytes) -> str:
     return name if n else "none"
 
 
-def measurer(path: str) -> Callable[[str], tuple]:
-    count = counter(path)
+def measurer(path: str, second: str | None = None) -> Callable[[str], tuple]:
+    count = counter(path, second)
 
     def measure(text: str) -> tuple:
         raw = text.encode()
@@ -125,8 +132,9 @@ def measurer(path: str) -> Callable[[str], tuple]:
                 seen.add(line)
         n, again = len(words), repeated_words(words)
         chars = len(text) - (len(raw) - sum(map(len, words)))  # what stands between words is one byte a character
-        tokens, by_byte, entropy = count(words)
-        return n, chars, symbols, dup, again, n < 20 or 100 * again > 30 * n, tokens, chars / tokens if tokens else 0.0, by_byte / tokens if tokens else 0.0, entropy, script_of(raw)
+        tokens, others, by_byte, entropy = count(words)
+        per = lambda x, y: x / y if y else 0.0
+        return n, chars, symbols, dup, again, n < 20 or 100 * again > 30 * n, tokens, per(chars, tokens), per(chars, others), per(by_byte, tokens), entropy, script_of(raw)
 
     return measure
 
@@ -135,18 +143,18 @@ def bands(measured: DataFrame, key: str = "band_key", spread: dict[str, float] |
     """(key, mid_<m>, width_<m>): the median of all the key's documents, and so many interquartile ranges."""
     quantiles = measured.where("n_tokens > 0").groupBy(key).agg(*[F.percentile_approx(m, [0.25, 0.5, 0.75], 10_000).alias(m) for m in MEASURES])
 
-    def width(m: str, floor: float) -> Column:
-        return (spread or SPREAD)[m] * F.greatest(F.col(m)[2] - F.col(m)[0], F.lit(floor))
+    def width(m: str) -> Column:
+        return (SPREAD | (spread or {}))[m] * F.greatest(F.col(m)[2] - F.col(m)[0], F.lit(LEAST[m]))
 
-    floors = {"chars_per_token": 0.05, "byte_share": 0.01, "token_entropy": 0.1}
-    return quantiles.select(key, *[F.col(m)[1].alias(f"mid_{m}") for m in MEASURES], *[width(m, floors[m]).alias(f"width_{m}") for m in MEASURES])
+    return quantiles.select(key, *[F.col(m)[1].alias(f"mid_{m}") for m in MEASURES], *[width(m).alias(f"width_{m}") for m in MEASURES])
 
 
-def fertility_rules(docs: DataFrame, vocabulary: str, lang_col: str = "lang", text_col: str = "text", keep: list[str] | None = None, spread: dict[str, float] | None = None, steady: int = 256) -> DataFrame:
+def fertility_rules(docs: DataFrame, vocabulary: str, lang_col: str = "lang", text_col: str = "text", keep: list[str] | None = None, spread: dict[str, float] | None = None, steady: int = 256, second: str | None = None) -> DataFrame:
     """Measure each whole text and keep it if the base rules and the bands of its language or script hold.
 
     Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_tokens, chars_per_token,
-    byte_share (of tokens that stand for one byte), token_entropy (bits), script, band_key and kept. A document's
+    chars_per_token_2 (in the vocabulary `second`, a word BPE; 0 without one), byte_share (of tokens that stand for
+    one byte), token_entropy (bits), script, band_key and kept. A document's
     band is that of `lang_col`, or of its script where the language is null: median of all such documents, give or
     take `spread` (by measure) interquartile ranges, wider by sqrt(steady / n_tokens) under `steady` tokens, as measures of
     short texts scatter. Of the entropy only the lower end rejects, and of the byte share only the upper.
@@ -157,14 +165,14 @@ def fertility_rules(docs: DataFrame, vocabulary: str, lang_col: str = "lang", te
     kept_cols = [c for c in (docs.columns if keep is None else keep) if c.lower() not in {f.name for f in FIELDS} | {"band_key", "kept"}]
     inner = list(dict.fromkeys([*kept_cols, *([lang_col] if has_lang else [])]))
     C.with_checkpoints(docs.sparkSession)
-    measured = C.map_text(docs, lambda: measurer(vocabulary), FIELDS, text_col, inner)
+    measured = C.map_text(docs, lambda: measurer(vocabulary, second), FIELDS, text_col, inner)
     own = F.coalesce(C.quoted(lang_col), F.concat(F.lit("script:"), F.col("script"))) if has_lang else F.concat(F.lit("script:"), F.col("script"))
     measured = measured.withColumn("band_key", own)
     measured = measured.checkpoint()
     limits = bands(measured, spread=spread).checkpoint()
     slack = F.sqrt(F.greatest(F.lit(1.0), F.lit(float(steady)) / F.greatest(F.col("n_tokens"), F.lit(1))))
     tests = [
-        F.abs(F.col("chars_per_token") - F.col("mid_chars_per_token")) <= slack * F.col("width_chars_per_token"),
+        *[F.abs(F.col(m) - F.col(f"mid_{m}")) <= slack * F.col(f"width_{m}") for m in MEASURES[:2]],
         F.col("byte_share") <= F.col("mid_byte_share") + slack * F.col("width_byte_share"),
         F.col("token_entropy") >= F.col("mid_token_entropy") - slack * F.col("width_token_entropy"),
     ]

@@ -19,6 +19,7 @@ UNUSUAL = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\
 #: A word of letters only, then marks only: two pieces that the pre-tokenizer keeps apart.
 PLAIN = re.compile(r"([^\W\d_]+)([.,;:!?#*$%&|<>]+)")
 _ENCODERS: dict[str, Callable[[str], bytes]] = {}
+_COUNTERS: dict[str, Callable[[str], int]] = {}
 
 
 def lengths(n: int, most: int) -> list[int]:
@@ -99,14 +100,29 @@ def encoder(path: str) -> Callable[[str], bytes]:
 
     known, marks = Known(), Marks()
 
+    def tokens(word: str) -> int:
+        """How many ids a word has; nothing is kept."""
+        if word.isascii() and word.isalpha():
+            return len(tokenize(word.lower()))
+        if (m := PLAIN.fullmatch(word)) and m[1].isascii() and m[1].isalpha():
+            return len(tokenize(m[1].lower())) + len(marks[m[2]]) // 4
+        return len(tokenizer.encode(word, add_special_tokens=False).ids) if UNUSUAL.search(word) else len(make(word)) // 4
+
     def encode(text: str) -> bytes:
         if UNUSUAL.search(text):
             return b"".join([four[i] for i in tokenizer.encode(text, add_special_tokens=False).ids])
         return b"".join(map(known.__getitem__, text.split()))
 
+    _COUNTERS[path] = tokens
     return _ENCODERS.setdefault(path, encode)
 
 
+def word_tokens(path: str) -> Callable[[str], int]:
+    """A function from a word to the number of its ids."""
+    encoder(path)
+    return _COUNTERS[path]
+
+
 def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, most: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Cut each document's ids, `end_id` last, into power-of-two pieces of at most `most` ids; each is a sequence.
 

@@ -44,7 +44,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op7_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fertility.fertility_rules(C.tables(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), keep=["doc_id"])
+    return fertility.fertility_rules(C.tables(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), keep=["doc_id"], second=vocabulary("word_bpe_49k.json"))
 
 
 @query

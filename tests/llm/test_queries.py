@@ -85,9 +85,7 @@ def test_expectation_maximisation_in_plain_loops():
 
 def test_bands_against_sorted_measures(spark):
     """Whether a document is kept, from quartiles of sorted measures."""
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    rows = fertility.fertility_rules(docs, queries.vocabulary("piece_bpe_32k.model"), keep=["doc_id"]).collect()
-    floors = {"chars_per_token": 0.05, "byte_share": 0.01, "token_entropy": 0.1}
+    rows = queries.op7_tokeniser_fertility(spark, SF).collect()
 
     def quartile(values, q):
         return sorted(values)[max(0, math.ceil(q * len(values)) - 1)]
@@ -95,13 +93,34 @@ def test_bands_against_sorted_measures(spark):
     for r in rows:
         own = [x for x in rows if x.band_key == r.band_key and x.n_tokens > 0]
         inside = True
-        for m, floor in floors.items():
+        for m, floor in fertility.LEAST.items():
             low, mid, high = (quartile([x[m] for x in own], q) for q in (0.25, 0.5, 0.75)) if own else (0, 0, 0)
             width = math.sqrt(max(1.0, 256 / max(r.n_tokens, 1))) * fertility.SPREAD[m] * max(high - low, floor)
-            inside &= {"chars_per_token": abs(r[m] - mid) <= width, "byte_share": r[m] <= mid + width, "token_entropy": r[m] >= mid - width}[m]
+            inside &= {"chars_per_token": abs(r[m] - mid) <= width, "chars_per_token_2": abs(r[m] - mid) <= width, "byte_share": r[m] <= mid + width, "token_entropy": r[m] >= mid - width}[m]
         assert r.kept == (not r.base_failed and inside), r.doc_id
 
 
+def test_fertility_measures_against_the_tokenizers(spark):
+    """Tokens, byte tokens and entropy of each document, word by word through both libraries."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    piece = sentencepiece.SentencePieceProcessor(model_file=queries.vocabulary("piece_bpe_32k.model"))
+    word = Tokenizer.from_file(queries.vocabulary("word_bpe_49k.json"))
+    found = {r.doc_id: r for r in queries.op7_tokeniser_fertility(spark, SF).collect()}
+    odd = "İstanbul ΣΑΣ x1,y2 日本 ¡Hola! a\x1cb <|endoftext|> naïve… ##% don't"
+    count = fertility.counter(queries.vocabulary("piece_bpe_32k.model"), queries.vocabulary("word_bpe_49k.json"))
+    assert count(odd.encode().split())[1] == sum(len(word.encode(w.decode(), add_special_tokens=False).ids) for w in odd.encode().split())
+    for d in spark.read.parquet(f"{SF}/documents.parquet").limit(40).collect():
+        words = [w.decode() for w in (d.text or "").encode().split()]
+        ids = [i for w in words for i in piece.encode(w)]
+        others = sum(len(word.encode(w, add_special_tokens=False).ids) for w in words)
+        r = found[d.doc_id]
+        share = [ids.count(i) / len(ids) for i in set(ids)]
+        assert r.n_tokens == len(ids) and r.token_entropy == pytest.approx(-sum(p * math.log2(p) for p in share))
+        assert r.chars_per_token_2 == pytest.approx(sum(map(len, words)) / others if others else 0.0) and r.byte_share == pytest.approx(sum(piece.is_byte(i) for i in ids) / len(ids) if ids else 0.0)
+
+
 @pytest.mark.parametrize("name", ["op1_license_scan", "op3_suffix_dedup", "op5_simhash_near_dedup", "op7_tokeniser_fertility", "op8_language_mixture", "op10_secret_scan", "op2_mix_sources", "op6_power_of_two_packing"])
 def test_very_long_texts(spark, tmp_path, name):
     """A text of some megabytes, one of one letter, and a short one that repeats a part of the first."""
