@@ -64,9 +64,12 @@ class Model:
         grams = word_grams(text)
         if not len(grams):
             return NOTHING, NOTHING
-        runs = self.letters[np.unique(letter_grams(text))]
-        size = max(1, len(runs))
-        return float(self.words[grams].mean()), float(runs[runs < AGAINST].sum(dtype=np.float64) / max((USUAL_RUNS * size) ** 0.5, size))
+        runs = letter_grams(text)
+        seen = np.zeros(BUCKETS, bool)
+        seen[runs] = True
+        size = max(1, int(np.count_nonzero(seen)))
+        against = self.letters[np.unique(runs[self.letters[runs] < AGAINST])]
+        return float(self.words[grams].mean()), float(against.sum(dtype=np.float64) / max((USUAL_RUNS * size) ** 0.5, size))
 
 
 def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
