@@ -14,6 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.functions import competition
+from millrace.operators.tokens import overlong_penalty
+
 
 def from_file(path: str, name: str, **bound: Any) -> Callable:
     """A function of a Python file that the user names, with keyword arguments bound. The file is run: it must be the user's own."""
@@ -45,6 +48,8 @@ class Registry(dict):
 
 #: Readers of datasets (a session and options to a frame), row generators, tools (a row to rows) and order keys.
 DATASETS, GENERATORS, TOOLS, ORDERS = Registry(), Registry(), Registry(), Registry()
+#: Scoring strategies: from a frame and the names of its response and truth to the frame with a score.
+STRATEGIES = Registry()
 
 
 @DATASETS.add("parquet")
@@ -142,3 +147,27 @@ def score_batches(df: DataFrame, score: Callable[[list[str], list[str]], list[fl
 def apply_parts(df: DataFrame, parts: int, keys: list[str], f: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """A function over each batch of a frame dealt to `parts` by its keys."""
     return df.repartition(parts, *keys).mapInPandas(lambda batches: (f(b) for b in batches), schema)
+
+
+@STRATEGIES.add("naive")
+def naive(df: DataFrame, response: str, truth: str, score: Callable[[str, str], float], model_score: str | None = None) -> DataFrame:
+    """Row by row; a model's score, where there is one, stands."""
+    return score_rows(df, score, response, truth, model_score=model_score).drop("error")
+
+
+@STRATEGIES.add("batch")
+def batch(df: DataFrame, response: str, truth: str, score: Callable[[list[str], list[str]], list[float]]) -> DataFrame:
+    return score_batches(df, score, response, truth)
+
+
+@STRATEGIES.add("dapo")
+def with_overlong_penalty(df: DataFrame, response: str, truth: str, score: Callable[[str, str], float], length: str, longest: int, buffer: int, factor: float = 1.0) -> DataFrame:
+    """Row by row, less a penalty for the last `buffer` tokens before the longest response."""
+    scored = naive(df, response, truth, score)
+    return scored.withColumn("score", F.col("score") + overlong_penalty(F.col(length), longest, buffer, factor))
+
+
+@STRATEGIES.add("prime")
+def competition_rule(df: DataFrame, response: str, truth: str) -> DataFrame:
+    """1 where the stated answer is right by the competition rules, else 0."""
+    return df.withColumn("score", F.when(competition.scored(F.col(response), F.col(truth))["correct"], 1.0).otherwise(0.0))

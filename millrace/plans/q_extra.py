@@ -260,3 +260,24 @@ def verified_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def boxes_equal(response: str, truth: str) -> float:
     given, wanted = grade.last_boxed(response), grade.last_boxed(truth)
     return float(given is not None and competition.math_equal(given, wanted) is True)
+
+
+@register("""WITH a AS (SELECT doc_id, n_chars, CASE WHEN contains(response, concat('Final Answer: ', truth)) THEN 1.0 ELSE 0.0 END AS s FROM answers)
+    SELECT 'naive' AS strategy, doc_id, s::DOUBLE AS score FROM a UNION ALL SELECT 'batch', doc_id, s FROM a UNION ALL SELECT 'dapo', doc_id, round(s + least(-(n_chars - 9000) / 1000 * 0.5, 0.0), 6) + 0.0 FROM a
+    UNION ALL SELECT 'prime', doc_id, CASE WHEN doc_id % 5 = 1 AND n_chars > 0 THEN 0.0 WHEN doc_id % 3 <> 1 OR 1 <= 1e-4 * (n_chars + 1) THEN 1.0 ELSE 0.0 END FROM a""")
+def scoring_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four strategies of the registry over the same responses."""
+    rows = V.answers(spark, sf_dir).select("doc_id", "response", "truth", "n_chars")
+    found = {
+        "naive": X.STRATEGIES["naive"](rows, "response", "truth", states_truth), "batch": X.STRATEGIES["batch"](rows, "response", "truth", lambda a, b: [states_truth(x, y) for x, y in zip(a, b, strict=True)]),
+        "dapo": X.STRATEGIES["dapo"](rows, "response", "truth", states_truth, "n_chars", 10_000, 1000, 0.5), "prime": X.STRATEGIES["prime"](rows, "response", "truth"),
+    }
+    out = None
+    for name, frame in found.items():
+        one = frame.select(F.lit(name).alias("strategy"), "doc_id", r6("score").alias("score"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def states_truth(response: str, truth: str) -> float:
+    return float(f"Final Answer: {truth}" in response)
