@@ -16,7 +16,7 @@ from .packing import word_tokens
 
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 #: Words kept in each of a worker's two caches of counts.
-CACHED_WORDS = 250_000
+CACHED_WORDS = 500_000
 #: Up to so many bands their table (a narrow row each) is broadcast; a larger one is joined by shuffles, its keys salted.
 MOST_BANDS, SALTS = 10_000, 32
 #: First bytes of a script's UTF-8 sequences, from and to (exclusive); fixed values of Unicode.
@@ -44,13 +44,14 @@ def counter(path: str, second: str | None = None) -> Callable[[list[bytes]], tup
     size = model.get_piece_size()
     is_byte = np.array([model.is_byte(i) for i in range(size)])
     others = word_tokens(second) if second else lambda word: 0
+    four, join = [i.to_bytes(4, "little") for i in range(size)], b"".join
     young: dict[bytes, bytes] = {}
     old: dict[bytes, bytes] = {}
 
     def count(words: list[bytes]) -> tuple[int, int, int, float]:
         nonlocal young, old
         try:
-            packed = b"".join(map(young.__getitem__, words))
+            packed = join(map(young.__getitem__, words))
         except KeyError:
             need = [w for w in dict.fromkeys(words) if w not in young]
             if len(young) + len(need) > CACHED_WORDS:
@@ -64,8 +65,8 @@ def counter(path: str, second: str | None = None) -> Callable[[list[bytes]], tup
                     new.append(w)
             texts = [w.decode() for w in new]
             for w, text, ids in zip(new, texts, model.encode(texts, num_threads=1), strict=True):
-                young[w] = np.array([*ids, SECOND | others(text)], "<u4").tobytes()
-            packed = b"".join(map(young.__getitem__, words))
+                young[w] = join([four[i] for i in ids]) + (SECOND | others(text)).to_bytes(4, "little")
+            packed = join(map(young.__getitem__, words))
         every = np.frombuffer(packed, "<u4")
         marked = every >= SECOND
         ids = every[~marked]
