@@ -136,20 +136,25 @@ def curriculum_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", (F.col("place") + 1).cast("int").alias("place"))
 
 
+def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in batches of 512 by id: what one balancing step sees, whatever a source's share of the rows."""
+    return table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 512).alias("batch"), "doc_id", "n_chars")
+
+
 @register()
 def length_balanced_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each source's documents over eight parts of about equal length, by largest differencing."""
-    return L.balanced(table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars"), "source", "doc_id", "n_chars", 8)
+    """Each batch's documents over eight parts of about equal length, by largest differencing."""
+    return L.balanced(steps(spark, sf_dir), "batch", "doc_id", "n_chars", 8)
 
 
 @register()
 def greedy_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.balanced(table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars"), "source", "doc_id", "n_chars", 8, "greedy")
+    return L.balanced(steps(spark, sf_dir), "batch", "doc_id", "n_chars", 8, "greedy")
 
 
 @register()
 def token_budget_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.dynamic_batches(table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars"), "source", "doc_id", "n_chars", 200_000)
+    return L.dynamic_batches(steps(spark, sf_dir), "batch", "doc_id", "n_chars", 200_000)
 
 
 @register("""WITH b AS (SELECT source, doc_id, n_chars, floor((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) / 5) AS blk FROM documents), s AS (SELECT source, blk, sum(n_chars) AS s FROM b GROUP BY ALL)

@@ -13,6 +13,7 @@ from millrace.operators import evaluate as E
 from millrace.operators import prep as P
 from millrace.operators import tokens as T
 from millrace.plans import views as V
+from millrace.plans.q_batch import steps
 from millrace.plans.q_text import MATH_SQL, STRICT, WORDS
 from millrace.sources import io
 
@@ -37,15 +38,10 @@ def records_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy(F.col("o_orderpriority").alias("priority")).agg(F.count("*").alias("n"), (F.round(F.sum("o_totalprice"), 2) + 0.0).alias("total"))
 
 
-def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Batches of 512 documents by id: what one balancing step sees."""
-    return table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 512).alias("batch"), "doc_id", "n_chars")
-
-
 @register("SELECT m AS method, CAST(floor(doc_id / 512) AS BIGINT) AS batch, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS total, count(DISTINCT doc_id) AS ids, TRUE AS level FROM documents, (SELECT unnest(['differencing', 'greedy']) AS m) GROUP BY 1, 2")
 def balanced_parts_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both methods deal every row once; parts of a batch differ by no more than its longest row."""
-    rows, out = blocks(spark, sf_dir), None
+    rows, out = steps(spark, sf_dir), None
     longest = rows.groupBy("batch").agg(F.max("n_chars").alias("longest"))
     for method in ("differencing", "greedy"):
         dealt = L.balanced(rows, "batch", "doc_id", "n_chars", 8, method).join(rows, ["batch", "doc_id"])
@@ -59,7 +55,7 @@ def balanced_parts_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT batch, CAST(max(s) AS BIGINT) AS high, CAST(min(s) AS BIGINT) AS low, CAST(max(s) - min(s) AS BIGINT) AS gap, TRUE AS improved FROM s GROUP BY batch""")
 def imbalance_against_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sums of contiguous eighths of each batch, and whether balanced parts lie no further apart."""
-    rows = blocks(spark, sf_dir)
+    rows = steps(spark, sf_dir)
     near = L.imbalance(rows.withColumn("part", F.ntile(8).over(Window.partitionBy("batch").orderBy("doc_id"))), "batch", "part", "n_chars")
     level = L.imbalance(L.balanced(rows, "batch", "doc_id", "n_chars", 8).join(rows, ["batch", "doc_id"]), "batch", "part", "n_chars").select("batch", F.col("gap").alias("level"))
     return near.join(level, "batch").select("batch", "high", "low", "gap", (F.col("level") <= F.col("gap")).alias("improved"))
@@ -68,7 +64,7 @@ def imbalance_against_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("WITH b AS (SELECT CAST(floor(doc_id / 512) AS BIGINT) AS batch, n_chars FROM documents) SELECT batch, count(*) AS n, CAST(greatest(1, least(count(*), ceil(sum(n_chars) / 400000.0))) AS BIGINT) AS micros, TRUE AS fits FROM b GROUP BY batch")
 def token_budget_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As many micro-batches as the tokens ask for; none passes its even share by more than the longest row."""
-    rows = blocks(spark, sf_dir)
+    rows = steps(spark, sf_dir)
     micro = L.dynamic_batches(rows, "batch", "doc_id", "n_chars", 400_000).join(rows, ["batch", "doc_id"]).groupBy("batch", "micro").agg(F.count("*").alias("n"), F.sum("n_chars").alias("s"), F.max("n_chars").alias("longest"))
     g = micro.groupBy("batch").agg(F.sum("n").alias("n"), F.count("*").alias("micros"), F.max("s").alias("most"), F.sum("s").alias("total"), F.max("longest").alias("longest"))
     return g.select("batch", "n", "micros", (F.col("most") <= F.col("total") / F.col("micros") + F.col("longest")).alias("fits"))
@@ -77,7 +73,7 @@ def token_budget_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("SELECT 8 AS partitions, 8 AS parts, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS total FROM documents")
 def global_rebalance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows dealt by their part: each of the eight partitions holds exactly one part."""
-    rows = blocks(spark, sf_dir)
+    rows = steps(spark, sf_dir)
     dealt = L.rebalanced(L.balanced(rows, "batch", "doc_id", "n_chars", 8).join(rows, ["batch", "doc_id"]), "part", 8).withColumn("at", F.spark_partition_id())
     return dealt.agg(F.countDistinct("at").cast("int").alias("partitions"), F.countDistinct("at", "part").cast("int").alias("parts"), F.count("*").alias("n"), F.sum("n_chars").alias("total"))
 
