@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
@@ -123,6 +124,44 @@ def flops(lengths: Column, params: float, heads: int, head_dim: int, layers: int
     return 6 * params * F.sum(lengths) + 12.0 * heads * head_dim * layers * F.sum(lengths * lengths)
 
 
+@dataclass(frozen=True)
+class Architecture:
+    """A transformer's sizes. `experts` (with `chosen` of them a token, `shared` for all) make it a mixture after `dense_layers`; `latent` ranks make its attention latent."""
+
+    hidden: int
+    layers: int
+    vocabulary: int
+    heads: int
+    kv_heads: int
+    head_dim: int
+    inner: int
+    experts: int = 0
+    chosen: int = 0
+    shared: int = 0
+    expert_inner: int = 0
+    dense_layers: int = 0
+    #: Ranks of queries (0: full) and of keys with values, and the sizes of the rotated part of a key and of a value.
+    latent: tuple[int, int, int, int] | None = None
+
+    def attention_weights(self) -> int:
+        if self.latent is None:
+            return self.hidden * self.head_dim * 2 * (self.heads + self.kv_heads)
+        q_rank, kv_rank, rotated, value = self.latent
+        queries = self.heads * self.head_dim
+        own = (self.hidden + queries) * q_rank if q_rank else self.hidden * queries
+        return own + self.hidden * (kv_rank + rotated) + self.heads * (self.head_dim - rotated + value) * kv_rank + self.heads * value * self.hidden
+
+    def weights(self) -> int:
+        """Weights that a token meets: gated inner layers, attention, and the embedding twice."""
+        dense = 3 * self.hidden * self.inner
+        mixed = 3 * self.hidden * self.expert_inner * (self.chosen + self.shared) + self.hidden * self.experts
+        n_dense = self.dense_layers if self.experts else self.layers
+        return n_dense * dense + (self.layers - n_dense) * mixed + self.layers * self.attention_weights() + 2 * self.vocabulary * self.hidden
+
+    def flops(self, lengths: Column) -> Column:
+        return flops(lengths, float(self.weights()), self.heads, self.head_dim, self.layers)
+
+
 #: Peak operations a second of devices, by a part of their name; the first that fits counts.
 DEVICES = (
     ("MI300X", 1336e12), ("H100", 989e12), ("H800", 989e12), ("H200", 989e12), ("A100", 312e12), ("A800", 312e12),

@@ -32,6 +32,11 @@ def cleaned_ending(text: Column) -> Column:
     return F.replace(F.regexp_replace(out, r"\[.*?\]", ""), F.lit("  "), F.lit(" "))
 
 
+def ending_choices(context: Column, endings: Column) -> Column:
+    """The choices of an unfinished text: its cleaned context with each cleaned ending."""
+    return F.transform(endings, lambda e: F.concat(cleaned_ending(context), F.lit(" "), cleaned_ending(e)))
+
+
 def capitalized(text: Column) -> Column:
     return F.concat(F.upper(F.substring(text, 1, 1)), F.lower(F.substring(text, 2, 1 << 30)))
 

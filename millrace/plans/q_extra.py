@@ -277,3 +277,30 @@ def scoring_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def states_truth(response: str, truth: str) -> float:
     return float(f"Final Answer: {truth}" in response)
+
+
+#: A dense model with grouped keys, a mixture of experts, and a mixture with latent attention.
+MODELS = {
+    "dense": E.Architecture(3584, 28, 152064, 28, 4, 128, 18944), "mixture": E.Architecture(2048, 48, 151936, 32, 4, 128, 6144, 128, 8, 0, 768),
+    "latent": E.Architecture(7168, 61, 129280, 128, 128, 192, 18432, 256, 8, 1, 2048, 3, (1536, 512, 64, 128)),
+}
+
+
+@register("""WITH w AS (SELECT 'dense' AS model, 28::BIGINT * (3 * 3584 * 18944 + 3584 * 128 * (2 * 28 + 2 * 4)) + 2 * 152064 * 3584::BIGINT AS n, 28 * 128 * 28 AS a
+    UNION ALL SELECT 'mixture', 48::BIGINT * (3 * 2048 * 768 * 8 + 2048 * 128 + 2048 * 128 * (2 * 32 + 2 * 4)) + 2 * 151936 * 2048::BIGINT, 32 * 128 * 48
+    UNION ALL SELECT 'latent', 58::BIGINT * (3 * 7168 * 2048 * 9 + 7168 * 256) + 9::BIGINT * 7168 * 18432 + 61::BIGINT * (7168::BIGINT * 1536 + 128 * 192 * 1536 + 7168 * (512 + 64) + 128 * (192 - 64 + 128) * 512 + 128 * 128 * 7168) + 2 * 129280 * 7168::BIGINT, 128 * 192 * 61)
+    SELECT model, n AS weights, round((6.0::DOUBLE * n * s1 + 12.0::DOUBLE * a * s2) / 1e15, 3) + 0.0 AS petaflops FROM w, (SELECT sum(n_chars) AS s1, sum(n_chars * n_chars) AS s2 FROM documents)""")
+def flops_by_architecture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights that a token meets, and the operations of a training step over all texts."""
+    rows = table(spark, sf_dir, "documents").agg(*[m.flops(F.col("n_chars")).alias(n) for n, m in MODELS.items()])
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("model"), F.lit(m.weights()).cast("long").alias("weights"), F.col(n).alias("f")) for n, m in MODELS.items()])).alias("x")
+    return rows.select(each).select("x.model", "x.weights", (F.round(F.col("x.f") / 1e15, 3) + 0.0).alias("petaflops"))
+
+
+@register("SELECT p_partkey, CAST(k AS INT) AS place, concat(p_name, '. ', p_type, ' ', CASE k WHEN 0 THEN p_brand WHEN 1 THEN concat(p_brand, '. b') ELSE 'c d' END) AS choice FROM part, range(3) r(k)")
+def map_ending_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each ending after its context, both cleaned of titles, brackets and double spaces."""
+    context = F.concat(F.lit(" "), "p_name", F.lit(" [title]"), "p_type")
+    endings = F.array(F.col("p_brand"), F.concat("p_brand", F.lit(" [title]b")), F.lit("c[step]  d"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.posexplode(P.ending_choices(context, endings)).alias("place", "choice"))
+    return rows.select("p_partkey", "place", "choice")

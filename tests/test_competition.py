@@ -171,3 +171,22 @@ def test_substrings_in_passes(spark, monkeypatch):
     for chars in (1 << 20, 3):
         monkeypatch.setattr(S, "PATTERN_CHARS", chars)
         assert sorted(tuple(r) for r in S.substrings_found(t, "a", "t", p, "b", "p").collect()) == want
+
+
+def test_templates_are_read_and_filled(spark, tmp_path):
+    from millrace.sources import io
+
+    (tmp_path / "form.txt").write_text("Solve {Problem} twice: {Problem}")
+    row = spark.range(1).select(io.filled(io.template(str(tmp_path / "form.txt")), F.lit("1+1")).alias("x")).first()
+    assert row.x == "Solve 1+1 twice: 1+1"
+
+
+def test_shared_folders_are_asked_for(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from millrace.sources import io
+
+    far = SimpleNamespace(sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="spark://far:7077"), conf=SimpleNamespace(get=lambda *_: None))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        io.work_folder(far, "x")
+    assert io.work_folder(spark, "x") != io.work_folder(spark, "x")
