@@ -162,14 +162,13 @@ def fertility_rules(docs: DataFrame, vocabulary: str, lang_col: str = "lang", te
     A null text has no words: its counts are 0 and it fails the base rules. Columns of `docs` with the new names
     are replaced; repeated rows are judged one by one; an empty table gives an empty one.
     """
-    has_lang = lang_col in docs.columns
     kept_cols = [c for c in (docs.columns if keep is None else keep) if c.lower() not in {f.name for f in FIELDS} | {"band_key", "kept"}]
-    inner = list(dict.fromkeys([*kept_cols, *([lang_col] if has_lang else [])]))
+    own = {c: f"k{i}" for i, c in enumerate(dict.fromkeys([*kept_cols, text_col, *([lang_col] if lang_col in docs.columns else [])]))}  # no column can be one of the names below
     C.with_checkpoints(docs.sparkSession)
-    measured = C.map_text(docs, lambda: measurer(vocabulary, second), FIELDS, text_col, inner)
-    own = F.coalesce(C.quoted(lang_col), F.concat(F.lit("script:"), F.col("script"))) if has_lang else F.concat(F.lit("script:"), F.col("script"))
-    measured = measured.withColumn("band_key", own)
-    measured = measured.checkpoint()
+    inner = [own[c] for c in own if c in kept_cols or c == lang_col]
+    measured = C.map_text(docs.select(*[C.quoted(c).alias(k) for c, k in own.items()]), lambda: measurer(vocabulary, second), FIELDS, own[text_col], inner)
+    script = F.concat(F.lit("script:"), F.col("script"))
+    measured = measured.withColumn("band_key", F.coalesce(F.col(own[lang_col]).cast("string"), script) if lang_col in own else script).checkpoint()
     limits = bands(measured, spread=spread).checkpoint()
     slack = F.sqrt(F.greatest(F.lit(1.0), F.lit(float(steady)) / F.greatest(F.col("n_tokens"), F.lit(1))))
     tests = [
@@ -183,6 +182,4 @@ def fertility_rules(docs: DataFrame, vocabulary: str, lang_col: str = "lang", te
     else:
         limits = limits.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
         banded = measured.withColumn("salt", F.pmod(F.xxhash64("n_words", "word_chars", "token_entropy"), F.lit(SALTS))).join(limits, ["band_key", "salt"], "left")
-    return banded.select(*[C.quoted(c) for c in kept_cols], *[f.name for f in FIELDS], "band_key", kept.alias("kept"))
-
-
+    return banded.select(*[F.col(own[c]).alias(c) for c in kept_cols], *[f.name for f in FIELDS], "band_key", kept.alias("kept"))

@@ -221,36 +221,38 @@ def license_scan(docs: DataFrame, found: list[Template] | None = None, text_col:
     found = templates() if found is None else found
     if len(found) > TEMPLATES_A_PASS:
         parts = [found[i : i + TEMPLATES_A_PASS] for i in range(0, len(found), TEMPLATES_A_PASS)]
+        held = C.unused(docs, "passes")
         for part in parts[:-1]:
-            docs = merged(license_scan(docs, part, text_col), docs.columns)
-        return finished(license_scan(docs, parts[-1], text_col, [*docs.columns]), keep)
+            docs = merged(license_scan(docs, part, text_col), docs.columns, held)
+        return finished(license_scan(docs, parts[-1], text_col, [*docs.columns]), keep, held)
     counts = token_counts(docs, frozenset(w for t in found for w in words_of(t.text)), text_col)
     index = Index(found, counts)
     return C.map_text(docs, lambda: scanner(index), FIELDS, text_col, keep)
 
 
-def merged(scanned: DataFrame, columns: list[str]) -> DataFrame:
+def merged(scanned: DataFrame, columns: list[str], held: str) -> DataFrame:
     """Carry one pass's findings beside the documents, as an array under a name of its own."""
     own = F.struct(*[f.name for f in FIELDS])
-    earlier = F.col("_passes") if "_passes" in columns else F.array().cast(scanned.select(F.array(own)).schema[0].dataType)
-    kept = [c for c in columns if c != "_passes"]
-    return scanned.select(*[C.quoted(c) for c in kept], F.concat(earlier, F.array(own)).alias("_passes"))
+    earlier = C.quoted(held) if held in columns else F.array().cast(scanned.select(F.array(own)).schema[0].dataType)
+    kept = [c for c in columns if c != held]
+    return scanned.select(*[C.quoted(c) for c in kept], F.concat(earlier, F.array(own)).alias(held))
 
 
-def finished(scanned: DataFrame, keep: list[str] | None) -> DataFrame:
+def finished(scanned: DataFrame, keep: list[str] | None, held: str) -> DataFrame:
     """Join the findings of several passes."""
-    every = F.concat(F.col("_passes"), F.array(F.struct(*[f.name for f in FIELDS])))
-    kept = [c for c in scanned.columns if c not in {f.name for f in FIELDS} | {"_passes"} and (keep is None or c in keep)]
+    every = F.concat(C.quoted(held), F.array(F.struct(*[f.name for f in FIELDS])))
+    kept = [c for c in scanned.columns if c not in {f.name for f in FIELDS} | {held} and (keep is None or c in keep)]
+    own = C.unused(scanned, "all")
 
     def joined(name: str):
-        parts = F.flatten(F.transform(F.col("_all"), lambda x: F.split(x[name], ",")))
+        parts = F.flatten(F.transform(C.quoted(own), lambda x: F.split(x[name], ",")))
         return F.array_join(F.array_sort(F.array_distinct(F.filter(parts, lambda x: x != ""))), ",").alias(name)
 
     def least(name: str, of: Callable) -> object:
-        return of(F.transform(F.col("_all"), lambda x: x[name])).alias(name)
+        return of(F.transform(C.quoted(own), lambda x: x[name])).alias(name)
 
-    return scanned.withColumn("_all", every).select(
-        *[C.quoted(c) for c in kept], least("n_words", F.array_max), F.aggregate("_all", F.lit(0).cast("long"), lambda a, x: a + x["n_base"]).alias("n_base"),
+    return scanned.withColumn(own, every).select(
+        *[C.quoted(c) for c in kept], least("n_words", F.array_max), F.aggregate(C.quoted(own), F.lit(0).cast("long"), lambda a, x: a + x["n_base"]).alias("n_base"),
         least("first_word", F.array_min), least("last_word", F.array_max), joined("base_labels"), joined("labels"), least("score", F.array_max),
-        F.flatten(F.transform(F.col("_all"), lambda x: x["blocks"])).alias("blocks"),
+        F.flatten(F.transform(C.quoted(own), lambda x: x["blocks"])).alias("blocks"),
     )

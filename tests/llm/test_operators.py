@@ -98,6 +98,8 @@ def test_license_bodies_with_edits(spark):
 def test_license_scan_in_passes(docs, monkeypatch):
     whole = rows(licenses.license_scan(docs), "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
     monkeypatch.setattr(licenses, "TEMPLATES_A_PASS", 6)
+    clashing = licenses.license_scan(docs.withColumns({"passes": F.lit("mine"), "_passes": F.lit("mine"), "all": F.lit("mine")}))
+    assert rows(clashing, "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score") == whole and clashing.where("passes <> 'mine' or _passes <> 'mine' or all <> 'mine'").count() == 0
     assert rows(licenses.license_scan(docs), "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score") == whole
 
 
@@ -179,10 +181,12 @@ def test_mix_carries_columns_of_any_name(docs):
 
 def test_fertility_bands_beyond_a_broadcast(docs, monkeypatch):
     path = queries.vocabulary("piece_bpe_32k.model")
+    docs = docs.withColumns({"salt": F.lit("mine"), "mid_byte_share": F.lit("mine"), "k1": F.lit("mine")})
     columns = ("doc_id", "n_words", "band_key", "kept")
     few = rows(fertility.fertility_rules(docs, path), *columns)
     monkeypatch.setattr(fertility, "MOST_BANDS", 0)
-    assert rows(fertility.fertility_rules(docs, path), *columns) == few
+    found = fertility.fertility_rules(docs, path)
+    assert rows(found, *columns) == few and found.where("salt <> 'mine' or mid_byte_share <> 'mine' or k1 <> 'mine' or size <> 'mine'").count() == 0
 
 
 def test_too_many_languages_are_told_before_they_are_collected(docs, monkeypatch):
@@ -665,6 +669,12 @@ def test_exact_top_k(spark, monkeypatch):
     assert mtree.top_k(df.limit(0), df.limit(0)).count() == 0 and mtree.top_k(df.limit(0), df).count() == 0
 
 
+def test_top_k_of_vectors_without_components(spark):
+    df = spark.createDataFrame([(i, []) for i in range(8)] + [(9, [1.0])], "vec_id long, embedding array<double>")
+    got = mtree.top_k(df, df.where("vec_id in (0, 9)"), k=2).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == [(0, 1, 1, 0), (0, 2, 2, 0)]
+
+
 def test_top_k_of_large_numbers(spark):
     """Products beyond what a double holds, and beyond a long."""
     rng = random.Random(5)
