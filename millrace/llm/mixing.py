@@ -134,6 +134,25 @@ def ranked(rows: DataFrame, key: str, run: Column, order: list[str], number: str
     return out.drop("run", "n0", "n1", "w1")
 
 
+def with_copies_apart(rows: DataFrame, most: int, salts: int = 32) -> DataFrame:
+    """rows where marks of more than `most` rows become a mark for each row, from its number among its equals.
+
+    Equal rows stand for one another, so which of them gets which number does not matter. They are numbered inside
+    the partitions, whose counts are then summed, so that no mark is one task's.
+    """
+    heavy = rows.groupBy("mark").agg(F.count("*").alias("copies")).where(F.col("copies") > most).select("mark").checkpoint()
+    if not heavy.limit(1).count():
+        return rows
+    own = rows.checkpoint().withColumn("part", F.spark_partition_id()).withColumn("salt", F.col("part") % salts)
+    heavy = heavy.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    many, few = own.join(heavy, ["mark", "salt"]), own.join(heavy, ["mark", "salt"], "left_anti")
+    counts = many.groupBy("mark", "part").agg(F.count("*").alias("n"))
+    counts = counts.select("mark", "part", (F.sum("n").over(Window.partitionBy("mark").orderBy("part")) - F.col("n")).alias("before"))
+    number = F.col("before") + F.row_number().over(Window.partitionBy("mark", "part").orderBy("size"))
+    apart = many.join(counts, ["mark", "part"]).withColumn("mark", F.xxhash64("mark", number))
+    return few.select(*rows.columns).unionByName(apart.select(*rows.columns))
+
+
 def plan(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = WEIGHTS, block_docs: int = 1024, shard_draws: int = 64, seed: int = 2024, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Columns `keep` of docs with size, source_size, target, taken and draws (epoch, shard, place, words).
 
@@ -151,10 +170,11 @@ def plan(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[i
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in new]
     inside = [C.quoted(c).alias(f"k{i}") for i, c in enumerate(keep)]
     words = F.coalesce(F.regexp_count(C.quoted(text_col), F.lit(WORD)), F.lit(0)).cast("bigint")
-    mark = F.xxhash64(F.lit(seed), C.quoted(id_col).cast("string"), C.quoted(text_col))
+    mark = F.xxhash64(F.lit(seed), C.quoted(id_col).cast("string"), C.quoted(text_col), C.quoted(source_col))
     narrow = docs.select(*inside, C.quoted(source_col).alias("source"), words.alias("size"), mark.alias("mark"))
     if text_col not in keep:
         narrow = narrow.checkpoint()
+    narrow = with_copies_apart(narrow, block_docs)
     sizes = narrow.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("docs"))
     aims = targets(sizes, share, cap, weights).withColumn("buckets", F.ceil(F.col("docs") / F.lit(block_docs)))
     aims = aims.withColumns({"turns": F.when(F.col("words") > 0, F.floor(F.col("quota") / F.col("words"))).otherwise(0).cast("bigint")})

@@ -172,6 +172,17 @@ def test_mixing_many_sources(spark, monkeypatch):
     assert sum(len(r.draws) for r in rows_) >= 400 and len({d.shard for r in rows_ for d in r.draws}) > 4
 
 
+def test_mixing_of_a_common_row(spark):
+    """Rows that are equal in all go to many blocks, and reruns agree on how many of them are taken."""
+    rows_ = [(None, "the same five words here", "en", "hot", 1)] * 300 + [(i, f"w{i} x y", "en", "cold", 1) for i in range(200)]
+    docs = spark.createDataFrame(rows_, DOCS)
+    runs = [mixing.plan(docs.repartition(n), block_docs=16, shard_draws=4).collect() for n in (2, 7)]
+    seen = [Counter((r.doc_id, r.taken) for r in run) for run in runs]
+    assert seen[0] == seen[1]
+    hot = [r for r in runs[0] if r.source == "hot"]
+    assert len(hot) == 300 and abs(sum(r.taken for r in hot) - hot[0].target) <= 0.5 + 1e-6 and len({d.shard for r in hot for d in r.draws}) > 8
+
+
 def test_mix_carries_columns_of_any_name(docs):
     clashing = docs.withColumns({"target": F.lit("mine"), "taken": F.lit("mine"), "draws": F.lit("mine"), "words": F.lit("mine"), "d": F.lit("mine"), "k0": F.lit("mine")})
     mixed = mixing.mix(clashing, block_docs=2, shard_draws=2)
