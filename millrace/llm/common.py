@@ -12,18 +12,26 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def with_checkpoints(spark: SparkSession) -> SparkSession:
-    """Make sure that checkpoint() has a folder: the cluster's shared one, or, in local mode only, a temporary one."""
+    """Make sure that checkpoint() has a folder: the cluster's shared one, or, in local mode only, a temporary one.
+
+    Arrow batches are made smaller than Spark's default, as they hold whole texts; a size that was set stays.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
         if not shared and not context.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="millrace-"))
+    if spark.conf.get(ARROW_ROWS) == "10000":  # Spark's default, with which a batch of texts takes tens of megabytes on both sides
+        spark.conf.set(ARROW_ROWS, "1000")
     return spark
 
 

@@ -99,7 +99,7 @@ def counted(rows: DataFrame) -> DataFrame:
                     held += len(grams)
                     if target:
                         found[k + 1].append(grams)
-                if held > 4_000_000:
+                if held > 1_000_000:
                     for k in range(4):
                         sums[k] += np.bincount(np.concatenate([*found[k], np.zeros(0, np.uint32)]), minlength=BUCKETS)
                     found, held = [[], [], [], []], 0

@@ -35,21 +35,24 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) if b in own else chr(next(rest)) for b in range(256)}
 
 
-def encoder(path: str) -> Callable[[str], bytes]:
-    """A function from a text to its ids as little-endian unsigned 32-bit numbers; a worker makes it once.
+def encoder(path: str, cached: int | None = None) -> Callable[[str], bytes]:
+    """A function from a text to its ids as little-endian unsigned 32-bit numbers.
+
+    A worker makes it once and keeps its words from task to task; one with its own number of `cached` words goes with
+    its task.
 
     The vocabulary drops white space and never merges across it, so a text's ids are its words' ids one after
     another, and a word is looked up if it has been met. A new word of letters goes to the vocabulary's model as the
     normalizer and the pre-tokenizer would pass it on; any other goes through the whole tokenizer, as does a
     text with unusual white space or with special tokens.
     """
-    if path in _ENCODERS:
+    if path in _ENCODERS and cached is None:
         return _ENCODERS[path]
     import unicodedata
 
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
+    tokenizer, most = Tokenizer.from_file(path), cached or CACHED_WORDS
     model, letters = tokenizer.model, byte_letters()
     four = [i.to_bytes(4, "little") for i in range(tokenizer.get_vocab_size())]
 
@@ -74,7 +77,7 @@ def encoder(path: str) -> Callable[[str], bytes]:
     class Marks(dict):
         def __missing__(self, run: str) -> bytes:
             ids = b"".join([four[t.id] for t in model.tokenize(run)])
-            if len(self) < CACHED_WORDS:
+            if len(self) < most:
                 self[run] = ids
             return ids
 
@@ -91,7 +94,7 @@ def encoder(path: str) -> Callable[[str], bytes]:
                 ids = join([four[i] for i in map(number, tokenize(word.lower()))])
             else:
                 ids = make(word)
-            if len(self) >= CACHED_WORDS:
+            if len(self) >= most:
                 old.clear()
                 old.update(self)
                 self.clear()
@@ -113,6 +116,8 @@ def encoder(path: str) -> Callable[[str], bytes]:
             return b"".join([four[i] for i in tokenizer.encode(text, add_special_tokens=False).ids])
         return b"".join(map(known.__getitem__, text.split()))
 
+    if cached is not None:
+        return encode
     _COUNTERS[path] = tokens
     return _ENCODERS.setdefault(path, encode)
 
@@ -123,14 +128,15 @@ def word_tokens(path: str) -> Callable[[str], int]:
     return _COUNTERS[path]
 
 
-def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, most: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, most: int = 4096, id_col: str = "doc_id", text_col: str = "text", cached: int | None = None) -> DataFrame:
     """Cut each document's ids, `end_id` last, into power-of-two pieces of at most `most` ids; each is a sequence.
 
     Returns `id_col`, start, length, ids (binary: little-endian unsigned 32-bit), doc_tokens, bucket (log2 of the
     length), sequence_id and offset. Sequences need no padding: all of one bucket have one length, and a batch is
     taken from one bucket. A null or empty text gives one piece with `end_id` alone. Repeated rows, and rows with
     a null id, are packed one by one. Other columns of `docs` are not carried. One pass, no shuffle; a sequence_id
-    is made from the partition and the row in it, and holds its bucket in the last four bits.
+    is made from the partition and the row in it, and holds its bucket in the last four bits. `cached`: words that a
+    task keeps; by default a worker keeps CACHED_WORDS from task to task.
     """
     if most & (most - 1) or not 1 <= most <= 1 << 15:
         raise ValueError("most must be a power of two up to 32768")
@@ -141,7 +147,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, most: int = 4096, id
         import numpy as np
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        arrow, encode, end = to_arrow_schema(schema), encoder(vocabulary), np.array([end_id], "<u4").tobytes()
+        arrow, encode, end = to_arrow_schema(schema), encoder(vocabulary, cached), np.array([end_id], "<u4").tobytes()
 
         def batch_of(key: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
             at, *columns = zip(*rows, strict=True)

@@ -17,7 +17,7 @@ COMPARED = 256
 #: MinHashes of a key, and keys of a text.
 ROWS, BANDS = 5, 48
 #: Shingles of a block of texts that are compared exactly; two blocks are held at a time.
-BLOCK = 2_000_000
+BLOCK = 1_000_000
 
 
 def majority_bits(hashes: np.ndarray) -> int:
