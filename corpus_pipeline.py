@@ -37,7 +37,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of exact and near copies stays (five-word shingles, similarity of 0.8 or more).
+    """One document of each group of exact and near copies stays: wide SimHashes find the candidates, five-word shingles decide (similarity of 0.8 or more).
 
     It is the one with the smallest id, null ids last. Null, empty and blank texts are one group.
     """

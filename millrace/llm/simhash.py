@@ -1,4 +1,4 @@
-"""Near-duplicates: SimHash classes by covering locality-sensitive hashing, and exact shingle similarity of MinHash candidates."""
+"""Near-duplicates: SimHash classes by covering locality-sensitive hashing, and exact shingle similarity of candidates that wide SimHashes find."""
 
 from __future__ import annotations
 
@@ -14,8 +14,12 @@ from . import common as C
 
 #: Up to so many fingerprints of a bucket are compared with one another; a larger bucket meets at middle points.
 COMPARED = 256
-#: MinHashes of a key, and keys of a text.
-ROWS, BANDS = 5, 48
+#: Words of 64 bits of a wide SimHash; candidates differ in APART of its bits at most, and in APART_IN_TWO of its first two words.
+WORDS, APART, APART_IN_TWO = 3, 60, 48
+#: A table has one more SimHash word, cut into slices of so many bits: candidates agree in a slice. Distinct texts that a group of a table should hold.
+SLICE, SLICES, GROUP = 12, 5, 1 << 18
+#: The chance that a bit of two texts at a Jaccard similarity of 0.8 differs (at most; 0.1516 for long texts), and that no table has a common slice for them.
+DIFFERS, MISSED = 0.1612, 1e-9
 #: Shingles of a block of texts that are compared exactly; two blocks are held at a time.
 BLOCK = 1_000_000
 
@@ -172,58 +176,163 @@ def simhash_classes(docs: DataFrame, words_each: int = 3, radius: int = 2, id_co
     return marked.join(classes, "fp", "left").select(*[C.quoted(c) for c in keep], "fp", "component_id")
 
 
-def band_keys(words_each: int, bands: int = BANDS, rows: int = ROWS, seed: int = 42) -> Callable[[str], list[int]]:
-    """A key for each band of MinHashes of a text's distinct shingles: `rows` of them, mixed; the same for all texts without a word."""
-    draw = random.Random(seed)
-    flips, odds, mixers = (np.array([draw.getrandbits(64) | 1 for _ in range(bands * rows)], np.uint64) for _ in range(3))
+def simhash_words(hashes: np.ndarray, count: int) -> np.ndarray:
+    """`count` independent SimHashes of 64 bits: of each, a bit is 1 if it is set in over half of the hashes as mixed for that word."""
+    ones, lanes = np.zeros((8, count, 8), np.int64), np.uint64(0x0101010101010101)
+    salts = np.arange(1, count + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for at in range(0, len(hashes), 240):  # a byte counts up to 255
+        x = hashes[at : at + 240, None] + salts
+        for shift, odd in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x ^= x >> np.uint64(shift)
+            x *= np.uint64(odd)
+        x ^= x >> np.uint64(31)
+        for j in range(8):  # bit j of each of the eight bytes
+            ones[j] += ((x >> np.uint64(j)) & lanes).sum(0, dtype=np.uint64).view(np.uint8).reshape(count, 8)
+    return np.packbits((ones * 2 > len(hashes)).transpose(1, 2, 0), axis=-1, bitorder="little").reshape(count, 8).view("<u8").ravel()
+
+
+def wide_simhash(words_each: int, count: int, seed: int = 42) -> Callable[[str], np.ndarray]:
+    """`count` SimHash words of a text's distinct word shingles; all zero for a text without a word."""
+    return lambda text: simhash_words(np.unique(shingle_hashes(text, words_each, seed)), count)
+
+
+def table_plan(texts: int) -> tuple[int, int]:
+    """(tables, bits): so many tables, each dealt into 2^bits groups that hold about GROUP of the texts.
+
+    Two texts meet in a table if they agree in the bits that deal it and in one of its slices. There are as many tables as
+    leave a chance of MISSED that texts at a Jaccard similarity of 0.8 meet in none.
+    """
+    bits = max(0, int(np.ceil(np.log2(max(1, texts) / GROUP))))
+    agree = 1 - DIFFERS
+    return int(np.ceil(np.log(MISSED) / np.log1p(-(agree**bits) * (1 - (1 - agree**SLICE) ** SLICES)))), bits
+
+
+def slices(words: np.ndarray) -> list[np.ndarray]:
+    return [(words >> np.uint64(SLICE * i)) & np.uint64((1 << SLICE) - 1) for i in range(SLICES)]
+
+
+def band_keys(words_each: int, texts: int = 1) -> Callable[[str], list[int]]:
+    """The keys by which a text meets others of a table of so many: the slices of its SimHash words, each with its place."""
+    tables, bits = table_plan(texts)
+    of = wide_simhash(words_each, WORDS + tables * (1 + (bits > 0)))
 
     def keys(text: str) -> list[int]:
-        hashes = np.unique(shingle_hashes(text, words_each, seed))
-        least = np.full(bands * rows, (1 << 64) - 1, np.uint64)
-        for at in range(0, len(hashes), 512):
-            least = np.minimum(least, ((hashes[at : at + 512] ^ flips[:, None]) * odds[:, None]).min(1))
-        mixed = (least * mixers).reshape(bands, rows).sum(1, dtype=np.uint64)
-        return (mixed ^ (mixed >> np.uint64(32)) ^ mixers[:bands]).view(np.int64).tolist()
+        words = of(text)
+        dealt = words[WORDS + tables :] >> np.uint64(64 - bits) if bits else np.zeros(tables, np.uint64)
+        found = np.stack([dealt << np.uint64(SLICE) | x for x in slices(words[WORDS : WORDS + tables])]).ravel()
+        return (np.arange(len(found), dtype=np.uint64) << np.uint64(SLICE + bits) | found).astype(np.int64).tolist()
 
     return keys
 
 
+def join_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Let a[i] and b[i] have one label, the least of all they are joined with; labels are places of roots."""
+    while True:
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            return
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label[label] != label).any():
+            label[:] = label[label]
+
+
+def reach(prints: np.ndarray, own: np.ndarray, apart: int) -> tuple[np.ndarray, np.ndarray]:
+    """(from, to): links that join the fingerprints at the places `own` as all pairs within `apart` would, one seen being compared with those not yet reached only."""
+    ends, starts, left = [], [], own
+    while len(left):
+        pivot, front, left = left[0], left[:1], left[1:]
+        while len(front) and len(left):
+            step = max(1, min(256, (1 << 21) // len(left)))
+            now, front = front[:step], front[step:]
+            hit = (np.bitwise_count(prints[now][:, None] ^ prints[left][None]).sum(2, dtype=np.int64) <= apart).any(0)
+            ends.append(left[hit])
+            starts.append(np.full(len(ends[-1]), pivot))
+            front, left = np.concatenate([front, left[hit]]), left[~hit]
+    return (np.concatenate(starts), np.concatenate(ends)) if ends else (own[:0], own[:0])
+
+
+def wide_forest(words: np.ndarray, prints: np.ndarray, apart: int = APART) -> np.ndarray:
+    """For each wide fingerprint of a group the place of the least that it is joined with: by a common slice of its word and `apart` or fewer differing bits.
+
+    Inside a bucket of a slice all are compared, by their distance in an order of buckets by size. More than COMPARED are reached
+    from one another instead, which takes a time in proportion for many near copies.
+    """
+    label = np.arange(len(words))
+    for key in slices(words):
+        _, of, counts = np.unique(key, return_inverse=True, return_counts=True)
+        size = counts[of]
+        order = np.lexsort((key, -size))
+        size, key = size[order], key[order]
+        large = int(np.searchsorted(-size, -COMPARED, "left"))  # in buckets of over COMPARED
+        ends = np.append(np.flatnonzero(key[1:large] != key[: max(0, large - 1)]) + 1, large).tolist() if large else []
+        for a, b in zip([0, *ends[:-1]], ends, strict=True) if large else ():
+            join_labels(label, *reach(prints, order[a:b], apart))
+        order, size, key = order[large:], size[large:], key[large:]
+        columns = [np.ascontiguousarray(prints[order, c]) for c in range(WORDS)]
+        found, held = [], 0
+        for j in range(1, int(size[0]) if len(size) else 1):
+            n = int(np.searchsorted(-size, -j, "left"))  # larger buckets than j
+            differ = np.bitwise_count(columns[0][: n - j] ^ columns[0][j:n]) + np.bitwise_count(columns[1][: n - j] ^ columns[1][j:n])
+            at = np.flatnonzero((differ <= APART_IN_TWO) & (key[: n - j] == key[j:n]))
+            at = at[differ[at] + np.bitwise_count(columns[2][at] ^ columns[2][at + j]) <= apart]
+            at = at[label[order[at]] != label[order[at + j]]]
+            found.append((order[at], order[at + j]))
+            held += len(at)
+            if held > 1 << 16:
+                join_labels(label, *map(np.concatenate, zip(*found, strict=True)))
+                found, held = [], 0
+        if held:
+            join_labels(label, *map(np.concatenate, zip(*found, strict=True)))
+    return label
+
+
 def text_mark(text: Column) -> Column:
     """16 bytes by which equal texts are one (MD5); a null text is empty."""
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
-def band_links(marked: DataFrame, words_each: int) -> DataFrame:
-    """(a, b): each node of marked (node, _text) and the least one that shares a key with it.
+def wide_links(marked: DataFrame, words_each: int, texts: int, apart: int = APART) -> DataFrame:
+    """(a, b): links of forests over the names of marked (name, _text), whose wide SimHashes differ in `apart` or fewer bits and meet in a table.
 
-    The texts of an Arrow batch are linked among themselves first, and only the least node of each key goes on, so
-    that a key that most texts share brings a row a batch to its group.
+    A text sends its fingerprint and a word to one group of each table; equal texts of an Arrow batch send one. Fingerprints
+    and words that are equal are one in a group.
     """
+    tables, bits = table_plan(texts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys_of = band_keys(words_each)
+        of = wide_simhash(words_each, WORDS + tables * (1 + (bits > 0)))
         for batch in batches:
-            found: dict[bytes, list[int]] = {}
-            for node, text in zip(batch["node"].to_pylist(), C.texts(batch["_text"]), strict=True):
-                if node not in found:
-                    found[node] = keys_of(text or "")
-            nodes = sorted(found)
-            if not nodes:
+            found: dict[int, np.ndarray] = {}
+            for name, text in zip(batch["name"].to_pylist(), C.texts(batch["_text"]), strict=True):
+                if name not in found:
+                    found[name] = of(text or "")
+            if not found:
                 continue
-            keys = np.array([found[n] for n in nodes], np.int64)
-            owner = np.repeat(np.arange(len(nodes)), keys.shape[1])
-            order = np.lexsort((owner, keys.ravel()))
-            keys, owner = keys.ravel()[order], owner[order]
-            new = np.concatenate([[True], keys[1:] != keys[:-1]])
-            least = owner[np.flatnonzero(new)][np.cumsum(new) - 1]
-            inner = np.unique(np.stack([owner, least], 1)[~new & (owner != least)], axis=0)
-            names = pa.array(nodes, pa.binary())
-            sent = [pa.concat_arrays([pa.array(keys[new]), pa.array(inner[:, 0])]), names.take(pa.array(np.concatenate([owner[new], inner[:, 0]])))]
-            yield pa.RecordBatch.from_arrays([*sent, pa.concat_arrays([pa.nulls(int(new.sum()), pa.binary()), names.take(pa.array(inner[:, 1]))])], names=["key", "node", "low"])
-
-    keyed = marked.select("node", "_text").mapInArrow(run, "key long, node binary, low binary")
-    low = F.coalesce("low", F.min("node").over(Window.partitionBy("key", F.col("low").isNull())))
-    return keyed.select(F.col("node").alias("a"), low.alias("b")).where("a <> b")
+            names, words = np.fromiter(found, np.int64, len(found)), np.stack(list(found.values()))
+            sent: list[tuple[int, bytes, bytes, bytes]] = []
+            for t in range(tables):
+                to = (words[:, WORDS + tables + t] >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(names), np.int64)
+                order = np.argsort(to, kind="stable")
+                for at in np.split(order, np.flatnonzero(np.diff(to[order])) + 1):
+                    sent.append((t << bits | int(to[at[0]]), names[at].tobytes(), words[at, WORDS + t].tobytes(), words[at, :WORDS].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in sent], pa.int64() if i == 0 else pa.binary()) for i in range(4)], names=["part", "names", "words", "prints"])
+
+    def link(table: pa.Table) -> pa.Table:
+        names, words, prints = (np.frombuffer(b"".join(table[c].to_pylist()), kind) for c, kind in (("names", "<i8"), ("words", "<u8"), ("prints", "<u8")))
+        rows = np.column_stack([prints.reshape(-1, WORDS), words])
+        order = np.lexsort((names, *rows.T))
+        names, rows = names[order], rows[order]
+        new = np.concatenate([[True], (rows[1:] != rows[:-1]).any(1)])
+        first = np.flatnonzero(new)
+        label = wide_forest(np.ascontiguousarray(rows[first, WORDS]), np.ascontiguousarray(rows[first, :WORDS]), apart)
+        root = names[first[label[np.cumsum(new) - 1]]]
+        linked = names != root
+        return pa.table({"a": pa.array(names[linked], pa.int64()), "b": pa.array(root[linked], pa.int64())})
+
+    sent = marked.select("name", "_text").mapInArrow(run, "part long, names binary, words binary, prints binary")
+    return sent.groupBy("part").applyInArrow(link, "a long, b long")
 
 
 def exact_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
@@ -258,7 +367,7 @@ def exact_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, i
 def exact_links(texts: DataFrame, groups: DataFrame, words_each: int, similarity: float) -> DataFrame:
     """(a, b): links of a forest over nodes of one component whose shingles have a Jaccard similarity of `similarity` or more.
 
-    texts (node, _text) may repeat a node; groups (node, component). The shingle sets of a component meet in one
+    texts (node, name, _text) may repeat a node; groups (name, component). The shingle sets of a component meet in one
     group, or, beyond `BLOCK` shingles, in one for each two of its blocks in order of size that can hold such a pair.
     """
 
@@ -269,7 +378,7 @@ def exact_links(texts: DataFrame, groups: DataFrame, words_each: int, similarity
 
         return of
 
-    once = texts.groupBy("node").agg(F.first("_text").alias("_text")).join(groups, "node")  # copies meet in each task first
+    once = texts.groupBy("node", "name").agg(F.first("_text").alias("_text")).join(groups, "name")  # copies meet in each task first
     sets = C.map_text(once, make, [C.field("size", "long"), C.field("hashes", "binary")], "_text", ["node", "component"]).checkpoint()
     # shingles up to each text in the order of size and node: inside runs of one size and of nodes that begin alike, then over the runs
     run = ["component", "size", "run"]
@@ -293,18 +402,20 @@ def exact_links(texts: DataFrame, groups: DataFrame, words_each: int, similarity
     return dealt.groupBy("component", "i", "j").applyInArrow(link, "a binary, b binary")
 
 
-def near_classes(docs: DataFrame, words_each: int = 5, similarity: float = 0.8, text_col: str = "text") -> DataFrame:
+def near_classes(docs: DataFrame, words_each: int = 5, similarity: float = 0.8, text_col: str = "text", apart: int = APART) -> DataFrame:
     """(mark, component): for each distinct text that is near another one, the class it belongs to.
 
-    mark = MD5 of the text, by which equal texts are one. Candidates share the key of a band of MinHashes of
-    their `words_each`-word shingles. The chance depends on their Jaccard similarity s alone, whatever the edits: none of the
-    `BANDS` keys agrees with (1 - s ** ROWS) ** BANDS, 5e-9 at 0.8 and less above. Two candidates are linked if and
-    only if s is `similarity` or more, taken exactly. Null and blank texts have no shingle and are near one another;
-    a text with fewer words is one shingle. Repeated rows are one text; empty in, empty out; only the text is read.
+    mark = MD5 of the text, by which equal texts are one. Candidates have wide SimHashes (`WORDS` words of 64 bits, of their distinct
+    `words_each`-word shingles) that differ in `apart` or fewer bits, and meet in a table that slices of further SimHash words
+    make. A bit differs with a chance that the Jaccard similarity s bounds, whatever the edits: for s of 0.8 or more by
+    `DIFFERS` (0.1875 for a text of four shingles and one more; see README for the chances of a miss).
+    Two candidates are linked if and only if s is `similarity` or more, taken exactly. Null and blank texts have no shingle and are near
+    one another; a text with fewer words is one shingle. Repeated rows are one text; empty in, empty out; only the text is read.
     """
     C.with_checkpoints(docs.sparkSession)
     marked = docs.select(text_mark(C.quoted(text_col)).alias("node"), C.quoted(text_col).alias("_text"))
-    groups = C.components(band_links(marked, words_each))
+    marked = marked.select("node", F.xxhash64("node").alias("name"), "_text")
+    groups = C.components(wide_links(marked, words_each, docs.count(), apart)).withColumnRenamed("node", "name")
     return C.components(exact_links(marked, groups, words_each, similarity)).select(F.col("node").alias("mark"), "component")
 
 

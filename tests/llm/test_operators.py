@@ -569,6 +569,66 @@ def test_band_keys_find_all_pairs_at_the_limit():
     assert min(found.values()) > 50
 
 
+def test_wide_simhash_words():
+    """Each word is the SimHash of the shingles' hashes as mixed for it, for few and for many of them."""
+    rng = np.random.default_rng(23)
+    for n in (1, 2, 239, 240, 241, 1000):
+        hashes = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        words, mixed = simhash.simhash_words(hashes, 4), hashes[:, None] + np.arange(1, 5, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        mixed ^= mixed >> np.uint64(31)
+        assert words.view("<i8").tolist() == [simhash.majority_bits(np.ascontiguousarray(mixed[:, i])) for i in range(4)]
+    assert simhash.wide_simhash(5, 4)(" ").tolist() == [0] * 4
+
+
+def test_wide_simhashes_of_pairs_at_the_limit_are_near():
+    """Of pairs at a Jaccard similarity of 0.8, whatever the edit, and of the shortest, none differs in too many bits or shares no slice."""
+    rng, of, keys = random.Random(24), simhash.wide_simhash(5, simhash.WORDS), simhash.band_keys(5)
+    pairs = [(words, edited(rng, words, kind, share)) for kind, share in (("scattered", 0.02), ("run", 0.1), ("appended", 0.245)) for words in ([f"w{rng.randrange(90000)}" for _ in range(rng.randrange(110, 460))] for _ in range(100))]
+    pairs += [(words[:-1], words) for words in ([f"w{rng.randrange(90000)}" for _ in range(9)] for _ in range(100))]
+    pairs = [(" ".join(a), " ".join(b)) for a, b in pairs]
+    pairs = [p for p in pairs if brute_jaccard(*p) >= 0.8]
+    assert len(pairs) > 200
+    for a, b in pairs:
+        bits = np.bitwise_count(of(a) ^ of(b)).astype(int)
+        assert bits.sum() <= simhash.APART and bits[:2].sum() <= simhash.APART_IN_TWO and set(keys(a)) & set(keys(b))
+
+
+@pytest.mark.parametrize("most", [4, 256])
+def test_wide_forest(monkeypatch, most):
+    """One large group of near copies, small ones, and noise: the same trees as of all pairs, in small and in large buckets."""
+    monkeypatch.setattr(simhash, "COMPARED", most)
+    rng = np.random.default_rng(25)
+    group = np.minimum(np.arange(700) // 2, 350 - np.arange(700) // 2)  # groups of two, then of four
+    group[:300] = 0
+    centres = rng.integers(0, 1 << 63, (400, simhash.WORDS + 1), dtype=np.uint64)
+    noise = np.packbits(rng.random((700, simhash.WORDS + 1, 64)) < 0.1, axis=-1).view(np.uint64)[:, :, 0]
+    rows = centres[group] ^ noise
+    words, prints = np.ascontiguousarray(rows[:, -1]), np.ascontiguousarray(rows[:, :-1])
+    near = (np.bitwise_count(prints[:, None] ^ prints[None]).sum(2) <= simhash.APART) & (np.stack(simhash.slices(words), 1)[:, None] == np.stack(simhash.slices(words), 1)[None]).any(2)
+    want = np.arange(700)
+    for _ in range(700):
+        want = np.where(near, want[None, :], 700).min(1)
+    assert (simhash.wide_forest(words, prints) == want).all() and len(set(want.tolist())) < 600
+    assert (simhash.wide_forest(words[:0], prints[:0]) == want[:0]).all()
+
+
+@pytest.mark.parametrize("group", [8, 1 << 18])
+def test_wide_links(spark, monkeypatch, group):
+    """Copies at 0.9 are candidates and texts of their own are not, in whole tables and in many groups; with no bit apart only equal fingerprints are."""
+    monkeypatch.setattr(simhash, "GROUP", group)
+    rng, texts = random.Random(26), []
+    for _ in range(40):
+        words = [f"w{rng.randrange(90000)}" for _ in range(200)]
+        texts += [" ".join(words), " ".join(edited(rng, words, "run", 0.04))]
+    marked = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None, "", " "])], "name long, _text string").repartition(3)
+    assert (simhash.table_plan(83)[1] > 0) == (group == 8)
+    found = {r.node: r.component for r in common.components(simhash.wide_links(marked, 5, 83)).collect()}
+    assert found == {i: i - i % 2 for i in range(80)} | {80: 80, 81: 80, 82: 80}
+    assert {r.node for r in common.components(simhash.wide_links(marked, 5, 83, apart=0)).collect()} == {80, 81, 82}
+
+
 @pytest.mark.parametrize("similarity", [0.5, 0.8])
 def test_exact_forest(similarity):
     rng = random.Random(17)

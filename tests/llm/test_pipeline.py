@@ -42,6 +42,19 @@ def test_stages_on_odd_tables(spark, tmp_path):
         assert (now.count() > 0) == (table is odd)
 
 
+def test_simhash_decides_what_near_copies_are_compared(spark, monkeypatch):
+    """The stage's candidates are those of its SimHashes and no others: without a link of theirs, every distinct text stays."""
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    extra = spark.createDataFrame([(10_000 + i, " ".join(f"w{j}" for j in range(200 + i)), "en", "s", 1) for i in range(2)], docs.schema)
+    docs = docs.unionByName(extra)
+    kept = {r.doc_id for r in P.near_copies(spark, docs, SF).select("doc_id").collect()}
+    assert 10_000 in kept and 10_001 not in kept
+    monkeypatch.setattr(P.simhash, "wide_links", lambda *_: spark.createDataFrame([], "a long, b long"))
+    assert P.near_copies(spark, docs, SF).count() == docs.select("text").fillna("").distinct().count()
+
+
 def test_names(spark):
     import __spark_entry__ as E
 
