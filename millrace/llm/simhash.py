@@ -297,7 +297,7 @@ def wide_links(marked: DataFrame, words_each: int, texts: int, apart: int = APAR
     """(a, b): links of forests over the names of marked (name, _text), whose wide SimHashes differ in `apart` or fewer bits and meet in a table.
 
     A text sends its fingerprint and a word to one group of each table; equal texts of an Arrow batch send one. Fingerprints
-    and words that are equal are one in a group.
+    and words that are equal are one in a group. Each text has one link at most in a group, to the least name of its tree.
     """
     tables, bits = table_plan(texts)
 
@@ -327,7 +327,9 @@ def wide_links(marked: DataFrame, words_each: int, texts: int, apart: int = APAR
         new = np.concatenate([[True], (rows[1:] != rows[:-1]).any(1)])
         first = np.flatnonzero(new)
         label = wide_forest(np.ascontiguousarray(rows[first, WORDS]), np.ascontiguousarray(rows[first, :WORDS]), apart)
-        root = names[first[label[np.cumsum(new) - 1]]]
+        least = names[first]  # of each fingerprint, then of its tree: the tables of one class of texts then send the same links
+        np.minimum.at(least, label, names[first])
+        root = least[label[np.cumsum(new) - 1]]
         linked = names != root
         return pa.table({"a": pa.array(names[linked], pa.int64()), "b": pa.array(root[linked], pa.int64())})
 

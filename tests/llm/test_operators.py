@@ -629,6 +629,17 @@ def test_wide_links(spark, monkeypatch, group):
     assert {r.node for r in common.components(simhash.wide_links(marked, 5, 83, apart=0)).collect()} == {80, 81, 82}
 
 
+@pytest.mark.parametrize("n", [150, 300])
+def test_links_grow_with_a_class_and_not_with_the_tables(spark, n):
+    """The tables that join near copies of one text send the same links: about one a copy meets in the rounds over components."""
+    rng = random.Random(27)
+    words = [f"w{rng.randrange(90000)}" for _ in range(200)]
+    marked = spark.createDataFrame([(rng.getrandbits(62), " ".join(edited(rng, words, "scattered", 0.01))) for _ in range(n)], "name long, _text string").repartition(3)
+    links = simhash.wide_links(marked, 5, n).distinct().cache()
+    assert n - 1 <= links.count() <= 1.5 * n
+    assert {r.component for r in common.components(links).collect()} == {marked.agg(F.min("name")).first()[0]}
+
+
 @pytest.mark.parametrize("similarity", [0.5, 0.8])
 def test_exact_forest(similarity):
     rng = random.Random(17)
